@@ -1,0 +1,4 @@
+"""Corpus-preparation operators for large text collections.
+
+Nothing outside this subpackage imports it; ``registry`` holds its queries.
+"""
