@@ -1,4 +1,12 @@
 """Corpus-preparation operators for large text collections.
 
 Nothing outside this subpackage imports it; ``registry`` holds its queries.
+Functions that run on executors travel by value, so that workers need numpy and
+pyarrow but no copy of this package.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
