@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioquery.llm.decontamination import decontaminate
 from folioquery.llm.exact_topk import exact_topk
 from folioquery.llm.html_extraction import extract_main_text
+from folioquery.llm.pii import KINDS, find_pii
 from folioquery.llm.quality_classifier import fit, held_out, quality_scores
 from folioquery.llm.source_mixing import mix_sources
 from folioquery.llm.substring_dedup import substring_dedup
@@ -63,3 +64,18 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"), share=1.5, cap=2.0)
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _written(spans: str):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _of(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(_written("base"), 256).alias("base_sha256"), _written("spans").alias("spans"))
