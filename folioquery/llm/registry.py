@@ -14,6 +14,7 @@ from folioquery.llm.pii import KINDS, find_pii
 from folioquery.llm.quality_classifier import fit, held_out, quality_scores
 from folioquery.llm.source_mixing import mix_sources
 from folioquery.llm.substring_dedup import substring_dedup
+from folioquery.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +80,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", _of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(_written("base"), 256).alias("base_sha256"), _written("spans").alias("spans"))
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
