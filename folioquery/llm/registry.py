@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioquery.llm.decontamination import decontaminate
 from folioquery.llm.exact_topk import exact_topk
 from folioquery.llm.html_extraction import extract_main_text
+from folioquery.llm.ngram_join import ngram_jaccard_join
 from folioquery.llm.pii import KINDS, find_pii
 from folioquery.llm.quality_classifier import fit, held_out, quality_scores
 from folioquery.llm.source_mixing import mix_sources
@@ -86,3 +87,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"), length=400)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=4, threshold=85).select("doc_id", "n_shingles", "component_id")
