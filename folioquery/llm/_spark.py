@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,23 +29,23 @@ def batched(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[docs[c] for c in columns], key.alias("b")).repartition(n, "b")
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the session names; one below the warehouse's parent is set only where none is (tests, single machine)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a single machine gets a temporary one; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     have = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if have:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(have)
-        return have
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    import tempfile
-
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="folioquery-"))
-    return None
+    if not have:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        have = tempfile.mkdtemp(prefix="folioquery-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(have)
+    return have.rstrip("/")
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cuts lineage through the shared checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=eager)

@@ -159,23 +159,51 @@ def _mark(part, last: bool):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit_bytes: int = 8 << 20) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, hits (word runs inside occurrences) and items (ids, as strings in order)."""
-    spark = docs.sparkSession
-    rows = docs.select(docs["doc_id"], docs["text"])
+def _clean(part):
+    """Rows of the input, all columns, without those in which a window occurs."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            keep = np.ones(batch.num_rows, bool)
+            for a, _, words in each_slice(data, offsets, ALNUM, fold=True):
+                start, _ = _matches(part.value, words)
+                keep[a + np.searchsorted(words.doc, start, "right") - 1] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _parts(docs: DataFrame, benchmark: DataFrame, width: int, limit_bytes: int):
+    """The benchmark in broadcast parts, each with the prefix tokens of its windows."""
+    context = docs.sparkSession.sparkContext
     total = benchmark.select(F.sum(F.octet_length("text"))).first()[0] or 0
     pieces = max(1, math.ceil(total / limit_bytes))
-    out = rows.withColumns({"hits": F.expr("cast(array() as array<struct<start:long,end:long>>)"), "items": F.expr("cast(array() as array<string>)")})
     for i in range(pieces):
         some = benchmark.select("item_id", "text").filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(pieces)) == i).toArrow()
         part = Part(some["item_id"].to_pylist(), some["text"].to_pylist(), width)
-        shared = spark.sparkContext.broadcast(SimpleNamespace(known=part.known))
-        seen = rows.select("text").mapInArrow(_count(shared), "k int, place long, n long").groupBy("k", "place").agg(F.sum("n").alias("n")).toArrow()
+        known = context.broadcast(SimpleNamespace(known=part.known))
+        seen = docs.select(docs["text"]).mapInArrow(_count(known), "k int, place long, n long").groupBy("k", "place").agg(F.sum("n").alias("n")).toArrow()
         counts = {k: np.zeros(len(v), np.int64) for k, v in part.known.items()}
         for k in counts:
             own = seen.filter(pa.compute.equal(seen["k"], k))
             counts[k][own["place"].to_numpy()] = own["n"].to_numpy()
         part.prefix(counts)
-        last = i == pieces - 1
-        out = out.mapInArrow(_mark(spark.sparkContext.broadcast(part.shared()), last), OUT + ("" if last else ", text string"))
+        yield context.broadcast(part.shared()), i == pieces - 1
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit_bytes: int = 8 << 20) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, hits (word runs inside occurrences) and items (ids, as strings in order)."""
+    out = docs.select(docs["doc_id"], docs["text"])
+    out = out.withColumns({"hits": F.expr("cast(array() as array<struct<start:long,end:long>>)"), "items": F.expr("cast(array() as array<string>)")})
+    for part, last in _parts(docs, benchmark, width, limit_bytes):
+        out = out.mapInArrow(_mark(part, last), OUT + ("" if last else ", text string"))
+    return out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit_bytes: int = 8 << 20) -> DataFrame:
+    """The documents, with all their columns, in which no window of the benchmark occurs."""
+    out = docs
+    for part, _ in _parts(docs, benchmark, width, limit_bytes):
+        out = out.mapInArrow(_clean(part), docs.schema)
     return out

@@ -246,12 +246,15 @@ def _label(weights: dict[str, list[float]], threshold: float):
     return run
 
 
+def _weights(rows: DataFrame) -> dict[str, list[float]]:
+    counted = rows.select("text").mapInArrow(_count, "kind string, votes string, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n"))
+    return train([(r["kind"], r["votes"], r["n"]) for r in counted.collect()])
+
+
 def find_pii(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     """doc_id, text, base spans and all spans of every row, by start and then kind."""
     rows = docs.select(docs["doc_id"], docs["text"])
-    counted = rows.select("text").mapInArrow(_count, "kind string, votes string, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n"))
-    weights = train([(r["kind"], r["votes"], r["n"]) for r in counted.collect()])
-    return rows.mapInArrow(_label(weights, threshold), TAKEN)
+    return rows.mapInArrow(_label(_weights(rows), threshold), TAKEN)
 
 
 def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
@@ -264,3 +267,26 @@ def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
             out += [text[at:s], f"[{kind.upper()}]"]
         at = max(at, e)
     return "".join(out) + text[at:]
+
+
+def _redacted(weights: dict[str, list[float]], threshold: float, names: list[str]):
+    label = _label(weights, threshold)
+
+    def run(batches):
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], names=["doc_id", "text"])
+            spans = next(label([own])).column("spans").to_pylist()
+            text = [redact(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(batch.column("text").to_pylist(), spans)]
+            columns = list(batch.columns)
+            columns[names.index("text")] = pa.array(text, batch.column("text").type)
+            if "n_chars" in names:
+                kind = batch.column("n_chars").type
+                columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in text], pa.int64()).cast(kind)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def redact_pii(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """The documents, with all their columns, every span replaced by its kind; n_chars, where there is one, follows."""
+    return docs.mapInArrow(_redacted(_weights(docs.select(docs["text"])), threshold, docs.columns), docs.schema)
