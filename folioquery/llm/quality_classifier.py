@@ -92,20 +92,18 @@ def _dictionary(texts: list[bytes]) -> bytes:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_bytes: int = 32 << 20) -> Model:
     """Learns from labelled rows that are not held out."""
     known = labels.select(labels["doc_id"].alias("id"), labels["quality"].alias("q")).filter("q in (0, 1)")
-    known = known.groupBy("id").agg(F.min("q").alias("q"), F.max("q").alias("most")).filter("q = most").drop("most")
-    texts = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("text")).filter("text is not null and text <> ''")
-    texts = texts.filter(F.octet_length("text") <= sample_bytes // 64).filter(~held_out(F.col("id")))
-    both = texts.join(known, "id")
-    share = known.filter(~held_out(F.col("id"))).agg(F.avg("q")).first()[0]
-    got: dict[int, list[bytes]] = {}
-    for q in (0, 1):
-        rows = both.filter(F.col("q") == q).select(F.xxhash64("id").alias("h"), "id", "text").orderBy("h", "id", "text").limit(sample_rows)
-        total, got[q] = 0, []
-        for text in rows.select("text").toArrow()["text"].to_pylist():
-            raw = text.encode()
-            total += len(raw)
-            if total > sample_bytes // 2:
-                break
+    known = known.groupBy("id").agg(F.min("q").alias("q"), F.max("q").alias("most")).filter("q = most and id is not null").drop("most")
+    known = known.filter(~held_out(F.col("id")))
+    share = known.agg(F.avg("q")).first()[0]
+    least = [known.filter(F.col("q") == q).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample_rows) for q in (0, 1)]
+    # the ids to learn from are chosen without the texts; 2 * sample_rows of them bound the broadcast
+    texts = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("text")).filter("text <> ''").filter(F.octet_length("text") <= sample_bytes // 64)
+    rows = texts.join(F.broadcast(least[0].unionByName(least[1])), "id").groupBy("q", "h", "id").agg(F.min("text").alias("text")).toArrow().sort_by([("h", "ascending"), ("id", "ascending")])
+    total, got = {0: 0, 1: 0}, {0: [], 1: []}
+    for q, text in zip(rows["q"].to_pylist(), rows["text"].to_pylist()):
+        raw = text.encode()
+        total[q] += len(raw)
+        if total[q] <= sample_bytes // 2:
             got[q].append(raw)
     if len(got[0]) < 4 or len(got[1]) < 4:
         p = min(0.99, max(0.01, 0.5 if share is None else float(share)))
@@ -133,3 +131,18 @@ def _score(good: bytes, bad: bytes, slope: float, shift: float):
 def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, difference and score of every row."""
     return docs.select(docs["doc_id"], docs["text"]).mapInArrow(_score(model.good, model.bad, model.slope, model.shift), OUT)
+
+
+def _keep(good: bytes, bad: bytes, slope: float, shift: float, least: float):
+    def run(batches):
+        pair = _compressors(good, bad)
+        for batch in batches:
+            d = np.array([_difference(pair, (t or "").encode()) for t in batch.column("text").to_pylist()], float)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(slope * d + shift, -30, 30))) >= least))
+
+    return run
+
+
+def keep_good(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
+    """The documents, with all their columns, whose score is ``least`` or more."""
+    return docs.mapInArrow(_keep(model.good, model.bad, model.slope, model.shift, least), docs.schema)
