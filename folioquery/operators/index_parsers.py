@@ -16,7 +16,9 @@ from folioquery.functions.dates import month_number, section_date, us_date
 from folioquery.functions.pages import expand_pages
 from folioquery.functions.text import strip, truncate_header
 
-BY_LINE = Window.partitionBy("doc_id").orderBy("n")
+
+def by_line():
+    return Window.partitionBy("doc_id").orderBy("n")
 
 
 def lines(texts: DataFrame) -> DataFrame:
@@ -28,9 +30,9 @@ def vendor_index(texts: DataFrame, last_page: int = fixed.LAST_PAGE) -> DataFram
     """Entries of an index whose entries begin with a date line that page numbers follow, or with Undated."""
     rows = lines(texts).withColumn("line", strip(F.col("line")))
     is_date = F.col("line").rlike(fixed.DATE_LINE)
-    follows = F.coalesce(F.lead("line", 1).over(BY_LINE), F.lit("")).rlike(fixed.PAGE_START) | F.coalesce(F.lead("line", 2).over(BY_LINE), F.lit("")).rlike(fixed.PAGE_START)
+    follows = F.coalesce(F.lead("line", 1).over(by_line()), F.lit("")).rlike(fixed.PAGE_START) | F.coalesce(F.lead("line", 2).over(by_line()), F.lit("")).rlike(fixed.PAGE_START)
     rows = rows.withColumn("begins", (is_date & follows) | (F.col("line") == fixed.UNDATED))
-    rows = rows.withColumn("entry", F.sum(F.col("begins").cast("int")).over(BY_LINE)).filter("entry > 0")
+    rows = rows.withColumn("entry", F.sum(F.col("begins").cast("int")).over(by_line())).filter("entry > 0")
     line = F.col("line")
     kind = (
         F.when(F.col("begins"), "start").when(is_date, "text").when(line == "", "blank").when(line.rlike(fixed.SLASH_DIGITS), "slash")
@@ -66,7 +68,7 @@ def own_index(texts: DataFrame) -> DataFrame:
     """Entries of a pipe-drawn table whose first column holds dates, in any of six shapes, whole or split over lines."""
     rows = lines(texts)
     line = F.col("line")
-    cell = [_cell(F.lead("line", k).over(BY_LINE) if k else line, r"^\|\s*([^|]*?)\s*\|") for k in range(4)]
+    cell = [_cell(F.lead("line", k).over(by_line()) if k else line, r"^\|\s*([^|]*?)\s*\|") for k in range(4)]
     rows = rows.withColumns({f"c{k}": c for k, c in enumerate(cell)})
     c0, c1, c2, c3 = (F.col(f"c{k}") for k in range(4))
 
@@ -94,9 +96,9 @@ def own_index(texts: DataFrame) -> DataFrame:
     rule = F.min(F.when(line.rlike(r"^\+[-+]+\+"), F.col("n"))).over(after)
     mark = F.min(F.when(line.rlike(stop) | F.coalesce(unknown, F.lit(False)), F.col("n"))).over(after)
     rows = rows.withColumns({"date_str": date_str, "skip": skip, "rule": rule, "mark": mark})
-    ends = F.when(F.col("skip") == 3, F.lead("mark", 4).over(BY_LINE))
+    ends = F.when(F.col("skip") == 3, F.lead("mark", 4).over(by_line()))
     for k in range(3):
-        ends = ends.when(F.col("skip") == k, F.lead("mark", k + 1).over(BY_LINE))
+        ends = ends.when(F.col("skip") == k, F.lead("mark", k + 1).over(by_line()))
     rows = rows.withColumn("until", F.least("rule", ends))
     anchors = rows.filter("date_str is not null").select("doc_id", F.col("n").alias("ordinal"), "date_str", "until")
     third = r"\|\s*[^|]*\|\s*[^|]*\|\s*([^|]+)\|"
@@ -126,7 +128,7 @@ def own_sections(texts: DataFrame) -> DataFrame:
 def vendor_sections(texts: DataFrame) -> DataFrame:
     """Headers with their date on the next line, cover letters, and headers with a date in line."""
     header, date, cover, inline = fixed.VENDOR_HEADER, fixed.VENDOR_DATE, fixed.VENDOR_COVER, fixed.VENDOR_INLINE
-    rows = lines(texts).withColumn("line", strip(F.col("line"))).withColumn("next", F.coalesce(strip(F.lead("line").over(BY_LINE)), F.lit("")))
+    rows = lines(texts).withColumn("line", strip(F.col("line"))).withColumn("next", F.coalesce(strip(F.lead("line").over(by_line())), F.lit("")))
     line, following = F.col("line"), F.col("next")
     two = line.rlike(header) & following.rlike(date)
     found = (
