@@ -23,6 +23,7 @@ from folioquery.llm._spark import cut
 #: The weights, repeated over the sources in order.
 WEIGHTS = (5, 2, 1)
 LEVEL_BITS, LEVELS = 12, 3
+BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,29 +52,68 @@ def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
     return s.withColumn("at", level).select("source", "source_size", F.when(F.col("at").isNull(), F.col("most")).otherwise(F.least(F.col("most"), F.col("at") * F.col("w"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies and taken."""
-    size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
-    sized = cut(docs.select(docs["doc_id"], docs["source"], size.alias("size"), F.xxhash64(docs["doc_id"], F.lit(seed)).alias("h")))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(sources, share, cap, weights)
+def _key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def plan_mix(sized: DataFrame, share: float, cap: float, weights: tuple[int, ...]) -> DataFrame:
+    """A row a source: its key, sizes, whole copies, and the threshold below which a hash brings one more.
+
+    ``sized`` has source, size and h, and is read once a level.
+    """
+    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = plan.withColumn("whole", times.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = plan.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    plan = cut(plan)
-    rows = sized.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    plan = cut(plan.withColumn("key", _key(F.col("source"))))
+    rows = sized.select(_key(F.col("source")).alias("key"), "size", "h")
     edge = plan.select("key", "rest", F.lit(0.0).alias("below"), F.lit(0).cast("long").alias("path"))
     for level in range(1, LEVELS + 1):
-        path = _bits(F.col("h"), level - 1) if level > 1 else F.lit(0).cast("long")
-        inside = rows.withColumn("path", path).join(edge, ["key", "path"])
-        cells = inside.groupBy("key", "rest", "below", _bits(F.col("h"), level).alias("cell")).agg(F.sum("size").alias("in_cell"))
+        # rows meet their source's boundary bucket only, of one document in 2**LEVEL_BITS, never the whole source
+        inside = rows if level == 1 else rows.withColumn("path", _bits(F.col("h"), level - 1)).join(edge.select("key", "path"), ["key", "path"])
+        cells = inside.groupBy("key", _bits(F.col("h"), level).alias("cell")).agg(F.sum("size").alias("in_cell")).join(edge.select("key", "rest", "below"), "key")
         run = F.sum("in_cell").over(Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
         cells = cells.withColumn("upto", F.col("below") + run).filter(F.col("upto") > F.col("rest"))
         edge = cells.groupBy("key").agg(F.min(F.struct("cell", "rest", (F.col("upto") - F.col("in_cell")).alias("below"), "upto")).alias("e"))
         edge = edge.select("key", "e.rest", "e.below", F.col("e.cell").alias("path"), "e.upto")
     edge = edge.select("key", "path", (F.col("upto") - F.col("rest") < F.col("rest") - F.col("below")).alias("over"))
-    plan = plan.join(edge, "key", "left").drop("source")
-    cell = _bits(F.col("h"), LEVELS)
+    return cut(plan.join(edge, "key", "left").drop("source"))
+
+
+def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows (with mix_key, size and mix_h) and their source's plan, with copies and taken.
+
+    The plan has a row a source; up to BROADCAST_SOURCES of them are broadcast,
+    more are joined by key.
+    """
+    cell = _bits(F.col("mix_h"), LEVELS)
     extra = F.when((cell < F.col("path")) | ((cell == F.col("path")) & F.col("over")), 1).otherwise(0)
-    out = rows.join(plan, "key").withColumn("copies", (F.col("whole") + F.when(F.col("rest") > 0, extra).otherwise(0)).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    plan = plan.withColumnRenamed("key", "mix_key")
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+    out = rows.join(plan, "mix_key").withColumn("copies", (F.col("whole") + F.when(F.col("rest") > 0, extra).otherwise(0)).cast("long"))
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(docs["doc_id"], docs["source"], size.alias("size"), F.xxhash64(docs["doc_id"], F.lit(seed)).alias("h"))
+
+
+def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, copies and taken."""
+    sized = cut(_sized(docs, seed))
+    rows = sized.withColumn("mix_key", _key(F.col("source"))).withColumnRenamed("h", "mix_h")
+    return _taken(rows, plan_mix(sized, share, cap, weights)).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def take_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
+    """The documents that the mix takes, with all their columns and mix_size, mix_copies and mix_taken.
+
+    Columns of ``docs`` that have these names are replaced.
+    """
+    plan = plan_mix(cut(_sized(docs, seed)), share, cap, weights)
+    size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), size.alias("size"), _key(docs["source"]).alias("mix_key"), F.xxhash64(docs["doc_id"], F.lit(seed)).alias("mix_h"))
+    own = [c for c in docs.columns if c.lower() not in ("mix_size", "mix_copies", "mix_taken")]
+    out = _taken(rows, plan).filter("copies > 0")
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in own], F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies"), F.col("taken").alias("mix_taken"))
