@@ -75,7 +75,7 @@ class Contexts:
         anchor = anchor[place]
         new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1] + 1))))
         self.first, self.last, at = place[new], place[np.append(new[1:], len(place)) - 1], anchor[new]
-        self.a = h[at]
+        self.a = mix(h[at] ^ U64(0x632BE59BD9B4E019))  # least hashes begin with zeros: their buckets come from another one
         self.c = mix(run_hash(prefix, self.first, self.last + length) ^ (at - self.first).astype(U64) * U64(0x9FB21C651E98DF25))
 
 
