@@ -12,7 +12,7 @@ task meets every query with one share of the candidates, block by block, and
 returns k rows a query. The k best of all shares follow from one aggregation.
 No row is broadcast and no pair leaves its task.
 
-Defined results: vectors that are null or hold null or non-finite components,
+Defined results: vectors that are null or empty or hold null or non-finite components,
 rows with a null id, and pairs of different length take no part; candidates
 with the query's id count as its own row; query rows with one id are one query, the least vector;
 ties go to the smaller id; empty tables give no rows; further columns are not
@@ -45,7 +45,7 @@ def _packed(scale: int, width: int):
                 if i is None or not v.is_valid or v.values.null_count:
                     continue
                 x = v.values.to_numpy(zero_copy_only=False)
-                if np.isfinite(x).all():
+                if len(x) and np.isfinite(x).all():
                     found.setdefault(len(x), []).append((i, np.floor(x * scale)))
             for dim, rows in found.items():
                 for at in range(0, len(rows), width):
@@ -94,10 +94,8 @@ def _search(k: int):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         out = []
         blocks = [(d, np.frombuffer(i, np.int64), np.frombuffer(v, np.float64).reshape(-1, d)) for d, i, v in zip(candidates["dim"].to_pylist(), candidates["ids"].to_pylist(), candidates["vectors"].to_pylist())] if candidates.num_rows else []
-        blocks = [(d, i, v, _levels(v)) for d, i, v in blocks if d]
+        blocks = [(d, i, v, _levels(v)) for d, i, v in blocks]
         for dim, raw, packed in zip(*(queries[c].to_pylist() for c in ("dim", "ids", "vectors"))) if queries.num_rows else ():
-            if not dim:
-                continue
             q_ids, q = np.frombuffer(raw, np.int64), np.frombuffer(packed, np.float64).reshape(-1, dim)
             levels = _levels(q)
             best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
