@@ -41,6 +41,7 @@ from folioquery.llm._spark import batched, bucket_bits, cut
 from folioquery.llm.components import components
 
 SMALL = 8
+GRAM_BITS = 24
 BLOCK = 512
 COLUMN_BLOCKS = 4
 
@@ -98,8 +99,9 @@ COUNTS = pa.schema([("bucket", pa.int32()), ("b", pa.int32()), ("gram", pa.binar
 KNOWN = pa.schema([("b", pa.int32()), ("bucket", pa.int32()), ("gram", pa.binary()), ("rank", pa.binary())])
 
 
-def _low(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> U64(32 - bits)).astype(np.uint32)
+def _key(h: np.ndarray, bits: int) -> np.ndarray:
+    """Bucket and the next GRAM_BITS of a hash: equal for different n-grams now and then, which only makes them look more frequent."""
+    return h >> U64(64 - bits - GRAM_BITS)
 
 
 def _table(schema: pa.Schema, rows: list) -> pa.Table:
@@ -110,14 +112,14 @@ def _table(schema: pa.Schema, rows: list) -> pa.Table:
 def send_counts(n: int, bits: int):
     def run(batch: pa.Table) -> pa.Table:
         found = [h[np.concatenate([np.arange(edge[i], edge[i + 1]) for i in new])] if new else h[:0] for _, h, edge, _, new in _batch_classes(batch, n)]
-        key = np.sort(np.concatenate(found)) >> U64(32 - bits)
+        key = _key(np.sort(np.concatenate(found)), bits)
         at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         count, key = np.diff(np.append(at, len(key))), key[at]
-        edge = np.searchsorted(key, np.arange((1 << bits) + 1, dtype=U64) << U64(32))
+        edge = np.searchsorted(key, np.arange((1 << bits) + 1, dtype=U64) << U64(GRAM_BITS))
         b, rows = batch["b"][0].as_py(), []
         for i, (s, e) in enumerate(zip(edge[:-1], edge[1:])):
             if s < e:
-                rows.append((i, b, planes(key[s:e].astype(np.uint32)), np.minimum(count[s:e], 255).astype(np.uint8).tobytes()))
+                rows.append((i, b, planes((key[s:e] & U64((1 << GRAM_BITS) - 1)).astype(np.uint32)), np.minimum(count[s:e], 255).astype(np.uint8).tobytes()))
         return _table(COUNTS, rows)
 
     return run
@@ -149,7 +151,7 @@ def find_classes(n: int, threshold: int, bits: int):
     def run(batch: pa.Table, known: pa.Table) -> pa.Table:
         if not batch.num_rows:
             return CLASSES.empty_table()
-        keys = [(U64(i) << U64(32)) | unplanes(g, np.uint32).astype(U64) for i, g in zip(known["bucket"].to_pylist(), known["gram"].to_pylist())]
+        keys = [(U64(i) << U64(GRAM_BITS)) | unplanes(g, np.uint32).astype(U64) for i, g in zip(known["bucket"].to_pylist(), known["gram"].to_pylist())]
         key = np.concatenate(keys) if keys else np.zeros(0, U64)
         rank = np.concatenate([np.frombuffer(r, np.uint8) for r in known["rank"].to_pylist()]) if keys else np.zeros(0, np.uint8)
         order = np.argsort(key)
@@ -161,7 +163,7 @@ def find_classes(n: int, threshold: int, bits: int):
             rows += [(ids[a + i], int(size[i]), names[i], None, None, None) for i in range(len(names))]
             if not len(key) or not len(h):
                 continue
-            mine = h >> U64(32 - bits)
+            mine = _key(h, bits)
             at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
             r = np.where(key[at] == mine, rank[at], 0)
             shared = np.concatenate(([0], np.cumsum(r > 0)))
