@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioquery.llm.decontamination import decontaminate
 from folioquery.llm.exact_topk import exact_topk
 from folioquery.llm.html_extraction import extract_main_text
+from folioquery.llm.lm_scoring import lm_scores
 from folioquery.llm.ngram_join import ngram_jaccard_join
 from folioquery.llm.pii import KINDS, find_pii
 from folioquery.llm.quality_classifier import fit, held_out, quality_scores
@@ -92,3 +93,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=4, threshold=85).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under models of all documents and of those labelled good."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return lm_scores(table(spark, sf_dir, "documents"), good)
