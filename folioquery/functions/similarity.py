@@ -18,7 +18,12 @@ def fingerprint(text: Column) -> Column:
 def word_overlap(a: Column, b: Column) -> Column:
     """Jaccard similarity of the distinct words; 0 if either has none."""
     x, y = (F.filter(F.split(t, r"\s+"), lambda w: w != "") for t in (a, b))
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
+
+    def share(p: Column) -> Column:
+        return F.when((F.size(p["x"]) > 0) & (F.size(p["y"]) > 0), F.size(F.array_intersect(p["x"], p["y"])) / F.size(F.array_union(p["x"], p["y"]))).otherwise(0.0)
+
+    # bound once, for every use would split the texts again
+    return F.get(F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), share), 0)
 
 
 def _shared(a: Column, b: Column, weight: float) -> Column:

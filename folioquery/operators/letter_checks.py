@@ -19,9 +19,11 @@ def issue(condition: Column, check: str, severity: str, message: Column) -> Colu
 
 
 def prepare(letters: DataFrame) -> DataFrame:
-    """Adds header, body and rubric, once for all checks."""
+    """Adds header, body, rubric and what the header says, once for all checks."""
     content = F.col("content")
-    return letters.withColumns({"header": F.when(~text.blank(content), text.first_line(content)), "body": text.body(F.coalesce(content, F.lit(""))), "rubric": rubric_name(F.coalesce("subcategory", F.array().cast("array<string>")))})
+    rows = letters.withColumns({"header": F.when(~text.blank(content), text.first_line(content)), "body": text.body(F.coalesce(content, F.lit(""))), "rubric": rubric_name(F.coalesce("subcategory", F.array().cast("array<string>")))})
+    rows = rows.withColumns({"header_date": text.header_date(F.col("header")), "header_provider": text.header_provider(F.col("header"))})
+    return rows.withColumns({"name_expected": names.plain_name(names.without_recipient(F.col("provider"))), "name_found": names.plain_name(F.col("header_provider"))})
 
 
 def header_format() -> Column:
@@ -39,14 +41,14 @@ def header_format() -> Column:
 
 
 def date_consistency() -> Column:
-    expected, found = F.col("date"), text.header_date(F.col("header"))
+    expected, found = F.col("date"), F.col("header_date")
     known = ~text.blank(expected) & (F.lower(text.strip(expected)) != "unknown") & (found != "Unknown")
     return issue(known & ~dates.dates_match(expected, found), "date_consistency", "error", F.concat(F.lit("Header date '"), found, F.lit("' does not match expected '"), expected, F.lit("'")))
 
 
 def provider_consistency() -> Column:
-    expected, found = F.col("provider"), text.header_provider(F.col("header"))
-    a, b = names.plain_name(names.without_recipient(expected)), names.plain_name(found)
+    expected, found = F.col("provider"), F.col("header_provider")
+    a, b = F.col("name_expected"), F.col("name_found")
     same = (a == b) | (names.last_name(a) == names.last_name(b))
     other_kind = names.likely_organisation(expected) & names.has_credential(found)
     return issue(~text.blank(expected) & found.isNotNull() & ~other_kind & ~same, "provider_consistency", "warning", F.concat(F.lit("Header provider '"), found, F.lit("' does not match expected '"), expected, F.lit("'")))

@@ -46,15 +46,18 @@ def date_of_service(joined: DataFrame) -> DataFrame:
 
 def coverage(joined: DataFrame) -> DataFrame:
     """Clinical fields of a page none of whose phrases stands in the letter's body."""
-    body = F.lower(text.body(F.col("content")))
     fields = F.array(*[F.struct(F.lit(f).alias("name"), F.try_variant_get("r", f"$.{f}", "variant").alias("v")) for f in fixed.CLINICAL_FIELDS])
+    strings = F.filter(fields, lambda f: F.schema_of_variant(f["v"]) == "STRING")
+    values = F.transform(strings, lambda f: F.struct(f["name"].alias("name"), F.try_variant_get(f["v"], "$", "string").alias("value")))
+    long_ = F.filter(values, lambda f: F.length(text.strip(f["value"])) > fixed.CLINICAL_CHARS)
+    said = F.transform(long_, lambda f: F.struct(f["name"].alias("name"), F.lower(f["value"]).alias("value")))
+    said = F.filter(F.transform(said, lambda f: F.struct(f["name"].alias("name"), text.phrases(f["value"]).alias("phrases"))), lambda f: F.size(f["phrases"]) > 0)
 
-    def unsaid(field: Column) -> Column:
-        value = F.when(F.schema_of_variant(field["v"]) == "STRING", F.try_variant_get(field["v"], "$", "string"))
-        said = text.phrases(value)
-        return F.coalesce((F.length(text.strip(value)) > fixed.CLINICAL_CHARS) & (F.size(said) > 0) & ~F.exists(said, lambda p: F.contains(body, F.lower(p))), F.lit(False))
+    def unsaid(body: Column) -> Column:
+        return F.array_join(F.transform(F.filter(said, lambda f: ~F.exists(f["phrases"], lambda p: F.contains(body, p))), lambda f: f["name"]), ", ")
 
-    missing = F.array_join(F.transform(F.filter(fields, unsaid), lambda f: f["name"]), ", ").alias("fields")
+    # the body is bound once a row, not once a phrase
+    missing = F.get(F.transform(F.array(F.lower(text.body(F.col("content")))), unsaid), 0).alias("fields")
     page = joined.filter(~text.blank(F.col("content"))).select("index", "page", missing).filter("fields <> ''")
     return _rows(page, "content_coverage", "warning", _quoted("Content from page ", F.col("page").cast("string"), " not reflected in summary: ", F.col("fields")))
 
