@@ -271,7 +271,7 @@ def _families(posts: DataFrame, roots: DataFrame, bodies: DataFrame, threshold:
     return blocks.groupBy("family", "i", "j").applyInArrow(_product(threshold), "x binary, y binary")
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, class (the set's name) and component_id of every row; ``threshold`` in hundredths."""
     bits = bucket_bits(docs.sparkSession)
     rows = batched(docs, "doc_id", "text")

@@ -12,6 +12,7 @@ from folioquery.llm.exact_topk import exact_topk
 from folioquery.llm.html_extraction import extract_main_text
 from folioquery.llm.lm_scoring import lm_scores
 from folioquery.llm.ngram_join import ngram_jaccard_join
+from folioquery.llm.oracles import ORACLES  # noqa: F401
 from folioquery.llm.pii import KINDS, find_pii
 from folioquery.llm.quality_classifier import fit, held_out, quality_scores
 from folioquery.llm.source_mixing import mix_sources
@@ -19,7 +20,6 @@ from folioquery.llm.substring_dedup import substring_dedup
 from folioquery.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(f):

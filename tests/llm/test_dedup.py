@@ -98,3 +98,24 @@ def test_components(spark):
 def test_empty_tables(spark, operator):
     assert operator(frame(spark, [])).count() == 0
     assert operator(frame(spark, [(1, None), (2, ""), (2, "")])).count() == 3
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op5_ngram_jaccard_join", "op6_exact_topk", "op9_benchmark_decontamination"])
+def test_queries_equal_sql(spark, name):
+    from pathlib import Path
+
+    import duckdb
+
+    from folioquery.llm import registry
+
+    if not Path(SF).exists():
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for p in Path(SF).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    df, rel = registry.QUERIES[name](spark, SF), con.sql(registry.ORACLES[name])
+    assert sorted(df.columns) == sorted(rel.columns)
+    assert sorted(map(tuple, df.select(*sorted(df.columns)).collect())) == sorted(con.sql(f"SELECT {', '.join(sorted(rel.columns))} FROM ({registry.ORACLES[name]})").fetchall())
