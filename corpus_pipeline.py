@@ -5,8 +5,9 @@ names and read again by the next one. All but the last return the columns they
 were given.
 
 * quality: documents that score below 0.7 go.
-* near_duplicates: of each group of linked documents the one with the least id
-  stays; rows that repeat an id are one document.
+* near_duplicates: of each group of documents linked by a similarity of 0.8 or
+  more on five-word shingles the one with the least id stays; rows that repeat an
+  id are one document.
 * decontamination: documents that hold a window of a benchmark item go.
 * pii: every span is replaced by its kind in brackets, and n_chars follows.
 * mixing: documents that the mix takes stay, with mix_size, mix_copies (how
@@ -40,7 +41,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     node = F.coalesce(docs["doc_id"], -F.abs(F.xxhash64(docs["text"]) % (1 << 62)))
-    linked = ngram_jaccard_join(docs.select(node.alias("doc_id"), docs["text"].alias("text")))
+    linked = ngram_jaccard_join(docs.select(node.alias("doc_id"), docs["text"].alias("text")), n=5, threshold=80)
     gone = linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("node")).distinct()
     whole = docs.select(node.alias("node"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
     kept = whole.join(gone, "node", "left_anti").groupBy("node").agg(F.min("doc").alias("doc"))
