@@ -4,8 +4,10 @@ Sizes are summed by source and hash bucket. Per source a running sum over the
 buckets finds the one in which the budget runs out; only that bucket is
 histogrammed again by the next bits, until its cell holds the rows of about one
 document. A document is then kept by comparing its hash with its source's
-threshold: nothing is sorted, and every pass is one partial aggregation, so a
-source with a third of all rows costs each task at most one row a bucket.
+threshold. Two more turns, with other hashes, spend what is left below the
+boundary document on documents that fit into it. Nothing is sorted, and every
+pass is one partial aggregation, so a source with a third of all rows costs each
+task at most one row a bucket.
 
 Defined results: a null or blank text has size 0; null sources form one source,
 last in order; rows with equal ids share a hash and are taken or left together;
@@ -24,6 +26,7 @@ from folioquery.llm._spark import cut
 WEIGHTS = (5, 2, 1)
 LEVEL_BITS, LEVELS = 12, 3
 BROADCAST_SOURCES = 100_000
+TURNS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -66,7 +69,23 @@ def plan_mix(sized: DataFrame, share: float, cap: float, weights: tuple[int, ...
     plan = plan.withColumn("whole", times.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = cut(plan.withColumn("key", _key(F.col("source"))))
     rows = sized.select(_key(F.col("source")).alias("key"), "size", "h")
-    edge = plan.select("key", "rest", F.lit(0.0).alias("below"), F.lit(0).cast("long").alias("path"))
+    plan = plan.withColumn("left0", F.col("rest"))
+    for turn in range(TURNS):
+        open_ = rows if turn == 0 else _join_plan(rows, plan).filter(~_extra(turn, F.col("h"), last=False) & (F.col("size") <= F.col(f"left{turn}"))).select("key", "size", "h")
+        edge = _edge(open_.withColumn("h", _turned(F.col("h"), turn)), plan.select("key", F.col(f"left{turn}").alias("rest")))
+        plan = plan.join(edge, "key", "left")
+        plan = plan.withColumn(f"path{turn}", F.coalesce("path", F.lit(1 << LEVEL_BITS * LEVELS))).withColumn(f"left{turn + 1}", F.col(f"left{turn}") - F.coalesce("below", F.lit(0.0)))
+        plan = cut(plan.withColumn("over", F.coalesce(F.col("upto") - F.col(f"left{turn}") < F.col(f"left{turn}") - F.col("below"), F.lit(False))).drop("path", "below", "upto"))
+    return plan.drop("source")
+
+
+def _turned(h: Column, turn: int) -> Column:
+    return h if turn == 0 else F.xxhash64(h, F.lit(turn))
+
+
+def _edge(rows: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Per source the cell in which its budget runs out, and the sums below it and up to it; no row where all fit."""
+    edge = budgets.select("key", "rest", F.lit(0.0).alias("below"), F.lit(0).cast("long").alias("path"))
     for level in range(1, LEVELS + 1):
         # rows meet their source's boundary bucket only, of one document in 2**LEVEL_BITS, never the whole source
         inside = rows if level == 1 else rows.withColumn("path", _bits(F.col("h"), level - 1)).join(edge.select("key", "path"), ["key", "path"])
@@ -75,22 +94,30 @@ def plan_mix(sized: DataFrame, share: float, cap: float, weights: tuple[int, ...
         cells = cells.withColumn("upto", F.col("below") + run).filter(F.col("upto") > F.col("rest"))
         edge = cells.groupBy("key").agg(F.min(F.struct("cell", "rest", (F.col("upto") - F.col("in_cell")).alias("below"), "upto")).alias("e"))
         edge = edge.select("key", "e.rest", "e.below", F.col("e.cell").alias("path"), "e.upto")
-    edge = edge.select("key", "path", (F.col("upto") - F.col("rest") < F.col("rest") - F.col("below")).alias("over"))
-    return cut(plan.join(edge, "key", "left").drop("source"))
+    return edge.select("key", "path", "below", "upto")
 
 
-def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows (with mix_key, size and mix_h) and their source's plan, with copies and taken.
+def _extra(turns: int, h: Column, last: bool = True) -> Column:
+    """Whether one of the first turns takes a document."""
+    out = F.lit(False)
+    for turn in range(turns):
+        cell = _bits(_turned(h, turn), LEVELS)
+        under = cell < F.col(f"path{turn}")
+        if last and turn == turns - 1:
+            under = under | ((cell == F.col(f"path{turn}")) & F.col("over"))
+        out = out | (under & (F.col("size") <= F.col(f"left{turn}")) if turn else under)
+    return out
 
-    The plan has a row a source; up to BROADCAST_SOURCES of them are broadcast,
-    more are joined by key.
-    """
-    cell = _bits(F.col("mix_h"), LEVELS)
-    extra = F.when((cell < F.col("path")) | ((cell == F.col("path")) & F.col("over")), 1).otherwise(0)
-    plan = plan.withColumnRenamed("key", "mix_key")
-    if plan.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    out = rows.join(plan, "mix_key").withColumn("copies", (F.col("whole") + F.when(F.col("rest") > 0, extra).otherwise(0)).cast("long"))
+
+def _join_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Up to BROADCAST_SOURCES rows of the plan are broadcast, more are joined by key."""
+    return rows.join(F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan, "key")
+
+
+def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows (with key, size and mix_h) and their source's plan, with copies and taken."""
+    extra = F.when((F.col("rest") > 0) & _extra(TURNS, F.col("mix_h")), 1).otherwise(0)
+    out = _join_plan(rows, plan).withColumn("copies", (F.col("whole") + extra).cast("long"))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
@@ -102,7 +129,7 @@ def _sized(docs: DataFrame, seed: int) -> DataFrame:
 def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies and taken."""
     sized = cut(_sized(docs, seed))
-    rows = sized.withColumn("mix_key", _key(F.col("source"))).withColumnRenamed("h", "mix_h")
+    rows = sized.withColumn("key", _key(F.col("source"))).withColumnRenamed("h", "mix_h")
     return _taken(rows, plan_mix(sized, share, cap, weights)).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
@@ -113,7 +140,7 @@ def take_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
     """
     plan = plan_mix(cut(_sized(docs, seed)), share, cap, weights)
     size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), size.alias("size"), _key(docs["source"]).alias("mix_key"), F.xxhash64(docs["doc_id"], F.lit(seed)).alias("mix_h"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), size.alias("size"), _key(docs["source"]).alias("key"), F.xxhash64(docs["doc_id"], F.lit(seed)).alias("mix_h"))
     own = [c for c in docs.columns if c.lower() not in ("mix_size", "mix_copies", "mix_taken")]
     out = _taken(rows, plan).filter("copies > 0")
     return out.select(*[F.col("doc").getField(c).alias(c) for c in own], F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies"), F.col("taken").alias("mix_taken"))
