@@ -21,6 +21,9 @@ gives no rows; further columns are not read.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -89,6 +92,15 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(samples)[-DICTIONARY:] or b"........"
 
 
+def _release() -> None:
+    """Gives what the sample took back to the system: the driver lives on for many stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_bytes: int = 32 << 20) -> Model:
     """Learns from labelled rows that are not held out."""
     known = labels.select(labels["doc_id"].alias("id"), labels["quality"].alias("q")).filter("q in (0, 1)")
@@ -100,11 +112,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_byte
     texts = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("text")).filter("text <> ''").filter(F.octet_length("text") <= sample_bytes // 64)
     rows = texts.join(F.broadcast(least[0].unionByName(least[1])), "id").groupBy("q", "h", "id").agg(F.min("text").alias("text")).toArrow().sort_by([("h", "ascending"), ("id", "ascending")])
     total, got = {0: 0, 1: 0}, {0: [], 1: []}
-    for q, text in zip(rows["q"].to_pylist(), rows["text"].to_pylist()):
-        raw = text.encode()
-        total[q] += len(raw)
-        if total[q] <= sample_bytes // 2:
-            got[q].append(raw)
+    for batch in rows.to_batches(max_chunksize=256):
+        for q, text in zip(batch["q"].to_pylist(), batch["text"].to_pylist()):
+            raw = text.encode()
+            total[q] += len(raw)
+            if total[q] <= sample_bytes // 2:
+                got[q].append(raw)
+    del rows
     if len(got[0]) < 4 or len(got[1]) < 4:
         p = min(0.99, max(0.01, 0.5 if share is None else float(share)))
         return Model(b"........", b"........", 0.0, float(np.log(p / (1 - p))))
@@ -114,6 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_byte
     slope, shift = _curve(np.array([_difference(pair, t) for t, _ in rest]), np.array([float(q) for _, q in rest]))
     p = min(0.999, max(0.001, float(share)))
     shift += float(np.log(p / (1 - p)) - np.log(len(got[1][1::2]) / len(got[0][1::2])))
+    del got, rest
+    _release()
     return Model(good, bad, slope, shift)
 
 
