@@ -208,7 +208,8 @@ def lm_scores(docs: DataFrame, target: DataFrame, min_count: int = 3) -> DataFra
 
     ``target`` has the ids of the target's documents as doc_id.
     """
-    n, bits = parts(docs.sparkSession), bucket_bits(docs.sparkSession)
+    # a bucket answers every batch, and the words' sums are read three times: a quarter of the buckets of the other operators
+    n, bits = parts(docs.sparkSession), bucket_bits(docs.sparkSession) - 2
     rows = docs.select(docs["doc_id"], docs["text"], F.pmod(F.xxhash64(F.coalesce(docs["doc_id"], F.xxhash64(docs["text"]))), F.lit(2 * n)).cast("int").alias("b")).repartition(n, "b")
     blank = {"kind": "int", "bucket": "int", "id": "long", "every": "binary", "target": "binary", "totals": "array<double>"}
 
