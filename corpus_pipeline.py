@@ -7,14 +7,15 @@ were given.
 * quality: documents that score below 0.7 go.
 * near_duplicates: of each group of documents linked by a similarity of 0.8 or
   more on five-word shingles the one with the least id stays; rows that repeat an
-  id are one document.
+  id with another text are other documents, equal id and text one.
 * decontamination: documents that hold a window of a benchmark item go.
 * pii: every span is replaced by its kind in brackets, and n_chars follows.
 * mixing: documents that the mix takes stay, with mix_size, mix_copies (how
   often) and mix_taken.
 
 Rows whose id is null stand for themselves in the second stage, told apart by
-their text.
+their text; of a linked group they stay only where no row has an id. Of a
+group's texts under its least id one stays.
 """
 
 from __future__ import annotations
@@ -40,11 +41,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    node = F.coalesce(docs["doc_id"], -F.abs(F.xxhash64(docs["text"]) % (1 << 62)))
+    node = F.xxhash64(docs["doc_id"], docs["text"])
     linked = ngram_jaccard_join(docs.select(node.alias("doc_id"), docs["text"].alias("text")), n=5, threshold=80)
-    gone = linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("node")).distinct()
+    group = linked.select(F.col("doc_id").alias("node"), F.col("component_id").alias("group")).distinct()
+    ids = docs.select(node.alias("node"), docs["doc_id"].alias("id")).distinct()
+    best = group.join(ids, "node").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("least"))
     whole = docs.select(node.alias("node"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    kept = whole.join(gone, "node", "left_anti").groupBy("node").agg(F.min("doc").alias("doc"))
+    kept = whole.join(best.select("least.node"), "node", "left_semi").groupBy("node").agg(F.min("doc").alias("doc"))
     return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 

@@ -57,6 +57,17 @@ def test_stages(spark, tables):
     assert mix.columns[: len(columns)] == columns and mix.filter("mix_copies < 1").count() == 0
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    r = random.Random(5)
+    one, two, three, four, five, six, seven = (" ".join(f"{r.choice('abcdef')}{r.randint(0, 400)}" for _ in range(60)) for _ in range(7))
+    rows = [(1, one), (1, two), (1, None), (2, one + " tail"), (2, three), (3, four), (3, four), (3, four + " tail"), (None, five), (9, five + " tail"), (None, six), (None, six), (None, seven), (4, None), (5, ""), (5, " ")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = [(x.doc_id, x.text) for x in pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sum(x in ((3, four), (3, four + " tail")) for x in got) == 1
+    expected = [(1, one), (1, two), (1, None), (2, three), (9, five + " tail"), (None, six), (None, seven), (4, None), (5, ""), (5, " ")]
+    assert sorted((x for x in got if x[0] != 3), key=repr) == sorted(expected, key=repr)
+
+
 def test_run(spark, tables):
     folder, item = tables
     out = pipeline.run(spark, folder).collect()
