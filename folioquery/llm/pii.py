@@ -19,7 +19,9 @@ the classifier gives it ``threshold`` or more. Only pattern counts reach the
 driver; their number follows from the labelers, not from the documents.
 
 Defined results: a null or empty text has no spans; offsets are code points, end
-exclusive; proposals that overlap a base span or an earlier proposal are left;
+exclusive; proposals that overlap a base span or an earlier proposal are left,
+but a secret only where one base span covers its value; a secret has 16
+characters or more, dots inside included, and no upper bound;
 rows with equal ids are separate documents; without any proposal the classifier
 takes nothing; an empty table gives no rows; further columns are not read.
 """
@@ -47,7 +49,7 @@ LOOSE = (
     ("phone", r"(?<![\w.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![\w-])"),
     ("phone", r"(?<![\w.+-])00[0-9]{1,3}[\x20-][0-9][0-9\x20-]{6,14}[0-9](?![\w-])"),
     ("card", r"(?<![\w.-])[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![\w-])"),
-    ("secret", r"(?:api[_-]?key|access[_-]?key|secret|token|passwo?r?d)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_=-]{16,200}"),
+    ("secret", r"(?:api[_-]?key|access[_-]?key|secret|token|passwo?r?d)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{15,}[A-Za-z0-9+/_=-])"),
 )
 ALL_KINDS = (*KINDS, "secret")
 #: Gazetteers and announcing words.
@@ -116,18 +118,19 @@ class Finder:
         return sorted(out)
 
     def proposed(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
-        """Loose spans that touch no base span nor an earlier one."""
+        """Loose spans that touch no earlier one nor a base span; secrets may hold base spans."""
         found = []
         digits = bool(self.digit.search(text))
         for kind, pattern in self.loose:
             if (kind in ("phone", "card") and not digits) or (kind == "secret" and not self.name.search(text)) or (kind == "email" and not self.spelt.search(text)):
                 continue
-            found += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
+            found += [(m.start(), m.end(), kind, m.start(m.re.groups)) for m in pattern.finditer(text)]
         if not found:
             return []
-        busy, out = sorted((s, e) for s, _, e in base), []
-        for s, e, kind in sorted(found):
-            if all(e <= x or s >= y for x, y in busy):
+        fixed, busy, out = [(s, e) for s, _, e in base], [], []
+        for s, e, kind, value in sorted(found):
+            free = all(x > value or y < e for x, y in fixed) if kind == "secret" else all(e <= x or s >= y for x, y in fixed)
+            if free and all(e <= x or s >= y for x, y in busy):
                 out.append((kind, s, e))
                 busy.append((s, e))
         return out

@@ -98,6 +98,16 @@ def test_pii(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+def test_whole_secrets(spark):
+    long, jwt = "a1B2" * 100, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    values = [long, jwt, long + "/4111111111111111/" + long, "k3y" * 80 + "/tail1@host.org", "abc123" * 4]
+    rows = [(i, f"see token: {v}. End") for i, v in enumerate(values)] + [(9, "password: averylongname1234567@x.org now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact_pii(df).collect()}
+    assert {got[i] for i in range(len(values))} == {"see [SECRET]. End"}
+    assert got[9] == "password: [EMAIL] now"
+
+
 def test_reliabilities_find_the_better_labeler():
     r = random.Random(1)
     rows = {}
