@@ -1,14 +1,16 @@
 """The other corpus operators: brute force, held-out accuracy and defined edge cases."""
 
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioquery.llm import pii
 from folioquery.llm.decontamination import decontaminate, drop_contaminated
-from folioquery.llm.exact_topk import exact_topk
+from folioquery.llm.exact_topk import Search, _blocks, _floors, exact_topk
 from folioquery.llm.html_extraction import extract_main_text, main_text
 from folioquery.llm.quality_classifier import fit, held_out, keep_good, quality_scores
 from folioquery.llm.source_mixing import mix_sources, take_mix
@@ -34,20 +36,46 @@ def test_decontamination(spark, limit):
     assert {r.n_hit for r in decontaminate(docs, bench.limit(0)).collect()} == {0}
 
 
-def test_top_k(spark):
+def top_k(rows, k, scale):
+    """Plain search over (id, vector) rows: every row whose id 50 divides against every other row."""
+    valid = [(i, [math.floor(scale * c) for c in v]) for i, v in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v)]
+    out = []
+    for q, (i, x) in enumerate(valid):
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), j) for c, (j, y) in enumerate(valid) if c != q and len(y) == len(x))[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [256, 10**7])
+def test_top_k(spark, scale):
     r = np.random.RandomState(0)
     rows = [(int(i), r.randn(16).round(2).tolist()) for i in range(300)]
-    rows += [(300, None), (350, [float("nan")] * 16), (301, [1.0, None] * 8), (302, [1.0] * 3), (None, [1.0] * 16), (400, [2.0] * 16), (401, [2.0] * 16), (401, [2.0] * 16), (450, [])]
+    rows += [(300, None), (350, [float("nan")] * 16), (301, [1.0, None] * 8), (302, [1.0] * 3), (303, [1.0, 2.0, 0.0]), (None, [1.0] * 16), (400, [2.0] * 16), (401, [2.0] * 16), (401, [2.0] * 16), (450, [])]
+    # rows that share an id, with one vector and with another; ties; an invalid row under a query's id
+    rows += [(500, [1.5] * 16)] * 3 + [(500, [-1.5] * 16), (500, None), (450, [1.0] * 3), (7, [2.0] * 16)]
     df = spark.createDataFrame([(i, v, 1, 2.0) for i, v in rows], "vec_id long, embedding array<double>, g int, score double")
-    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in exact_topk(df.filter("vec_id % 50 = 0"), df, 5, 256).collect())
-    valid = [(i, np.floor(256 * np.array(v))) for i, v in rows if i is not None and v and len(v) == 16 and None not in v and not np.isnan(v).any()]
-    expected = []
-    for q, x in valid:
-        if q % 50 == 0:
-            best = sorted(((-int(x @ y), i) for i, y in valid if i != q))[:5]
-            expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got == sorted(expected)
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in exact_topk(df.filter("vec_id % 50 = 0"), df, 5, scale).collect())
+    assert got == top_k(rows, 5, scale)
     assert exact_topk(df.limit(0), df).count() == 0 and exact_topk(df, df.limit(0)).count() == 0
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in exact_topk(df.filter("vec_id % 50 = 0"), df, 5, scale, seed_rows=2).collect()) == got
+
+
+def test_top_k_leaves_blocks():
+    """Alike vectors stand together, so that most blocks are never multiplied."""
+    r = np.random.RandomState(3)
+    centre = r.randn(40, 16) * 100
+    x = np.floor(centre[r.randint(0, 40, 8000)] + r.randn(8000, 16) * 4)
+    ids = np.arange(8000)
+    cell = pa.table({"dim": pa.array([16], pa.int32()), "ids": [ids.tobytes()], "keys": [ids.tobytes()], "vectors": [x.tobytes()]})
+    seeds = [(16, ids[20:1044].tobytes(), ids[20:1044].tobytes(), x[20:1044].tobytes())]
+    one = Search(ids[:20], ids[:20], x[:20], _floors(ids[:20], ids[:20], x[:20], seeds, 5), 5)
+    for _, *block in _blocks(cell):
+        one.add(*block)
+    full = x[:20] @ x.T
+    full[np.arange(20), ids[:20]] = -np.inf
+    assert np.array_equal(np.sort(one.score, 1), np.sort(full, 1)[:, -5:])
+    assert one.seen["pairs"] == 20 * 8000 and one.seen["boxed"] > 0.5 * one.seen["pairs"] and one.seen["exact"] < 0.2 * one.seen["pairs"], one.seen
 
 
 def test_main_text():
