@@ -219,3 +219,14 @@ def unplanes(blob: bytes, dtype) -> np.ndarray:
     if not blob:
         return np.zeros(0, dtype)
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned integers of any size in the narrowest width that holds them: that width, then byte planes."""
+    top = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
+    return bytes([width]) + planes(values.astype(f"u{width}"))
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    return unplanes(blob[1:], np.dtype(f"u{blob[0]}")).astype(np.int64)

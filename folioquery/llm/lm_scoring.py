@@ -21,8 +21,8 @@ totals are copied to all batches.
 Defined results: a null or blank text has no tokens and losses of 0; ids that
 ``target`` repeats count once, null ids never; rows with equal ids are separate
 documents, all target if one is; an empty table gives no rows; further columns
-are not read. Keys have 32 bits within one of 2**b buckets; n-grams whose keys
-meet share their counts.
+are not read. Words and word pairs are told apart by 64-bit hashes, whatever the
+number of buckets; counts have 64 bits (sums are exact below 2**53).
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioquery.llm._arrays import SPACED, U64, each_slice, mix, planes, unplanes, utf8
+from folioquery.llm._arrays import SPACED, U64, by_bucket, each_slice, mix, pack, planes, unpack, unplanes, utf8
 from folioquery.llm._spark import bucket_bits, parts
 
 ALPHA, MU = 0.5, 4.0
@@ -70,37 +70,30 @@ class Batch:
         ids = [i for i, k in zip(back["id"].to_pylist(), back["kind"].to_pylist()) if k == TARGET]
         self.mine = np.isin(np.array(self.ids.fill_null(0)), np.array(ids, np.int64)) & np.array(self.ids.is_valid())
 
-    def shrink(self, h: np.ndarray) -> np.ndarray:
-        return h >> U64(32 - self.bits)
-
     def counts(self, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys, each token's place among them, and their two counts."""
         keys, at = np.unique(key, return_inverse=True)
         return keys, at, np.bincount(at, minlength=len(keys)), np.bincount(at, weights=self.mine[doc].astype(float), minlength=len(keys)).astype(np.int64)
 
-    def edges(self, keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(keys, np.arange((1 << self.bits) + 1, dtype=U64) << U64(32))
-
     def send(self, b: int, keys: np.ndarray, every: np.ndarray, target: np.ndarray) -> pa.Table:
-        rows, edge = [], self.edges(keys)
-        low, every, target = (keys & U64(0xFFFFFFFF)).astype(np.uint32), every.astype(np.uint32), target.astype(np.uint32)
+        rows, edge = [], by_bucket(keys, self.bits)
         for i, (s, e) in enumerate(zip(edge[:-1], edge[1:])):
             if s < e:
-                rows.append((i, b, planes(low[s:e]), planes(every[s:e]), planes(target[s:e])))
+                rows.append((i, b, planes(keys[s:e]), pack(every[s:e]), pack(target[s:e])))
         return _table(SENT, rows)
 
     def sums(self, keys: np.ndarray, back: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """The corpus counts of the batch's keys."""
-        edge, every, target = self.edges(keys), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        edge, every, target = by_bucket(keys, self.bits), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         for k, i, x, y in zip(*(back[c].to_pylist() for c in ("kind", "bucket", "every", "target"))):
             if k == kind:
-                every[edge[i] : edge[i + 1]] = unplanes(x, np.uint32)
-                target[edge[i] : edge[i + 1]] = unplanes(y, np.uint32)
+                every[edge[i] : edge[i + 1]] = unpack(x)
+                target[edge[i] : edge[i + 1]] = unpack(y)
         return every, target
 
     def mapped(self, back: pa.Table, min_count: int):
         """Each token's vocabulary word, and the words' keys, places and sums."""
-        keys, at, _, _ = self.counts(self.shrink(self.word), self.doc)
+        keys, at, _, _ = self.counts(self.word, self.doc)
         every, target = self.sums(keys, back, WORDS)
         known = every >= min_count
         return np.where(known[at], keys[at], U64(UNKNOWN)), known[at], every[at], target[at]
@@ -108,7 +101,7 @@ class Batch:
     def pairs(self, word: np.ndarray) -> np.ndarray:
         """Keys of (previous word, word) of every token but the start marks."""
         on = np.flatnonzero(~self.first)
-        return self.shrink(mix(mix(word[on - 1] + U64(0x5BD1E9955BD1E995)) ^ word[on] * U64(0xC2B2AE3D27D4EB4F)))
+        return mix(mix(word[on - 1] + U64(0x5BD1E9955BD1E995)) ^ word[on] * U64(0xC2B2AE3D27D4EB4F))
 
 
 def _table(schema: pa.Schema, rows: list) -> pa.Table:
@@ -121,7 +114,7 @@ def send_words(bits: int):
         if not batch.num_rows:
             return SENT.empty_table()
         own = Batch(batch, back, bits)
-        keys, _, every, target = own.counts(own.shrink(own.word), own.doc)
+        keys, _, every, target = own.counts(own.word, own.doc)
         return own.send(batch["b"][0].as_py(), keys, every, target)
 
     return run
@@ -132,7 +125,8 @@ def add_up(kind: int, min_count: int):
 
     def run(bucket: pa.Table) -> pa.Table:
         i, bs = bucket["bucket"][0].as_py(), bucket["b"].to_pylist()
-        keys, every, target = ([unplanes(x, np.uint32) for x in bucket[c].to_pylist()] for c in ("keys", "every", "target"))
+        keys = [unplanes(x, U64) for x in bucket["keys"].to_pylist()]
+        every, target = ([unpack(x) for x in bucket[c].to_pylist()] for c in ("every", "target"))
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         e = np.bincount(at, weights=np.concatenate(every), minlength=len(distinct)).astype(np.int64)
         t = np.bincount(at, weights=np.concatenate(target), minlength=len(distinct)).astype(np.int64)
@@ -142,7 +136,7 @@ def add_up(kind: int, min_count: int):
             own = at[s : s + len(k)]
             s += len(k)
             totals = [float(e.sum()), float(t.sum()), float(e[rare].sum()), float(t[rare].sum()), float((~rare).sum())] if n == 0 else [0.0] * 5
-            rows.append((b, kind, i, None, planes(np.minimum(e[own], 0xFFFFFFFF).astype(np.uint32)), planes(np.minimum(t[own], 0xFFFFFFFF).astype(np.uint32)), totals))
+            rows.append((b, kind, i, None, pack(e[own]), pack(t[own]), totals))
         return _table(BACK, rows)
 
     return run
@@ -208,7 +202,8 @@ def lm_scores(docs: DataFrame, target: DataFrame, min_count: int = 3) -> DataFra
 
     ``target`` has the ids of the target's documents as doc_id.
     """
-    # a bucket answers every batch, and the words' sums are read three times: a quarter of the buckets of the other operators
+    # a bucket answers every batch, and the words' sums are read three times: a quarter of the buckets of the other operators,
+    # which decides how counts travel and nothing else
     n, bits = parts(docs.sparkSession), bucket_bits(docs.sparkSession) - 2
     rows = docs.select(docs["doc_id"], docs["text"], F.pmod(F.xxhash64(F.coalesce(docs["doc_id"], F.xxhash64(docs["text"]))), F.lit(2 * n)).cast("int").alias("b")).repartition(n, "b")
     blank = {"kind": "int", "bucket": "int", "id": "long", "every": "binary", "target": "binary", "totals": "array<double>"}

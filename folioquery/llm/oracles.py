@@ -1,7 +1,7 @@
 """DuckDB SQL for the corpus queries that SQL can express on whole tables.
 
-The others (offsets of matches, byte windows, compressors, language models, page
-trees, hash thresholds) are held against plain versions in the tests.
+The others (offsets of matches, byte windows, compressors, page trees, hash
+thresholds) are held against plain versions in the tests.
 """
 
 _FOLD = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -33,6 +33,25 @@ s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
+OP7 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SPACED.format(t=_FOLD.format(t="coalesce(text, '')"))} AS w,
+  CAST(doc_id IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS INTEGER) AS mine FROM documents),
+t AS (SELECT r, mine, unnest(list_prepend('s', list_transform(w, lambda x: 'w' || x))) AS tok, unnest(generate_series(0, len(w))) AS i FROM d WHERE len(w) > 0),
+c AS (SELECT tok, count(*) AS e, sum(mine) AS g FROM t GROUP BY tok),
+n AS (SELECT sum(e) AS n_e, sum(g) AS n_g, count(*) FILTER (e >= 3) AS v FROM c),
+m AS (SELECT r, i, mine, CASE WHEN e >= 3 THEN tok ELSE 'u' END AS y FROM t JOIN c USING (tok)),
+p AS (SELECT r, i, mine, y, lag(y) OVER (PARTITION BY r ORDER BY i) AS x FROM m),
+cw AS (SELECT y, count(*) AS e, sum(mine) AS g FROM m GROUP BY y),
+ow AS (SELECT r, y, count(*) AS o FROM m GROUP BY r, y),
+cp AS (SELECT x, y, count(*) AS e, sum(mine) AS g FROM p WHERE i > 0 GROUP BY x, y),
+op AS (SELECT r, x, y, count(*) AS o FROM p WHERE i > 0 GROUP BY r, x, y),
+k AS (SELECT p.r, len(d.w) AS n,
+  (cp.e - op.o + 4.0 * ((cw.e - ow.o + 0.5) / (n_e - len(d.w) - 1 + 0.5 * (v + 1)))) / (cx.e - ox.o + 4.0) AS b,
+  (cp.g - d.mine * op.o + 4.0 * ((cw.g - d.mine * ow.o + 0.5) / (n_g - d.mine * (len(d.w) + 1) + 0.5 * (v + 1)))) / (cx.g - d.mine * ox.o + 4.0) AS a
+  FROM p JOIN d USING (r) CROSS JOIN n JOIN cw ON cw.y = p.y JOIN cw cx ON cx.y = p.x JOIN ow ON ow.r = p.r AND ow.y = p.y JOIN ow ox ON ox.r = p.r AND ox.y = p.x
+  JOIN cp ON cp.x = p.x AND cp.y = p.y JOIN op ON op.r = p.r AND op.x = p.x AND op.y = p.y WHERE p.i > 0),
+l AS (SELECT r, -sum(log2(a)) / any_value(n) AS a, -sum(log2(b)) / any_value(n) AS b FROM k GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(a, 0.0), 6) AS loss_target, round(coalesce(b, 0.0), 6) AS loss_background, round(coalesce(a - b, 0.0), 6) AS score FROM d LEFT JOIN l USING (r)"""
+
 OP9 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM.format(t=_FOLD.format(t="coalesce(text, '')"))} AS w FROM documents),
 b AS (SELECT item_id, {_ALNUM.format(t=_FOLD.format(t="coalesce(text, '')"))} AS w FROM benchmark),
 k AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
@@ -44,4 +63,4 @@ items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)"""
 
-ORACLES = {"op1_substring_dedup": OP1, "op5_ngram_jaccard_join": OP5, "op6_exact_topk": OP6, "op9_benchmark_decontamination": OP9}
+ORACLES = {"op1_substring_dedup": OP1, "op5_ngram_jaccard_join": OP5, "op6_exact_topk": OP6, "op7_lm_scoring": OP7, "op9_benchmark_decontamination": OP9}

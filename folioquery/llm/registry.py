@@ -97,6 +97,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document under models of all documents and of those labelled good."""
+    """Every document under models of all documents and of those labelled good; bits to six places."""
     good = table(spark, sf_dir, "labels").filter("quality = 1")
-    return lm_scores(table(spark, sf_dir, "documents"), good)
+    out = lm_scores(table(spark, sf_dir, "documents"), good)
+    return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")])

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from folioquery.llm.lm_scoring import ALPHA, MU, lm_scores
@@ -60,3 +61,27 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert lm_scores(none, none).count() == 0
     assert [x.score for x in lm_scores(spark.createDataFrame([(1, None)], none.schema), none).collect()] == [0.0]
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 37])
+def test_session_settings_change_nothing(spark, partitions):
+    """A large vocabulary, so that short keys would meet; a very long text; repeated rows."""
+    r = random.Random(11)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(n))) for i, n in enumerate([40_000, 3000, 3000, 500, 1])]
+    rows += [rows[1], (9, None)]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        ids = spark.createDataFrame([(0,), (3,)], "doc_id long")
+        got = sorted(((x.doc_id, x.n_tokens, x.loss_target, x.loss_background) for x in lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), ids, 2).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    for g, e in zip(got, sorted(plain(rows, {0, 3}, 2), key=repr), strict=True):
+        assert g[:2] == e[:2] and g[2:] == pytest.approx(e[2:], abs=1e-9)
+
+
+def test_counts_keep_64_bits():
+    from folioquery.llm._arrays import pack, unpack
+
+    for values in ([], [0, 255], [256, 3], [1 << 31, 1 << 33, 7]):
+        assert unpack(pack(np.array(values, np.int64))).tolist() == values
