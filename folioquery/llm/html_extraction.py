@@ -1,15 +1,29 @@
 """Main text of web pages by tree scoring (operator 8).
 
-A page is read into a tree. Paragraphs pass points for their length and commas
-to their ancestors, in full to the parent, half to the next and less further
-up; a container's sum is discounted by its link density. The best container and
-those of its siblings that score or read like it are kept. Page furniture is
-taken out beforehand by its element, role, or words of its class and id.
+A page is read into a tree below one body, which is there whether or not the
+page says so. Paragraphs pass points for their length and commas to their
+ancestors, in full to the parent, half to the next and less further up; a
+container's sum is discounted by its link density, and by half if a word of its
+class or id speaks against it. The best container is kept, with its siblings and
+those of its wrappers that read like it: anything but lists of links and
+containers that speak against themselves. If the page marks its article (article,
+main, role main), that is the container, and a sibling of it has to be another
+one, a heading, a paragraph, hold a heading, or score a fifth of it.
+
+Furniture is taken out beforehand: by element (scripts, forms' parts, menus; nav,
+aside, footer, and header outside the article), by role, and by class or id where
+a whole token names it (``sidebar``, ``cookie-banner``; not ``has-sidebar`` or
+``market-share``). An element named so is no furniture if it holds more than half
+of the page's text, links aside, and the page's article mark or title, or all its
+text: then it is a wrapper.
 
 Defined results: a null or empty page gives an empty text, as does a page of
-furniture only; unclosed and stray tags are mended as browsers do; a tag cut
-off at the end is dropped; equal rows give equal results; an empty table gives
-no rows; further columns are not read.
+furniture only; a fragment or plain text is the content of a body; a page without
+any container that scores is kept whole but for furniture; start tags that
+imply an end (p, li, dt, dd, tr, td, th, option, headings) close their likes, other
+unclosed elements end with their parent and stray end tags mean nothing; a tag
+cut off at the end is dropped; equal rows give equal results; an empty table
+gives no rows; further columns are not read. Time grows with a page's length.
 """
 
 from __future__ import annotations
@@ -25,20 +39,41 @@ OUT = "page_id long, url string, text string"
 #: Elements without content, and elements that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that may stand in a head; any other ends it.
+IN_HEAD = frozenset("title meta link script style base noscript template".split())
 #: A start tag of the first ends an open element of the second.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {h: HEADINGS for h in HEADINGS}
 #: An implied end does not reach beyond these.
-SCOPE = frozenset("html body table td th ul ol dl article section div main aside nav footer header form blockquote".split())
-#: Furniture by element, by role, and by words of class or id.
-DROP = frozenset("head title script style noscript template nav footer aside form iframe button select textarea input svg canvas object embed audio video dialog menu".split())
+SCOPE = frozenset("body table td th ul ol dl article section div main aside nav footer header form blockquote".split())
+#: Elements that are never text, elements that are furniture unless they wrap the page, and roles that are.
+NEVER = frozenset("head title script style noscript template nav iframe button select textarea input svg canvas object embed audio video dialog menu".split())
+FURNITURE = frozenset("footer aside form header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: Words that name furniture, alone or with the plain words below.
 WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar comment comments commentlist disqus reply replies respond notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget skip hidden".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist disqus reply replies respond notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget widgets skip hidden".split()
 )
-KEPT = frozenset("html body article main".split())
+PLAIN = frozenset("site page main global top bottom left right primary secondary box bar list section container wrapper wrap area block slot unit item items post posts article articles link links button buttons icons form header inner outer content body text title thread panel row col column group image".split())
+#: Words that turn the sense of a class: an element that has a sidebar is none.
+TURNED = frozenset("has with without no non not is".split())
+MARKS = frozenset("article main".split())
+CONTAINERS = frozenset("article main div section td body".split())
 PARAGRAPHS = frozenset("p pre td th blockquote li dd div section article main body figcaption".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"([a-z0-9])([A-Z])")
+COMMAS = re.compile("[,،、，]")
+CUT_OFF = re.compile("<(?=[A-Za-z/!?]|$)")
+BODY = 1
+NAMED, LOWER = 1, 2
+
+
+def named(token: str) -> int:
+    """What one token of a class or id says: furniture, a lower score, or nothing."""
+    words = [w for w in SPLIT.split(CAMEL.sub(r"\1-\2", token).lower()) if w]
+    if not any(w in WORDS for w in words) or any(w in TURNED for w in words):
+        return 0
+    return NAMED if all(w in WORDS or w in PLAIN or w.isdigit() for w in words) else LOWER
 
 
 class Page(HTMLParser):
@@ -46,56 +81,72 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.drop = ["#"], [-1], [False]
+        self.tag, self.parent = ["#", "body"], [-1, 0]
+        self.never, self.named, self.lower, self.mark = [False, False], [False, False], [False, False], [False, False]
         self.items: list[tuple[int, str | None]] = []  # (element, text); a None text ends a block
-        self.open = [0]
+        self.open, self.many = [0, BODY], {"body": 1}
+        self.known: dict[str, int] = {}
 
-    def _furniture(self, tag: str, attrs) -> bool:
-        if tag in KEPT:
-            return False
-        if tag in DROP:
-            return True
-        in_article = any(self.tag[e] in ("article", "main") for e in self.open)
+    def _look(self, tag: str, attrs) -> tuple[bool, bool, bool, bool]:
+        """Never text; named furniture; named against; marked as the article."""
+        never, furniture, lower, mark = tag in NEVER, tag in FURNITURE, False, tag in MARKS
+        in_article = self.many.get("article", 0) + self.many.get("main", 0) > 0
         if tag == "header":
-            return not in_article
+            furniture = not in_article
         for name, value in attrs:
-            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and (value or "").lower() in ROLES):
-                return True
-            if name in ("class", "id") and value:
-                words = set(SPLIT.split(CAMEL.sub(r"\1-\2", value).lower())) & WORDS
-                if words and not (in_article and words <= {"header", "banner"}):
-                    return True
-            if name == "style" and value and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+            value = value or ""
+            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
+                never = True
+            elif name == "role":
+                mark = mark or value.lower() == "main"
+                furniture = furniture or value.lower() in ROLES
+            elif name in ("class", "id"):
+                for token in value.split():
+                    if token not in self.known:
+                        self.known[token] = named(token)
+                    furniture = furniture or (self.known[token] == NAMED and not (tag == "header" and in_article))
+                    lower = lower or self.known[token] == LOWER
+        return never, furniture, lower, mark and not furniture
 
     def _pop(self, tags, until) -> None:
         """Closes open elements from one of ``tags`` on, unless one of ``until`` lies in between."""
-        for i in range(len(self.open) - 1, 0, -1):
+        if not any(self.many.get(t) for t in tags):
+            return
+        for i in range(len(self.open) - 1, BODY, -1):
             tag = self.tag[self.open[i]]
             if tag in tags:
+                for e in self.open[i:]:
+                    self.many[self.tag[e]] -= 1
                 del self.open[i:]
                 return
             if tag in until:
                 return
 
     def handle_starttag(self, tag, attrs):
+        if tag in ("html", "body"):
+            self._pop({"head"}, ())
+            return
+        if tag not in IN_HEAD:
+            self._pop({"head"}, ())
         if tag in BLOCKS:
             self._pop({"p"}, SCOPE)
         if tag in ENDS:
             self._pop(ENDS[tag], SCOPE - ENDS[tag])
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self._pop({"h1", "h2", "h3", "h4", "h5", "h6"}, SCOPE)
         at = self.open[-1]
         if tag in BLOCKS and tag not in ("td", "th"):
             self.items.append((at, None))
         elif tag in ("br", "td", "th"):
             self.items.append((at, " "))
         if tag not in VOID:
+            never, furniture, lower, mark = self._look(tag, attrs)
             self.tag.append(tag)
             self.parent.append(at)
-            self.drop.append(self.drop[at] or self._furniture(tag, attrs))
+            self.never.append(self.never[at] or never)
+            self.named.append(furniture)
+            self.lower.append(lower)
+            self.mark.append(mark)
             self.open.append(len(self.tag) - 1)
+            self.many[tag] = self.many.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -103,6 +154,8 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if tag in ("html", "body"):
+            return
         if tag in BLOCKS and tag not in ("td", "th"):
             self.items.append((self.open[-1], None))
         self._pop({tag}, () if tag in BLOCKS else SCOPE)
@@ -110,83 +163,130 @@ class Page(HTMLParser):
             self.items.append((self.open[-1], None))
 
     def handle_data(self, data):
+        if self.many.get("head") and self.tag[self.open[-1]] == "head" and not data.isspace():
+            self._pop({"head"}, ())
         at = self.open[-1]
-        if not self.drop[at]:
+        if not self.never[at]:
             self.items.append((at, data))
 
 
-def _score(page: Page) -> tuple[list[float], list[int], list[int]]:
-    """Points, text length and link length of every element."""
-    n = len(page.tag)
-    own, commas, size, links = [0] * n, [0] * n, [0] * n, [0] * n
-    block = list(range(n))
-    linked = [False] * n
-    for i in range(1, n):
-        up = page.parent[i]
-        linked[i] = page.tag[i] == "a" or linked[up]
-        block[i] = i if page.tag[i] in BLOCKS else block[up]
-    for e, text in page.items:
-        if text and not text.isspace():
-            length = len(" ".join(text.split()))
-            own[block[e]] += length
-            commas[block[e]] += text.count(",") + text.count("،") + text.count("、") + text.count("，")
-            size[e] += length
-            links[e] += length if linked[e] else 0
-    points = [0.0] * n
-    for i in range(1, n):
-        if own[i] and page.tag[i] in PARAGRAPHS and not page.drop[i]:
-            p = (1 if own[i] >= 25 else 0.1) + commas[i] + min(own[i] / 100, 3)
-            to = i if page.tag[i] in ("article", "main", "div", "section", "td", "body") else page.parent[i]
-            share, step = 1.0, 0
-            while to > 0:
-                points[to] += p * share
-                step += 1
-                share = 0.5 if step == 1 else 1 / (3 * step)
-                to = page.parent[to]
-    for i in range(n - 1, 0, -1):
-        size[page.parent[i]] += size[i]
-        links[page.parent[i]] += links[i]
-    return [p * (1 - links[i] / size[i]) if size[i] else 0.0 for i, p in enumerate(points)], size, links
+class Scored:
+    """A page's furniture, points, text and link lengths by element."""
+
+    def __init__(self, page: Page):
+        self.tag, self.parent, n = page.tag, page.parent, len(page.tag)
+        own, commas, self.block, self.linked = [0] * n, [0] * n, list(range(n)), [False] * n
+        for i in range(1, n):
+            up = self.parent[i]
+            self.linked[i] = self.tag[i] == "a" or self.linked[up]
+            self.block[i] = i if self.tag[i] in BLOCKS else self.block[up]
+        texts = [(e, t) for e, t in page.items if t and not t.isspace()]
+        plain = [0] * n
+        for e, text in texts:
+            plain[e] += 0 if self.linked[e] else len(text)
+        heads = [self.tag[i] == "h1" and not page.never[i] for i in range(n)]
+        plain, heads, marks = self._up(plain), self._up(heads), self._up(page.mark)
+        self.drop = [False] * n
+        for i in range(1, n):
+            wraps = page.named[i] and 2 * plain[i] > plain[0] and (marks[i] or heads[i] or plain[i] == plain[0])
+            self.drop[i] = self.drop[self.parent[i]] or page.never[i] or (page.named[i] and not (wraps and self.tag[i] not in ("footer", "aside")))
+        self.size, self.links = [0] * n, [0] * n
+        for e, text in texts:
+            if not self.drop[e]:
+                length = len(" ".join(text.split()))
+                own[self.block[e]] += length
+                commas[self.block[e]] += len(COMMAS.findall(text))
+                self.size[e] += length
+                self.links[e] += length if self.linked[e] else 0
+        raw = [0.0] * n
+        for i in range(1, n):
+            if own[i] and self.tag[i] in PARAGRAPHS:
+                p = (1 if own[i] >= 25 else 0.1) + commas[i] + min(own[i] / 100, 3)
+                to, share, step = (i if self.tag[i] in CONTAINERS else self.parent[i]), 1.0, 0
+                while to >= BODY and share > 1e-3:
+                    raw[to] += p * share
+                    step += 1
+                    share = 0.5 if step == 1 else 1 / (3 * step)
+                    to = self.parent[to]
+        self.size, self.links = self._up(self.size), self._up(self.links)
+        self.heads, self.titled = self._up([self.tag[i] in HEADINGS and not self.drop[i] and self.size[i] > 0 for i in range(n)]), heads
+        self.against = page.lower
+        self.points = [p * (1 - self.density(i)) * (0.5 if page.lower[i] else 1) for i, p in enumerate(raw)]
+        self.mark = [m and not d for m, d in zip(page.mark, self.drop)]
+
+    def _up(self, values: list) -> list:
+        """Sums over subtrees; parents come before their children."""
+        out = [int(v) for v in values]
+        for i in range(len(out) - 1, 0, -1):
+            out[self.parent[i]] += out[i]
+        return out
+
+    def density(self, i: int) -> float:
+        return self.links[i] / self.size[i] if self.size[i] else 1.0
+
+    def keep(self) -> set[int]:
+        """The best container, its siblings and those of its wrappers."""
+        found = [i for i in range(1, len(self.tag)) if self.points[i] > 0 and not self.drop[i]]
+        if not found:
+            return {BODY}
+        best = max(found, key=lambda i: (self.points[i], -i))
+        up = best
+        while up > BODY and not self.mark[up]:
+            up = self.parent[up]
+        marked = self.mark[up]
+        best = up if marked else best
+        kept, least = {best}, max(1.0, 0.2 * self.points[best])
+        children: dict[int, list[int]] = {}
+        for i in range(1, len(self.tag)):
+            children.setdefault(self.parent[i], []).append(i)
+        first = True
+        while best > BODY:
+            up = self.parent[best]
+            if self.size[up] > self.size[best]:
+                kept.update(i for i in children[up] if i != best and not self.drop[i] and self._like(i, least, marked, first))
+                first = False
+            if marked and not first:
+                break
+            best = up
+        return kept
+
+    def _like(self, i: int, least: float, marked: bool, first: bool) -> bool:
+        """Whether a sibling belongs to the article."""
+        if not self.size[i] or self.points[i] >= least:
+            return self.size[i] > 0
+        if self.density(i) >= 0.5 or self.against[i]:
+            return False
+        if self.tag[i] in HEADINGS or self.tag[i] == "p":
+            return True
+        if marked:
+            return self.mark[i] or (self.heads[i] > 0 and self.links[i] == 0)
+        return first or self.points[i] > 0 or self.heads[i] > 0
 
 
 def main_text(html: str | None) -> str:
     """Blocks of the article, joined by an empty line."""
     if not html:
         return ""
-    cut = html.rfind("<")
-    if cut >= 0 and ">" not in html[cut:] and (html[cut + 1 : cut + 2].isalpha() or html[cut + 1 : cut + 2] in ("/", "!", "?", "")):
-        html = html[:cut]
+    if cut := CUT_OFF.search(html, html.rfind(">") + 1):
+        html = html[: cut.start()]
     page = Page()
     page.feed(html)
     page.close()
-    points, size, links = _score(page)
-    candidates = [i for i in range(1, len(points)) if points[i] > 0 and not page.drop[i]]
-    if not candidates:
-        return ""
-    best = max(candidates, key=lambda i: (points[i], -i))
-    up = best
-    while up > 0:
-        if page.tag[up] in ("article", "main"):
-            best = up
-            break
-        up = page.parent[up]
-    keep = {best}
-    if page.tag[best] not in ("article", "main", "body", "html"):
-        for i in range(1, len(points)):
-            if page.parent[i] == page.parent[best] and not page.drop[i] and i != best:
-                density = links[i] / size[i] if size[i] else 1
-                if points[i] >= max(1, 0.2 * points[best]) or (page.tag[i] == "p" and size[i] > 80 and density < 0.25) or page.tag[i] in ("h1", "h2"):
-                    keep.add(i)
-    inside = [False] * len(points)
-    for i in range(1, len(points)):
-        inside[i] = (i in keep or inside[page.parent[i]]) and not page.drop[i]
+    scored = Scored(page)
+    keep = scored.keep()
+    # text that stands bare beside a kept container belongs to it, unless the article is marked
+    bare = {scored.parent[i] for i in keep if i > BODY and not scored.mark[i]}
+    inside = [False] * len(page.tag)
+    for i in range(1, len(inside)):
+        inline = scored.parent[i] in bare and page.tag[i] not in BLOCKS and scored.density(i) < 0.5
+        inside[i] = (i in keep or inside[page.parent[i]] or inline) and not scored.drop[i]
     blocks, now = [], []
     for e, text in [*page.items, (0, None)]:
         if text is None:
             if line := " ".join("".join(now).split()):
                 blocks.append(line)
             now = []
-        elif inside[e]:
+        elif inside[e] or (e in bare and not scored.drop[e]):
             now.append(text)
     return "\n\n".join(blocks)
 
