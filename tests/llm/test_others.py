@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from folioquery.llm import pii
 from folioquery.llm.decontamination import decontaminate, drop_contaminated
 from folioquery.llm.exact_topk import Search, _blocks, _floors, exact_topk
 from folioquery.llm.html_extraction import extract_main_text, main_text
@@ -95,58 +94,6 @@ def test_extraction_keeps_rows(spark):
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def base_spans(text):
-    out = []
-    for n, kind in enumerate(pii.KINDS):
-        for m in re.finditer(pii.STRICT[kind], text or ""):
-            d = re.sub("[^0-9]", "", m[0])
-            good = {"email": True, "ip": all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")) if kind == "ip" else False, "card": 14 <= len(d) <= 19 and pii.luhn(d) if d else False, "phone": 10 <= len(d) <= 15}[kind]
-            if good:
-                out.append((m.start(), n, m.end()))
-    return [(pii.KINDS[n], s, e) for s, n, e in sorted(out)]
-
-
-def test_pii(spark):
-    texts = [
-        "mail é.x a.b@c.de, ip 10.0.0.255 not 10.0.0.256 or 1.2.3.4.5", "card 4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (555) 010-9999 or +12", None, "", "x@y", "+1 555 0109999 1.1.1.1 a@b.c " * 2000,
-        'token = "0123456789abcdef0123456789abcdef01234567"', "write to joe at example dot com now", "9" * 5000 + ".1.1.1", "call (555) 010-9999",
-    ]
-    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)] + [(None, texts[0], 1, "x")], "doc_id long, text string, base int, spans string")
-    got = {r.doc_id: r for r in pii.find_pii(df).collect()}
-    for i, t in [*enumerate(texts), (None, texts[0])]:
-        assert [tuple(s) for s in got[i].base] == base_spans(t), i
-        assert {tuple(s) for s in got[i].base} <= {tuple(s) for s in got[i].spans}
-        ends = [(s.start, s.end) for s in got[i].spans]
-        assert ends == sorted(ends, key=lambda x: x[0])
-    assert any(s.kind == "secret" for s in got[7].spans)
-    clean = pii.redact_pii(df.withColumn("n_chars", df["base"]))
-    assert clean.columns == [*df.columns, "n_chars"]
-    row = clean.filter("doc_id = 2").first()
-    assert row.text == "[PHONE] or +12" and row.n_chars == len(row.text)
-    assert pii.find_pii(df.limit(0)).count() == 0
-
-
-def test_whole_secrets(spark):
-    long, jwt = "a1B2" * 100, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
-    values = [long, jwt, long + "/4111111111111111/" + long, "k3y" * 80 + "/tail1@host.org", "abc123" * 4]
-    rows = [(i, f"see token: {v}. End") for i, v in enumerate(values)] + [(9, "password: averylongname1234567@x.org now")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii.redact_pii(df).collect()}
-    assert {got[i] for i in range(len(values))} == {"see [SECRET]. End"}
-    assert got[9] == "password: [EMAIL] now"
-
-
-def test_reliabilities_find_the_better_labeler():
-    r = random.Random(1)
-    rows = {}
-    for _ in range(20_000):
-        y = r.random() < 0.5
-        vote = tuple((1 if y else -1) * (1 if r.random() < p else -1) for p in (0.95, 0.9, 0.6))
-        rows[vote] = rows.get(vote, 0) + 1
-    _, yes, _ = pii.reliabilities(np.array(list(rows)), np.array(list(rows.values())))
-    assert np.allclose(yes[:, 2], [0.95, 0.9, 0.6], atol=0.05)
-
-
 def test_quality(spark):
     r = random.Random(2)
     good = [" ".join(r.choice("the of and river stone house winter summer garden morning".split()) for _ in range(r.randint(20, 200))) for _ in range(200)]
