@@ -10,9 +10,11 @@ pass is one partial aggregation, so a source with a third of all rows costs each
 task at most one row a bucket.
 
 Defined results: a null or blank text has size 0; null sources form one source,
-last in order; rows with equal ids share a hash and are taken or left together;
+last in order; rows with equal ids and texts share a hash and are taken or left
+together, other rows (those without an id, say) are told apart by their text;
 sources of size 0 have target 0; an empty table gives no rows; further columns
-are not read. The hash depends on ``doc_id`` and ``seed`` only, so reruns agree.
+are not read. The hash depends on ``doc_id``, ``text`` and ``seed`` only, so reruns
+agree. Only the table of sources, a row each, is ordered as a whole.
 """
 
 from __future__ import annotations
@@ -123,7 +125,7 @@ def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
     size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(docs["doc_id"], docs["source"], size.alias("size"), F.xxhash64(docs["doc_id"], F.lit(seed)).alias("h"))
+    return docs.select(docs["doc_id"], docs["source"], size.alias("size"), F.xxhash64(docs["doc_id"], docs["text"], F.lit(seed)).alias("h"))
 
 
 def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
@@ -140,7 +142,7 @@ def take_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
     """
     plan = plan_mix(cut(_sized(docs, seed)), share, cap, weights)
     size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), size.alias("size"), _key(docs["source"]).alias("key"), F.xxhash64(docs["doc_id"], F.lit(seed)).alias("mix_h"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), size.alias("size"), _key(docs["source"]).alias("key"), F.xxhash64(docs["doc_id"], docs["text"], F.lit(seed)).alias("mix_h"))
     own = [c for c in docs.columns if c.lower() not in ("mix_size", "mix_copies", "mix_taken")]
     out = _taken(rows, plan).filter("copies > 0")
     return out.select(*[F.col("doc").getField(c).alias(c) for c in own], F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies"), F.col("taken").alias("mix_taken"))
