@@ -1,20 +1,24 @@
 """Compression classifier for text quality (operator 4).
 
-Zstandard dictionaries are built from texts labelled good and bad. A text is
-compressed, piece by piece and whole, under either dictionary; the difference
-of the two sizes over the text's length (and ``DAMP`` bytes, so that a few words
-say little) is small or negative for junk, which costs less under the bad
-dictionary. A logistic curve fitted on
-labelled texts that no dictionary has seen calibrates that difference; its shift is moved
-from the sample's share of either class to the labels' own.
+Zstandard dictionaries are built from texts labelled good and bad, a pair for
+each of at most ``groups`` groups of texts that use alike pairs of bytes (so that
+a language or script with few rows has dictionaries of its own; nothing but the
+text decides the group). A text is compressed, piece by piece and whole, under
+either dictionary of its group; the difference of the two sizes over the text's
+length (and ``DAMP`` bytes, so that a few words say little) is small or negative
+for junk, which costs less under the bad dictionary. A logistic curve fitted on
+labelled texts that no dictionary has seen calibrates that difference; its shift
+is moved from the sample's share of either class to the labels' own.
 
 Only the fit is bounded: at most ``sample_rows`` labelled texts of each class,
 those with the least hash of their id, of at most ``sample_bytes`` together and
-none over a 64th of that. Scoring reads every whole text and never shuffles.
+none over a 64th of that. Sizes are summed first, so that no more than these
+bytes reach the driver. Scoring reads every whole text and never shuffles.
 
 Defined results: a null or empty text gets the score of its difference 0 (the
 curve's value there); labels that are null or contradict one another for an id
-are not learnt from; equal rows get equal scores; without labels of both
+are not learnt from; of different texts under one id the shortest is learnt
+from; equal rows get equal scores, ties included; without labels of both
 classes every score is the share of label 1 (0.5 without any); an empty table
 gives no rows; further columns are not read.
 """
@@ -30,7 +34,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE = 4096
+PIECE, SAMPLE = 4096, 512
+FEATURES, FEW = 1024, 12
 DAMP = 200
 LEVEL = 3
 DICTIONARY = 112_640
@@ -42,10 +47,41 @@ def held_out(doc_id) -> F.Column:
 
 
 class Model:
-    """Two dictionaries and a curve."""
-
-    def __init__(self, good: bytes, bad: bytes, slope: float, shift: float):
-        self.good, self.bad, self.slope, self.shift = good, bad, slope, shift
+    """The groups' centres, a pair of dictionaries for each, and a curve."""
+
+    def __init__(self, centres: np.ndarray, pairs: list[tuple[bytes, bytes]], slope: float, shift: float):
+        self.centres, self.pairs, self.slope, self.shift = centres, pairs, slope, shift
+
+    def scorer(self):
+        """difference(text) over all of a text; compressors are made once."""
+        pairs = [_compressors(*p) for p in self.pairs]
+        return lambda text: _difference(pairs[int(np.argmax(self.centres @ _grams(text)))], text)
+
+
+def _grams(text: bytes) -> np.ndarray:
+    """Unit vector of the roots of hashed byte pair counts."""
+    a = np.frombuffer(text, np.uint8).astype(np.int64)
+    v = np.sqrt(np.bincount((a[:-1] * 31 + a[1:]) % FEATURES, minlength=FEATURES)) if len(a) > 1 else np.zeros(FEATURES)
+    n = np.linalg.norm(v)
+    return v / n if n else v
+
+
+def _centres(v: np.ndarray, good: np.ndarray, groups: int) -> np.ndarray:
+    """Centres of groups that hold ``FEW`` texts of either class or more, by cosine; the start is the farthest text each time."""
+    centre = [v[np.argmax(v @ v.mean(0))]]
+    while len(centre) < min(groups, len(v)):
+        centre.append(v[np.argmin((v @ np.array(centre).T).max(1))])
+    centre = np.array(centre)
+    while True:
+        for _ in range(10):
+            own = np.argmax(v @ centre.T, 1)
+            centre = np.array([v[own == j].mean(0) if (own == j).any() else c for j, c in enumerate(centre)])
+            centre /= np.maximum(np.linalg.norm(centre, axis=1), 1e-12)[:, None]
+        own = np.argmax(v @ centre.T, 1)
+        least = [min((good & (own == j)).sum(), (~good & (own == j)).sum()) for j in range(len(centre))]
+        if len(centre) == 1 or min(least) >= FEW:
+            return centre
+        centre = np.delete(centre, int(np.argmin(least)), 0)
 
 
 def _compressors(good: bytes, bad: bytes):
@@ -85,7 +121,7 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    samples = [t[at : at + PIECE] for t in texts for at in range(0, len(t), PIECE)]
+    samples = [t[at : at + SAMPLE] for t in texts for at in range(0, len(t), SAMPLE)]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their plain text serves
@@ -101,44 +137,69 @@ def _release() -> None:
         trim(0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_bytes: int = 32 << 20) -> Model:
+def _sample(docs: DataFrame, known: DataFrame, sample_rows: int, sample_bytes: int) -> dict[int, list[bytes]]:
+    """The labelled texts to learn from, by class and then hash of their id."""
+    least = [known.filter(F.col("q") == q).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample_rows) for q in (0, 1)]
+    # ids and sizes first: 2 * sample_rows rows bound the broadcast and what is collected
+    texts = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("text"), F.octet_length(docs["text"]).alias("n"), F.xxhash64(docs["text"]).alias("t")).filter("n > 0")
+    rows = texts.filter(F.col("n") <= sample_bytes // 64).select("id", "n", "t").join(F.broadcast(least[0].unionByName(least[1])), "id")
+    rows = sorted((r["q"], r["h"], r["id"], r["e"]["n"], r["e"]["t"]) for r in rows.groupBy("q", "h", "id").agg(F.min(F.struct("n", "t")).alias("e")).collect())
+    total, chosen = {0: 0, 1: 0}, []
+    for q, h, i, n, t in rows:
+        total[q] += n
+        if total[q] <= sample_bytes // 2:
+            chosen.append((len(chosen), q, i, n, t))
+    got: dict[int, list[bytes]] = {0: [], 1: []}
+    if chosen:
+        chosen = docs.sparkSession.createDataFrame(chosen, "k int, q int, id long, n int, t long")
+        found = texts.join(F.broadcast(chosen), ["id", "n", "t"]).groupBy("k", "q").agg(F.min("text").alias("text"))
+        for batch in found.toArrow().sort_by("k").to_batches(max_chunksize=256):
+            for q, text in zip(batch["q"].to_pylist(), batch["text"].to_pylist()):
+                got[q].append(text.encode())
+    return got
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_bytes: int = 32 << 20, groups: int = 8) -> Model:
     """Learns from labelled rows that are not held out."""
     known = labels.select(labels["doc_id"].alias("id"), labels["quality"].alias("q")).filter("q in (0, 1)")
     known = known.groupBy("id").agg(F.min("q").alias("q"), F.max("q").alias("most")).filter("q = most and id is not null").drop("most")
     known = known.filter(~held_out(F.col("id")))
     share = known.agg(F.avg("q")).first()[0]
-    least = [known.filter(F.col("q") == q).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample_rows) for q in (0, 1)]
-    # the ids to learn from are chosen without the texts; 2 * sample_rows of them bound the broadcast
-    texts = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("text")).filter("text <> ''").filter(F.octet_length("text") <= sample_bytes // 64)
-    rows = texts.join(F.broadcast(least[0].unionByName(least[1])), "id").groupBy("q", "h", "id").agg(F.min("text").alias("text")).toArrow().sort_by([("h", "ascending"), ("id", "ascending")])
-    total, got = {0: 0, 1: 0}, {0: [], 1: []}
-    for batch in rows.to_batches(max_chunksize=256):
-        for q, text in zip(batch["q"].to_pylist(), batch["text"].to_pylist()):
-            raw = text.encode()
-            total[q] += len(raw)
-            if total[q] <= sample_bytes // 2:
-                got[q].append(raw)
-    del rows
+    got = _sample(docs, known, sample_rows, sample_bytes)
     if len(got[0]) < 4 or len(got[1]) < 4:
         p = min(0.99, max(0.01, 0.5 if share is None else float(share)))
-        return Model(b"........", b"........", 0.0, float(np.log(p / (1 - p))))
-    good, bad = _dictionary(got[1][::2]), _dictionary(got[0][::2])
-    pair = _compressors(good, bad)
+        return Model(np.zeros((1, FEATURES)), [(b"........", b"........")], 0.0, float(np.log(p / (1 - p))))
+    seen = [(t, q) for q in (0, 1) for t in got[q][::2]]
     rest = [(t, q) for q in (0, 1) for t in got[q][1::2]]
-    slope, shift = _curve(np.array([_difference(pair, t) for t, _ in rest]), np.array([float(q) for _, q in rest]))
+    v, good = np.array([_grams(t) for t, _ in seen]), np.array([q == 1 for _, q in seen])
+    centres = _centres(v, good, groups)
+    own = np.argmax(v @ centres.T, 1)
+    pairs = [tuple(_dictionary([t for (t, c), g in zip(seen, own) if c == q and g == j]) for q in (1, 0)) for j in range(len(centres))]
+    difference = Model(centres, pairs, 0.0, 0.0).scorer()
+    slope, shift = _curve(np.array([difference(t) for t, _ in rest]), np.array([float(q) for _, q in rest]))
     p = min(0.999, max(0.001, float(share)))
     shift += float(np.log(p / (1 - p)) - np.log(len(got[1][1::2]) / len(got[0][1::2])))
-    del got, rest
+    del got, rest, seen, v, difference
     _release()
-    return Model(good, bad, slope, shift)
+    return Model(centres, pairs, slope, shift)
+
+
+def _scores(model: Model):
+    """Differences and scores of a column of texts."""
+    difference = model.scorer()
+
+    def of(column):
+        d = np.array([difference(t.encode()) if t else 0.0 for t in column.to_pylist()], float)
+        return d, 1 / (1 + np.exp(-np.clip(model.slope * d + model.shift, -30, 30)))
+
+    return of
 
 
-def _score(good: bytes, bad: bytes, slope: float, shift: float):
+def _score(model: Model):
     def run(batches):
-        pair = _compressors(good, bad)
+        scores = _scores(model)
         for batch in batches:
-            d = np.array([_difference(pair, (t or "").encode()) for t in batch.column("text").to_pylist()], float)
-            score = 1 / (1 + np.exp(-np.clip(slope * d + shift, -30, 30)))
+            d, score = scores(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(d), pa.array(score)], names=["doc_id", "difference", "score"])
 
     return run
@@ -146,19 +207,18 @@ def _score(good: bytes, bad: bytes, slope: float, shift: float):
 
 def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, difference and score of every row."""
-    return docs.select(docs["doc_id"], docs["text"]).mapInArrow(_score(model.good, model.bad, model.slope, model.shift), OUT)
+    return docs.select(docs["doc_id"], docs["text"]).mapInArrow(_score(model), OUT)
 
 
-def _keep(good: bytes, bad: bytes, slope: float, shift: float, least: float):
+def _keep(model: Model, least: float):
     def run(batches):
-        pair = _compressors(good, bad)
+        scores = _scores(model)
         for batch in batches:
-            d = np.array([_difference(pair, (t or "").encode()) for t in batch.column("text").to_pylist()], float)
-            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(slope * d + shift, -30, 30))) >= least))
+            yield batch.filter(pa.array(scores(batch.column("text"))[1] >= least))
 
     return run
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
     """The documents, with all their columns, whose score is ``least`` or more."""
-    return docs.mapInArrow(_keep(model.good, model.bad, model.slope, model.shift, least), docs.schema)
+    return docs.mapInArrow(_keep(model, least), docs.schema)

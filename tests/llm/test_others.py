@@ -146,3 +146,34 @@ def test_mixing(spark):
     assert mix.columns == [*docs.columns, "mix_size", "mix_copies", "mix_taken"]
     assert mix.count() == sum(x.copies > 0 for x in got)
     assert mix_sources(docs.limit(0)).count() == 0
+
+
+def test_mixing_tells_rows_without_an_id_apart(spark):
+    rows = [(None, " ".join(f"w{i}" for _ in range(1 + i % 7)), "a") for i in range(2000)] + [(None, "x " * 50_000, "b"), (None, "y", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_sources(docs, share=0.5).collect()
+    for source in "ab":
+        mine = [x for x in got if x.source == source]
+        assert abs(sum(x.taken for x in mine) - mine[0].target) <= (8 if source == "a" else 50_001)
+
+
+def test_quality_of_a_rare_script(spark):
+    """Texts of a script with few rows have dictionaries of their own; ties and repeated rows score alike."""
+    r = random.Random(6)
+    words = {"latin": "the of and river stone house winter summer garden morning".split(), "greek": "και το ποτάμι πέτρα σπίτι χειμώνας κήπος πρωί νησί άνεμος".split()}
+    junk = {"latin": "XX!! $$$ %%% ### BUY!! NOW!!".split(), "greek": "ΠΩΛΗΣΗ!! ΤΩΡΑ!! ((( ))) ΔΩΡΟ!!".split()}
+    rows = []
+    for i in range(600):
+        script = "greek" if i % 8 == 0 else "latin"
+        rows.append((i, " ".join(r.choice((junk if i % 3 == 0 else words)[script]) for _ in range(r.randint(20, 120)))))
+    docs = spark.createDataFrame(rows + [rows[2]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(600)], "doc_id long, quality int")
+    model = fit(docs, labels)
+    got = [(x.doc_id, x.score) for x in quality_scores(docs, model).collect()]
+    held = {x.doc_id for x in docs.filter(held_out(docs["doc_id"])).select("doc_id").collect()}
+    assert len(model.pairs) > 1
+    for mark in (0, 1):
+        assert np.mean([(s >= 0.7) == (i % 3 > 0) for i, s in got if i in held and (i % 8 == 0) == mark]) > 0.95
+    assert len({s for i, s in got if i == 2}) == 1 and len(got) == 601
+    few = fit(docs, labels, sample_rows=50, sample_bytes=20_000)
+    assert {round(x.score, 9) for x in quality_scores(docs.limit(0), few).collect()} == set()
