@@ -1,9 +1,10 @@
 """Compression classifier for text quality (operator 4).
 
 Zstandard dictionaries are built from texts labelled good and bad, a pair for
-each of at most ``groups`` groups of texts that use alike pairs of bytes (so that
+each of at most ``groups`` groups of texts that use alike pairs of letters (so that
 a language or script with few rows has dictionaries of its own; nothing but the
-text decides the group). A text is compressed, piece by piece and whole, under
+text decides the group; a class with few texts in a group has its dictionary from
+all of the class). A text is compressed, piece by piece and whole, under
 either dictionary of its group; the difference of the two sizes over the text's
 length (and ``DAMP`` bytes, so that a few words say little) is small or negative
 for junk, which costs less under the bad dictionary. A logistic curve fitted on
@@ -59,15 +60,16 @@ class Model:
 
 
 def _grams(text: bytes) -> np.ndarray:
-    """Unit vector of the roots of hashed byte pair counts."""
-    a = np.frombuffer(text, np.uint8).astype(np.int64)
+    """Unit vector of the roots of hashed counts of letter pairs; case and all else, which junk is full of, left out."""
+    a = np.frombuffer(text.decode().lower().encode(), np.uint8).astype(np.int64)
+    a = a[(a >= 0x80) | ((a >= 0x61) & (a <= 0x7A))]
     v = np.sqrt(np.bincount((a[:-1] * 31 + a[1:]) % FEATURES, minlength=FEATURES)) if len(a) > 1 else np.zeros(FEATURES)
     n = np.linalg.norm(v)
     return v / n if n else v
 
 
-def _centres(v: np.ndarray, good: np.ndarray, groups: int) -> np.ndarray:
-    """Centres of groups that hold ``FEW`` texts of either class or more, by cosine; the start is the farthest text each time."""
+def _centres(v: np.ndarray, groups: int) -> np.ndarray:
+    """Centres of groups of ``FEW`` texts or more, by cosine; the start is the farthest text each time."""
     centre = [v[np.argmax(v @ v.mean(0))]]
     while len(centre) < min(groups, len(v)):
         centre.append(v[np.argmin((v @ np.array(centre).T).max(1))])
@@ -78,10 +80,10 @@ def _centres(v: np.ndarray, good: np.ndarray, groups: int) -> np.ndarray:
             centre = np.array([v[own == j].mean(0) if (own == j).any() else c for j, c in enumerate(centre)])
             centre /= np.maximum(np.linalg.norm(centre, axis=1), 1e-12)[:, None]
         own = np.argmax(v @ centre.T, 1)
-        least = [min((good & (own == j)).sum(), (~good & (own == j)).sum()) for j in range(len(centre))]
-        if len(centre) == 1 or min(least) >= FEW:
+        size = np.bincount(own, minlength=len(centre))
+        if len(centre) == 1 or size.min() >= FEW:
             return centre
-        centre = np.delete(centre, int(np.argmin(least)), 0)
+        centre = np.delete(centre, int(np.argmin(size)), 0)
 
 
 def _compressors(good: bytes, bad: bytes):
@@ -171,10 +173,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_byte
         return Model(np.zeros((1, FEATURES)), [(b"........", b"........")], 0.0, float(np.log(p / (1 - p))))
     seen = [(t, q) for q in (0, 1) for t in got[q][::2]]
     rest = [(t, q) for q in (0, 1) for t in got[q][1::2]]
-    v, good = np.array([_grams(t) for t, _ in seen]), np.array([q == 1 for _, q in seen])
-    centres = _centres(v, good, groups)
+    v = np.array([_grams(t) for t, _ in seen])
+    centres = _centres(v, groups)
     own = np.argmax(v @ centres.T, 1)
-    pairs = [tuple(_dictionary([t for (t, c), g in zip(seen, own) if c == q and g == j]) for q in (1, 0)) for j in range(len(centres))]
+    whole = {q: _dictionary([t for t, c in seen if c == q]) for q in (1, 0)}
+    pairs = []
+    for j in range(len(centres)):
+        part = {q: [t for (t, c), g in zip(seen, own) if c == q and g == j] for q in (1, 0)}
+        pairs.append(tuple(_dictionary(part[q]) if len(part[q]) >= FEW else whole[q] for q in (1, 0)))
     difference = Model(centres, pairs, 0.0, 0.0).scorer()
     slope, shift = _curve(np.array([difference(t) for t, _ in rest]), np.array([float(q) for _, q in rest]))
     p = min(0.999, max(0.001, float(share)))
