@@ -5,7 +5,8 @@ item is one window). A window occurs in a document only if all its shingles do,
 so one necessary token is enough to find it: its rarest shingle, by counts over
 the whole corpus. Documents look up each of their shingles among these prefix
 tokens; a hit fixes where the window would begin, the document's bounds drop
-those that would not fit, and the rest are verified word by word.
+those that would not fit, and the rest are verified word by word, by 64-bit
+hashes of the words.
 
 The benchmark is held in memory by ``limit_bytes`` of text at most: a larger one
 is split by item and the documents pass through one lookup for each part.
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from folioquery.llm._arrays import ALNUM, U64, contains, covered, each_slice, prefix_hash, rolling, runs, utf8
 
 SHINGLE = 4
+#: Fixed value: words of items, whatever their case.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 OUT = "doc_id long, n_words long, n_hit long, hits array<struct<start:long,end:long>>, items array<string>"
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -201,9 +204,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit_
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit_bytes: int = 8 << 20) -> DataFrame:
-    """The documents, with all their columns, in which no window of the benchmark occurs."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit_bytes: int = 8 << 20, shortest: int = 5) -> DataFrame:
+    """The documents, with all their columns, in which no window of the benchmark occurs.
+
+    Items of fewer than ``shortest`` words drop nothing: a single common word would
+    take the corpus with it. ``decontaminate`` marks these too.
+    """
     out = docs
+    benchmark = benchmark.filter(F.regexp_count("text", F.lit(WORD)) >= shortest)
     for part, _ in _parts(docs, benchmark, width, limit_bytes):
         out = out.mapInArrow(_clean(part), docs.schema)
     return out

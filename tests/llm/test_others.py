@@ -29,7 +29,7 @@ def test_decontamination(spark, limit):
     got = sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in decontaminate(docs, bench, 10, limit).collect()), key=repr)
     expected = [(i, *brute.hits(t, ITEMS, 10)) for i, t in rows]
     assert got == sorted(expected, key=repr)
-    kept = drop_contaminated(docs, bench, 10, limit)
+    kept = drop_contaminated(docs, bench, 10, limit, shortest=1)
     assert kept.columns == docs.columns and kept.count() == sum(e[2] == 0 for e in expected)
     assert decontaminate(docs.limit(0), bench).count() == 0
     assert {r.n_hit for r in decontaminate(docs, bench.limit(0)).collect()} == {0}

@@ -7,7 +7,7 @@ import pytest
 pipeline = pytest.importorskip("corpus_pipeline")
 
 from tests.llm import brute  # noqa: E402
-from tests.llm.test_others import base_spans  # noqa: E402
+from tests.llm.test_pii import base_spans  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +73,25 @@ def test_run(spark, tables):
     out = pipeline.run(spark, folder).collect()
     assert out and not any(item in (r.text or "") or "$$$" in (r.text or "") for r in out)
     assert [n for n, _ in pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "pii", "mixing"]
+
+
+def test_empty_documents_and_extra_columns(spark, tables, tmp_path):
+    folder, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = docs.selectExpr("*", "map('k', doc_id) as node", "array(text) as least", "doc_id as `group`", "0.5D as score", "named_struct('a', map(1, 2)) as doc")
+    for name, stage in pipeline.STAGES:
+        none = stage(spark, docs.limit(0), folder)
+        assert none.count() == 0 and none.columns[: len(docs.columns)] == docs.columns, name
+        got = stage(spark, odd, folder)
+        assert got.columns[: len(odd.columns)] == odd.columns, name
+        assert got.select(docs.columns).exceptAll(docs if name != "pii" else got.select(docs.columns)).count() == 0, name
+        assert got.count() == stage(spark, docs, folder).count() > 0, name
+
+
+def test_short_items_drop_nothing(spark):
+    docs = spark.createDataFrame([(1, "the first of words and then some more"), (2, "five short words stand here now")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "the"), (2, "Five short words stand here"), (3, None)], "item_id long, text string")
+    from folioquery.llm.decontamination import drop_contaminated
+
+    assert [r.doc_id for r in drop_contaminated(docs, bench).collect()] == [1]
+    assert drop_contaminated(docs, bench, shortest=1).count() == 0
