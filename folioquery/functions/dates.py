@@ -14,9 +14,14 @@ def _date(text: Column, form: str) -> Column:
     return F.try_to_timestamp(text, F.lit(form)).cast("date")
 
 
+def _slash_date(text: Column) -> Column:
+    """A failed parse costs far more than a look at the shape, so each text is parsed in one form only."""
+    return F.when(text.rlike(r"/\d\d$"), _date(text, "M/d/yy")).when(text.rlike(r"/\d{4,}$"), _date(text, "M/d/yyyy"))
+
+
 def us_date(text: Column) -> Column:
     """M/D/Y as ISO text; two-digit years are 20xx; anything else UNKNOWN."""
-    return F.coalesce(F.date_format(F.coalesce(_date(text, "M/d/yyyy"), _date(text, "M/d/yy")), "yyyy-MM-dd"), F.lit(UNKNOWN))
+    return F.coalesce(F.date_format(_slash_date(text), "yyyy-MM-dd"), F.lit(UNKNOWN))
 
 
 def month_number(name: Column) -> Column:
@@ -47,7 +52,8 @@ def any_date(text: Column) -> Column:
     """
     plain = F.regexp_replace(F.trim(text), r"[,.]", "")
     squeezed = F.regexp_replace(plain, r"\s+", " ")
-    return F.coalesce(*[_date(squeezed, f) for f in ("yyyy-MM-dd", "MMMM d yyyy", "MMM d yyyy", "M/d/yyyy", "M/d/yy")])
+    short = F.when(squeezed.rlike(r"^\pL{3} "), _date(squeezed, "MMM d yyyy"))
+    return F.when(squeezed.rlike(r"^\d+/"), _slash_date(squeezed)).when(squeezed.rlike(r"^[+-]?\d+-"), _date(squeezed, "yyyy-MM-dd")).when(squeezed.rlike(r"^\pL"), F.coalesce(short, F.when(squeezed.rlike(r"^\pL{3,} "), _date(squeezed, "MMMM d yyyy"))))
 
 
 def section_date(text: Column) -> Column:

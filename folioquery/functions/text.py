@@ -55,8 +55,9 @@ def labelled_date(text: Column) -> Column:
 
 
 def phrases(text: Column, words: int = fixed.PHRASE_WORDS) -> Column:
-    """Parts between full stops, semicolons, colons and line ends with at least ``words`` words."""
-    return F.filter(F.transform(F.split(text, r"[.;:\n]+"), strip), lambda x: F.size(F.split(x, r"\s+")) >= words)
+    """Parts between full stops, semicolons, colons and line ends with at least ``words`` words, stripped."""
+    parts = F.regexp_extract_all(text, F.lit(r"[^.;:\n\s](?:[^.;:\n]*[^.;:\n\s])?"), F.lit(0))
+    return F.filter(parts, lambda x: x.rlike(rf"^(?:\S+\s+){{{words - 1}}}\S"))
 
 
 def provider_present(name: Column) -> Column:
@@ -91,6 +92,12 @@ def case_name(name: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[^.]*$", "")
 
 
+def project_case_name(name: Column) -> Column:
+    """A project's words in reverse, joined by underscores; null without a name."""
+    words = F.filter(F.split(strip(name), r"\s+"), lambda w: w != "")
+    return F.nullif(F.array_join(F.reverse(words), "_"), F.lit(""))
+
+
 def bytes_text(n: Column) -> Column:
     """B, KB or MB with one decimal from a kilobyte on."""
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / (1024.0 * 1024.0)))

@@ -68,14 +68,14 @@ def own_index(texts: DataFrame) -> DataFrame:
     """Entries of a pipe-drawn table whose first column holds dates, in any of six shapes, whole or split over lines."""
     rows = lines(texts)
     line = F.col("line")
-    cell = [_cell(F.lead("line", k).over(by_line()) if k else line, r"^\|\s*([^|]*?)\s*\|") for k in range(4)]
+    cell = [_cell(F.lead("line", k).over(by_line()) if k else line, fixed.FIRST_CELL) for k in range(4)]
     rows = rows.withColumns({f"c{k}": c for k, c in enumerate(cell)})
     c0, c1, c2, c3 = (F.col(f"c{k}") for k in range(4))
 
     def make(*parts: Column) -> Column:
         return F.concat_ws("/", *[p.cast("string") for p in parts])
 
-    full = r"(?i)^(january|february|march|april|may|june|july|august|september|october|november|december)\s+(\d{1,2}),\s+(\d{4})$"
+    full = fixed.WRITTEN_CELL
     split_month = month_number(F.concat(c0, c1))
     day, year = _cell(c2, r"^(\d{1,2}),?$"), _cell(c3, r"^(\d{4})$")
     none = F.lit(None).cast("string")
@@ -91,20 +91,17 @@ def own_index(texts: DataFrame) -> DataFrame:
     first, *rest = shapes
     date_str = reduce(lambda out, s: out.when(s[0], s[2]), rest, F.when(first[0], first[2])).otherwise(none)
     skip = reduce(lambda out, s: out.when(s[0], s[1]), rest, F.when(first[0], first[1])).otherwise(0)
-    stop = r"^\|\s*\d{1,2}/"
     after = Window.partitionBy("doc_id").orderBy("n").rowsBetween(0, Window.unboundedFollowing)
-    rule = F.min(F.when(line.rlike(r"^\+[-+]+\+"), F.col("n"))).over(after)
-    mark = F.min(F.when(line.rlike(stop) | F.coalesce(unknown, F.lit(False)), F.col("n"))).over(after)
+    rule = F.min(F.when(line.rlike(fixed.TABLE_RULE), F.col("n"))).over(after)
+    mark = F.min(F.when(line.rlike(fixed.NEXT_DATE) | F.coalesce(unknown, F.lit(False)), F.col("n"))).over(after)
     rows = rows.withColumns({"date_str": date_str, "skip": skip, "rule": rule, "mark": mark})
     ends = F.when(F.col("skip") == 3, F.lead("mark", 4).over(by_line()))
     for k in range(3):
         ends = ends.when(F.col("skip") == k, F.lead("mark", k + 1).over(by_line()))
     rows = rows.withColumn("until", F.least("rule", ends))
     anchors = rows.filter("date_str is not null").select("doc_id", F.col("n").alias("ordinal"), "date_str", "until")
-    third = r"\|\s*[^|]*\|\s*[^|]*\|\s*([^|]+)\|"
-    final = r"\|\s*([\d,\s\-]+)\s*\|?\s*$"
-    said = F.nullif(strip(F.regexp_extract(line, third, 1)), F.lit(""))
-    parts = rows.select("doc_id", "n", said.alias("said"), F.when(line.rlike(final), expand_pages(F.regexp_extract(line, final, 1))).alias("got"))
+    said = F.nullif(strip(F.regexp_extract(line, fixed.THIRD_CELL, 1)), F.lit(""))
+    parts = rows.select("doc_id", "n", said.alias("said"), F.when(line.rlike(fixed.LAST_CELL), expand_pages(F.regexp_extract(line, fixed.LAST_CELL, 1))).alias("got"))
     payload = anchors.join(parts, "doc_id").filter("n >= ordinal and (until is null or n < until)")
     found = payload.groupBy("doc_id", "ordinal", "date_str").agg(F.min_by("said", F.when(F.col("said").isNotNull(), F.col("n"))).alias("header"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("got")))).alias("pages"))
     date = F.when(F.col("date_str") == "Unknown", fixed.UNKNOWN).otherwise(us_date(F.col("date_str")))
@@ -145,14 +142,14 @@ def legacy_letters(executions: DataFrame) -> DataFrame:
     from folioquery.functions.text import found, labelled, tagged_or_all
 
     prompt = F.coalesce("prompt", F.lit(""))
-    pages = F.transform(F.regexp_extract_all(prompt, F.lit(r"- Page: (\d+)"), F.lit(1)), lambda p: p.try_cast("int"))
-    listed = F.coalesce(found(prompt, r"Pages in document: (\d+)").try_cast("int"), F.lit(1))
+    pages = F.transform(F.regexp_extract_all(prompt, F.lit(fixed.PROMPT_PAGE), F.lit(1)), lambda p: p.try_cast("int"))
+    listed = F.coalesce(found(prompt, fixed.PROMPT_PAGES).try_cast("int"), F.lit(1))
     return executions.filter("status = 'SUCCEEDED'").select(
         F.col("iteration").alias("index"),
         labelled(prompt, "Date", "Encounter Date", "Letter Date").alias("date"),
         labelled(prompt, "Provider").alias("provider"),
         F.array().cast("array<string>").alias("category"),
-        F.array_distinct(F.transform(F.regexp_extract_all(prompt, F.lit(r"(?m)Sub-category:[ \t]*(.+)$"), F.lit(1)), strip)).alias("subcategory"),
+        F.array_distinct(F.transform(F.regexp_extract_all(prompt, F.lit(fixed.PROMPT_SUBCATEGORY), F.lit(1)), strip)).alias("subcategory"),
         listed.alias("page_count"),
         F.array_distinct(pages).alias("pages"),
         strip(tagged_or_all(F.coalesce("output", F.lit("")), "content")).alias("content"),

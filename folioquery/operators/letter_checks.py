@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioquery import fixed
 from folioquery.functions import dates, names, text
+from folioquery.functions.columns import once
 from folioquery.operators.first_match import is_cover_letter, required_sections, rubric_name
 
 ISSUES = "array<struct<check:string,severity:string,message:string>>"
@@ -21,9 +22,10 @@ def issue(condition: Column, check: str, severity: str, message: Column) -> Colu
 def prepare(letters: DataFrame) -> DataFrame:
     """Adds header, body, rubric and what the header says, once for all checks."""
     content = F.col("content")
-    rows = letters.withColumns({"header": F.when(~text.blank(content), text.first_line(content)), "body": text.body(F.coalesce(content, F.lit(""))), "rubric": rubric_name(F.coalesce("subcategory", F.array().cast("array<string>")))})
-    rows = rows.withColumns({"header_date": text.header_date(F.col("header")), "header_provider": text.header_provider(F.col("header"))})
-    return rows.withColumns({"name_expected": names.plain_name(names.without_recipient(F.col("provider"))), "name_found": names.plain_name(F.col("header_provider"))})
+    rows = once(letters, header=F.when(~text.blank(content), text.first_line(content)), body=text.body(F.coalesce(content, F.lit(""))), rubric=rubric_name(F.coalesce("subcategory", F.array().cast("array<string>"))))
+    rows = once(rows, header_date=text.header_date(F.col("header")), header_provider=text.header_provider(F.col("header")))
+    same = dates.dates_match(F.col("date"), F.col("header_date"))
+    return once(rows, same_date=same, name_expected=names.plain_name(names.without_recipient(F.col("provider"))), name_found=names.plain_name(F.col("header_provider")))
 
 
 def header_format() -> Column:
@@ -43,7 +45,7 @@ def header_format() -> Column:
 def date_consistency() -> Column:
     expected, found = F.col("date"), F.col("header_date")
     known = ~text.blank(expected) & (F.lower(text.strip(expected)) != "unknown") & (found != "Unknown")
-    return issue(known & ~dates.dates_match(expected, found), "date_consistency", "error", F.concat(F.lit("Header date '"), found, F.lit("' does not match expected '"), expected, F.lit("'")))
+    return issue(known & ~F.col("same_date"), "date_consistency", "error", F.concat(F.lit("Header date '"), found, F.lit("' does not match expected '"), expected, F.lit("'")))
 
 
 def provider_consistency() -> Column:
@@ -84,7 +86,7 @@ CHECKS = {
 
 def score(letters: DataFrame) -> DataFrame:
     """Letters with issues (in the order of the checks), errors, warnings and passed (no error)."""
-    out = prepare(letters).withColumn("issues", F.concat(*[CHECKS[c]() for c in fixed.SCORE_CHECKS]))
+    out = once(prepare(letters), issues=F.concat(*[CHECKS[c]() for c in fixed.SCORE_CHECKS]))
     return counted(out).withColumn("passed", F.col("errors") == 0)
 
 
@@ -110,3 +112,9 @@ def by_check(scored: DataFrame) -> DataFrame:
     rows = scored.select(F.explode(F.array(*map(F.lit, fixed.SCORE_CHECKS))).alias("check"), failed.alias("failed"))
     bad = F.array_contains("failed", F.col("check"))
     return rows.groupBy("check").agg(F.count_if(~bad).alias("passed"), F.count_if(bad).alias("failed"))
+
+
+def score_report(scored: DataFrame, errors_only: bool = False, short: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """The scorecard and the flagged letters: those with errors only if asked, none in the short form."""
+    flagged = scored.filter("errors > 0" if errors_only else "errors + warnings > 0")
+    return scorecard(scored), None if short else flagged

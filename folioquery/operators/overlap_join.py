@@ -10,25 +10,20 @@ def with_pages(entries: DataFrame) -> DataFrame:
     return entries.filter(F.size("pages") > 0)
 
 
-def same_dates(yours: DataFrame, theirs: DataFrame, spread: bool = False) -> DataFrame:
+def same_dates(yours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Pairs with equal date and a common page.
 
-    Entries have entry_id, date, pages and header. The date is the join key and
-    the overlap a residual test, so pairs form once. With ``spread`` the pages
-    are exploded and join with the date, which suits dates with very many
-    entries; the pairs are then made distinct.
+    Entries have entry_id, date, pages and header. Pages are exploded and join
+    with the date, so that a date of very many entries (UNKNOWN, say) spreads
+    over its pages; a pair that shares several pages is made one.
     """
     y = with_pages(yours).select("date", F.col("entry_id").alias("your_id"), F.col("pages").alias("your_pages"), F.col("header").alias("your_header"))
     t = with_pages(theirs).select("date", F.col("entry_id").alias("their_id"), F.col("pages").alias("their_pages"), F.col("header").alias("their_header"))
-    if not spread:
-        return y.join(t, "date").filter(F.arrays_overlap("your_pages", "their_pages"))
-    ids = (
-        y.select("date", "your_id", F.explode("your_pages").alias("page"))
-        .join(t.select("date", "their_id", F.explode("their_pages").alias("page")), ["date", "page"])
-        .select("your_id", "their_id")
-        .distinct()
-    )
-    return ids.join(y, "your_id").join(t.drop("date"), "their_id").select("date", "your_id", "your_pages", "your_header", "their_id", "their_pages", "their_header")
+    page = F.explode(F.array_distinct("your_pages")).alias("page")
+    met = y.select("*", page).join(t.select("*", F.explode(F.array_distinct("their_pages")).alias("page")), ["date", "page"])
+    # a pair is kept at its first common page, without another shuffle
+    first = F.array_min(F.array_intersect("your_pages", "their_pages"))
+    return met.filter(F.col("page") == first).drop("page")
 
 
 def only(entries: DataFrame, matched: DataFrame, key: str) -> DataFrame:
@@ -36,9 +31,9 @@ def only(entries: DataFrame, matched: DataFrame, key: str) -> DataFrame:
     return with_pages(entries).join(matched.select(F.col(key).alias("entry_id")).distinct(), "entry_id", "left_anti")
 
 
-def reconcile(yours: DataFrame, theirs: DataFrame, spread: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def reconcile(yours: DataFrame, theirs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """same_dates, yours_only and theirs_only."""
-    same = same_dates(yours, theirs, spread)
+    same = same_dates(yours, theirs)
     return same, only(yours, same, "your_id"), only(theirs, same, "their_id")
 
 

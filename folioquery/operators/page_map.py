@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGE = r"^(\d+)\s*-\s*(\d+)$"
+from folioquery.fixed import LINK_RANGE as RANGE
 
 
 def link_pages(links: DataFrame) -> DataFrame:

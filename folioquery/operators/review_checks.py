@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioquery import fixed
 from folioquery.functions import dates, text
+from folioquery.functions.columns import once
 from folioquery.functions.pages import page_ranges
 from folioquery.functions.results import field_text, parse_result
 from folioquery.operators.letter_checks import counted
@@ -18,10 +19,30 @@ def _rows(df: DataFrame, check: str, severity: str, message: Column) -> DataFram
 
 
 def letter_extracts(letters: DataFrame, extracts: DataFrame) -> DataFrame:
-    """Letters with each extract of their pages: pages count from one, iterations from zero."""
+    """Letters with each extract of their pages: pages count from one, iterations from zero; run_id joins too where both have it."""
     page = letters.withColumn("page", F.explode(F.array_distinct("pages")))
-    own = extracts.select((F.col("iteration") + 1).alias("page"), "iteration", parse_result(F.col("result")).alias("r"), text.tagged_or_all(F.coalesce("prompt", F.lit("")), "processed_content").alias("source"))
-    return page.join(own, "page")
+    run = ["run_id"] if "run_id" in letters.columns and "run_id" in extracts.columns else []
+    own = extracts.select(*run, (F.col("iteration") + 1).alias("page"), "iteration", parse_result(F.col("result")).alias("r"), text.tagged_or_all(F.coalesce("prompt", F.lit("")), "processed_content").alias("source"), clinical(F.col("result")).alias("clinical"))
+    # both sides grow with the run: a merge join, whatever the sizes at hand
+    return page.join(own.hint("merge"), [*run, "page"])
+
+
+def clinical(result: Column) -> Column:
+    """Names and phrases of the clinical fields whose value is a long text.
+
+    All fields are read in one pass; kind and phrases are looked at beyond the
+    least length only.
+    """
+    parsed = F.from_json(result, ", ".join(f"{f} string" for f in fixed.CLINICAL_FIELDS))
+
+    def long_text(all_: Column, name: str) -> Column:
+        value = all_[name]
+        is_text = F.schema_of_variant(F.try_variant_get(parse_result(result), f"$.{name}", "variant")) == "STRING"
+        long_ = (F.length(value) > fixed.CLINICAL_CHARS) & (F.length(text.strip(value)) > fixed.CLINICAL_CHARS)
+        return F.when(long_ & is_text, F.struct(F.lit(name).alias("name"), text.phrases(F.lower(value)).alias("phrases")))
+
+    rows = F.transform(F.array(parsed), lambda all_: F.array_compact(F.array(*[long_text(all_, f) for f in fixed.CLINICAL_FIELDS])))
+    return F.filter(F.get(rows, 0), lambda f: F.size(f["phrases"]) > 0)
 
 
 def _quoted(*parts) -> Column:
@@ -32,33 +53,34 @@ def date_of_service(joined: DataFrame) -> DataFrame:
     """Dates of extracts, and labelled dates of the source text, against the letter's date."""
     unknown = F.lower(text.strip(F.coalesce("date", F.lit("")))).isin("unknown", "")
     found = text.strip(field_text(F.col("r"), "date"))
-    rows = joined.withColumns({"unknown": unknown, "found": F.when((found != "") & (F.lower(found) != "unknown"), found), "label": text.labelled_date(F.col("source")), "at": F.col("page").cast("string")})
-    has = rows.filter("found is not null")
-    a = _rows(has.filter("unknown"), "dos_verification", "error", _quoted("Letter has unknown date but Extract Info found '", F.col("found"), "' on page ", F.col("at")))
-    b = _rows(has.filter(~F.col("unknown") & ~dates.dates_match(F.col("date"), F.col("found"))), "dos_verification", "error", _quoted("Extract Info date '", F.col("found"), "' differs from letter date '", text.strip(F.col("date")), "' on page ", F.col("at")))
-    labels = rows.filter("unknown").groupBy("index").agg(F.count_if(F.col("found").isNotNull()).alias("n"), F.min(F.when(F.col("label").isNotNull(), F.struct("page", "label", "at"))).alias("m"))
-    c = _rows(labels.filter("n = 0 and m.label is not null"), "dos_verification", "error", _quoted("Letter has unknown date but source text contains '", F.col("m.label"), "' on page ", F.col("m.at")))
-    first = rows.filter("not unknown").groupBy("index").agg(F.min(F.struct("page", "label", "at", "date")).alias("m"))
-    late = first.filter(F.col("m.label").isNotNull() & ~dates.dates_match(F.col("m.date"), F.col("m.label")))
-    d = _rows(late, "dos_verification", "warning", _quoted("Source text has DOS '", F.col("m.label"), "' that differs from letter date '", text.strip(F.col("m.date")), "' on page ", F.col("m.at")))
-    return a.unionByName(b).unionByName(c).unionByName(d).distinct()
+    rows = once(joined, unknown=unknown, found=F.when((found != "") & (F.lower(found) != "unknown"), found), label=text.labelled_date(F.col("source")), at=F.col("page").cast("string"), said=text.strip(F.col("date")))
+    differs = F.col("found").isNotNull() & ~F.col("unknown") & ~dates.dates_match(F.col("date"), F.col("found"))
+    per_page = F.when(F.col("found").isNotNull() & F.col("unknown"), _quoted("Letter has unknown date but Extract Info found '", F.col("found"), "' on page ", F.col("at"))).when(
+        differs, _quoted("Extract Info date '", F.col("found"), "' differs from letter date '", F.col("said"), "' on page ", F.col("at"))
+    )
+    pages = _rows(rows.select("index", per_page.alias("m")).filter("m is not null"), "dos_verification", "error", F.col("m")).distinct()
+    first = rows.groupBy("index").agg(
+        F.bool_or("unknown").alias("unknown"), F.count_if(F.col("unknown") & F.col("found").isNotNull()).alias("n"),
+        F.min(F.when(F.col("unknown") & F.col("label").isNotNull(), F.struct("page", "label", "at"))).alias("u"), F.min(F.when(~F.col("unknown"), F.struct("page", "label", "at", "date", "said"))).alias("k"),
+    )
+    bare = F.when(F.col("u.label").isNotNull() & (F.col("n") == 0), F.struct(F.lit("error").alias("severity"), _quoted("Letter has unknown date but source text contains '", F.col("u.label"), "' on page ", F.col("u.at")).alias("message")))
+    late = F.when(
+        F.col("k.label").isNotNull() & ~dates.dates_match(F.col("k.date"), F.col("k.label")),
+        F.struct(F.lit("warning").alias("severity"), _quoted("Source text has DOS '", F.col("k.label"), "' that differs from letter date '", F.col("k.said"), "' on page ", F.col("k.at")).alias("message")),
+    )
+    issues = first.select("index", F.explode(F.array_compact(F.array(bare, late))).alias("i"))
+    return pages.unionByName(issues.select("index", F.lit("dos_verification").alias("check"), "i.severity", "i.message"))
 
 
 def coverage(joined: DataFrame) -> DataFrame:
-    """Clinical fields of a page none of whose phrases stands in the letter's body."""
-    fields = F.array(*[F.struct(F.lit(f).alias("name"), F.try_variant_get("r", f"$.{f}", "variant").alias("v")) for f in fixed.CLINICAL_FIELDS])
-    strings = F.filter(fields, lambda f: F.schema_of_variant(f["v"]) == "STRING")
-    values = F.transform(strings, lambda f: F.struct(f["name"].alias("name"), F.try_variant_get(f["v"], "$", "string").alias("value")))
-    long_ = F.filter(values, lambda f: F.length(text.strip(f["value"])) > fixed.CLINICAL_CHARS)
-    said = F.transform(long_, lambda f: F.struct(f["name"].alias("name"), F.lower(f["value"]).alias("value")))
-    said = F.filter(F.transform(said, lambda f: F.struct(f["name"].alias("name"), text.phrases(f["value"]).alias("phrases"))), lambda f: F.size(f["phrases"]) > 0)
+    """Clinical fields of a page none of whose phrases stands in the letter's body, in the order of the fixed list."""
 
     def unsaid(body: Column) -> Column:
-        return F.array_join(F.transform(F.filter(said, lambda f: ~F.exists(f["phrases"], lambda p: F.contains(body, p))), lambda f: f["name"]), ", ")
+        return F.array_join(F.transform(F.filter("clinical", lambda f: ~F.exists(f["phrases"], lambda p: F.contains(body, p))), lambda f: f["name"]), ", ")
 
-    # the body is bound once a row, not once a phrase
-    missing = F.get(F.transform(F.array(F.lower(text.body(F.col("content")))), unsaid), 0).alias("fields")
-    page = joined.filter(~text.blank(F.col("content"))).select("index", "page", missing).filter("fields <> ''")
+    # body and fields are bound once a row
+    rows = once(joined.filter(~text.blank(F.col("content"))).select("index", "page", "clinical", "content"), fields=F.get(F.transform(F.array(F.lower(text.body(F.col("content")))), unsaid), 0))
+    page = rows.filter("fields <> ''")
     return _rows(page, "content_coverage", "warning", _quoted("Content from page ", F.col("page").cast("string"), " not reflected in summary: ", F.col("fields")))
 
 
@@ -83,6 +105,12 @@ def redundancy(letters: DataFrame) -> DataFrame:
     return _rows(both.join(named, "other"), "redundancy", "warning", _quoted("Similar to letter at pages ", F.col("range"), " (", F.col("who"), ")"))
 
 
+def _category(letters: DataFrame) -> Column:
+    """The first subcategory, else the first category, else nothing."""
+    named = [F.get(c, 0) for c in ("subcategory", "category") if c in letters.columns]
+    return F.coalesce(*named, F.lit(""))
+
+
 def review(letters: DataFrame, extracts: DataFrame) -> DataFrame:
     """Findings: letters with issues, and what they count to.
 
@@ -94,7 +122,7 @@ def review(letters: DataFrame, extracts: DataFrame) -> DataFrame:
     every = own.withColumn("own", F.lit(True)).unionByName(redundancy(letters).withColumn("own", F.lit(False)))
     issues = F.array_sort(F.collect_list(F.struct("check", "severity", "message"))).alias("issues")
     found = every.groupBy("index").agg(issues, F.bool_or("own").alias("own"))
-    shown = letters.select("index", "date", "provider", F.array_join("category", ", ").alias("category"), page_ranges(F.array_distinct("pages")).alias("pages"), "page_count")
+    shown = letters.select("index", "date", "provider", _category(letters).alias("category"), page_ranges(F.array_distinct("pages")).alias("pages"), F.size(F.coalesce("pages", F.array())).alias("page_count"))
     mine = [F.when(F.col("own"), F.col(c)).alias(c) for c in ("date", "provider", "category", "pages", "page_count")]
     return counted(found.join(shown, "index").select("index", *mine, "issues"))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioquery import fixed
 from folioquery.functions.results import field_is, field_text, parse_result, percent, truthy
+from folioquery.functions.text import tagged
 
 
 def succeeded(executions: DataFrame) -> DataFrame:
@@ -75,9 +76,13 @@ def tally(values: DataFrame, column: str) -> DataFrame:
 
 
 def resolve_step(steps: DataFrame, name: str) -> DataFrame:
-    """The step of that name, exact before case-insensitive."""
+    """The step of that name, exact before case-insensitive; an error that lists the run's steps if there is none."""
     hits = steps.filter(F.lower("name") == name.lower())
-    return hits.orderBy(F.when(F.col("name") == name, 0).otherwise(1), "ordinal").limit(1)
+    hit = hits.orderBy(F.when(F.col("name") == name, 0).otherwise(1), "ordinal").limit(1)
+    if hit.isEmpty():
+        known = [r["name"] for r in steps.orderBy("ordinal").limit(100).select("name").collect()]
+        raise LookupError(f"no step named {name!r}; steps: {', '.join(map(str, known)) or 'none'}")
+    return hit
 
 
 def extract_step(steps: DataFrame) -> DataFrame:
@@ -87,17 +92,26 @@ def extract_step(steps: DataFrame) -> DataFrame:
 
 
 def list_pages(executions: DataFrame) -> DataFrame:
-    """Succeeded rows of the extract step: page (the raw iteration), date, provider, category."""
+    """Succeeded rows of the extract step: page (the raw iteration), date, provider, categories and continuation."""
     rows = succeeded(executions).filter(F.col("step_name") == fixed.EXTRACT_STEP).withColumn("r", parse_result(F.col("result")))
-    text = {n: field_text(F.col("r"), f) for n, f in (("date", "date"), ("provider", "provider"), ("category", "doc_category"), ("subcategory", "doc_subcategory"))}
-    return rows.select(F.col("iteration").alias("page"), F.coalesce(text["date"], F.lit("Unknown")).alias("date"), *[text[n].alias(n) for n in ("provider", "category", "subcategory")]).orderBy("page")
+    text = {n: field_text(F.col("r"), f) for n, f in (("date", "date"), ("provider", "provider"), ("category", "doc_category"), ("subcategory", "doc_subcategory"), ("continuation", "continuation"))}
+    return rows.select(F.col("iteration").alias("page"), F.coalesce(text["date"], F.lit("Unknown")).alias("date"), *[text[n].alias(n) for n in ("provider", "category", "subcategory", "continuation")]).orderBy("page")
+
+
+def list_letters(letters: DataFrame) -> DataFrame:
+    """Letters numbered from one in their order, with date, provider, category, pages."""
+    at = F.row_number().over(Window.partitionBy("run_id").orderBy("index")) if "run_id" in letters.columns else F.col("index") + 1
+    run = ["run_id"] if "run_id" in letters.columns else []
+    rows = letters.select(*run, at.alias("row"), *[c for c in ("id",) if c in letters.columns], "date", "provider", "category", "page_count", "pages")
+    return rows.orderBy(*run, "row")
 
 
 def compact(executions: DataFrame) -> DataFrame:
-    """Eight columns of an execution's result."""
+    """Eight columns of an execution: its iteration, the file its prompt names, and six fields of its result, null where that is no JSON."""
     r = parse_result(F.col("result"))
-    names = ("date", "date_label", "provider", "doc_category", "doc_subcategory", "continuation")
-    return executions.select("iteration", "status", *[field_text(r, n).alias(n) for n in names])
+    fields_ = (("date", "date"), ("date_label", "date_label"), ("continuation", "continuation"), ("category", "doc_category"), ("subcategory", "doc_subcategory"), ("provider", "provider"))
+    filename = tagged(F.col("prompt"), "filename") if "prompt" in executions.columns else F.lit(None).cast("string")
+    return executions.select("iteration", filename.alias("filename"), *[field_text(r, f).alias(n) for n, f in fields_])
 
 
 def flatten_steps(steps: DataFrame) -> DataFrame:

@@ -83,10 +83,12 @@ def latest_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_match.latest_success(runs, "user_id")
 
 
-@query(f"WITH {_EXECUTIONS} SELECT event_id, status, date, CAST(continuation AS VARCHAR) AS continuation FROM executions WHERE NOT broken")
+@query(f"""WITH {_EXECUTIONS} SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type || '.pdf' END AS filename, CASE WHEN NOT broken THEN date END AS date,
+CASE WHEN NOT broken THEN CAST(continuation AS VARCHAR) END AS continuation FROM executions""")
 def run_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived.executions(spark, sf_dir).filter("event_id % 7 <> 6").withColumn("iteration", F.col("event_id"))
-    return run_inspection.compact(rows).select(F.col("iteration").alias("event_id"), "status", "date", "continuation")
+    prompt = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("read <filename> "), "step_name", F.lit(".pdf</filename> now"))).otherwise("read it")
+    rows = derived.executions(spark, sf_dir).withColumn("prompt", prompt).withColumn("iteration", F.col("event_id"))
+    return run_inspection.compact(rows).select(F.col("iteration").alias("event_id"), "filename", "date", "continuation")
 
 
 @query(f"""WITH {_EXECUTIONS} SELECT event_id AS page, coalesce(CASE WHEN NOT broken THEN date END, 'Unknown') AS date
@@ -114,7 +116,7 @@ def reconcile_same(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_ENTRIES} SELECT CAST(d AS VARCHAR) AS date, your_id, their_id FROM same")
 def reconcile_same_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap_join.same_dates(derived.yours(spark, sf_dir), derived.theirs(spark, sf_dir), spread=True).select("date", "your_id", "their_id")
+    return overlap_join.same_dates(derived.yours(spark, sf_dir), derived.theirs(spark, sf_dir)).select("date", "your_id", "their_id")
 
 
 @query(f"WITH {_ENTRIES} SELECT CAST(d AS VARCHAR) AS date, id AS entry_id, array_to_string(pages, ',') AS pages FROM yours_only")
@@ -159,14 +161,15 @@ def header_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Pages.
 
 
-@query("""WITH l AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) + 1 AS logical, max(CAST(turn + 1 + conv_id % 5 AS INTEGER)) AS physical FROM conversations WHERE (conv_id + turn) % 3 <> 1 GROUP BY 1, 2),
-n AS (SELECT *, lead(logical) OVER w AS l2, lead(physical) OVER w AS p2 FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY logical))
-SELECT doc_id, logical, physical FROM l UNION ALL
+@query("""WITH c AS (SELECT DISTINCT conv_id AS doc_id, CAST(turn + 1 + turn // 2 AS INTEGER) AS logical, CAST(turn + 1 + turn // 2 + conv_id % 5 + CASE WHEN conv_id % 3 = 0 THEN turn ELSE 0 END AS INTEGER) AS physical FROM conversations),
+n AS (SELECT *, lead(logical) OVER w AS l2, lead(physical) OVER w AS p2 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY logical))
+SELECT doc_id, logical, physical FROM c UNION ALL
 SELECT doc_id, CAST(x AS INTEGER), CAST(physical + x - logical AS INTEGER) FROM (SELECT *, unnest(generate_series(logical + 1, l2 - 1)) AS x FROM n WHERE l2 - logical > 1 AND l2 - logical = p2 - physical)""")
 def page_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = derived.table(spark, sf_dir, "conversations").filter("(conv_id + turn) % 3 <> 1")
-    page = (F.col("turn") + 1).cast("int")
-    links = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ordinal"), page.cast("string").alias("link_text"), (page + F.col("conv_id") % 5).cast("int").alias("dest_page"))
+    """Every second step skips a page; in a third of the documents the physical pages lie further apart, and the gap stays."""
+    turn, doc = F.col("turn").cast("int"), F.col("conv_id")
+    page = turn + 1 + F.floor(turn / 2).cast("int")
+    links = derived.table(spark, sf_dir, "conversations").select(doc.alias("doc_id"), turn.alias("ordinal"), page.cast("string").alias("link_text"), (page + doc % 5 + F.when(doc % 3 == 0, turn).otherwise(0)).cast("int").alias("dest_page"))
     return page_map.build_page_map(links)
 
 
@@ -323,3 +326,9 @@ SELECT "check", count(*) AS n, count(*) FILTER (severity = 'error') AS errors, c
 def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters, extracts = derived.reviewed(spark, sf_dir)
     return review_checks.by_check(review_checks.review(letters, extracts))
+
+
+from folioquery.plans import index_queries  # noqa: E402
+
+QUERIES |= index_queries.QUERIES
+ORACLES |= index_queries.ORACLES

@@ -44,6 +44,11 @@ def _listed(pages: Column) -> Column:
     return F.array_join(pages.cast("array<string>"), ", ")
 
 
+def _order(rows: DataFrame, *columns: str) -> Column:
+    """What decides which entry is the first: the parsers' ordinal, else the named columns."""
+    return F.struct(*[c for c in (("ordinal",) if "ordinal" in rows.columns else columns)])
+
+
 def _one_sided(entries: DataFrame, other: DataFrame, same: DataFrame, prints: DataFrame, side: str) -> DataFrame:
     """Report rows of the entries that only one side has, with what the other side says of the matched page."""
     yours = side == "yours"
@@ -54,10 +59,10 @@ def _one_sided(entries: DataFrame, other: DataFrame, same: DataFrame, prints: Da
     gated = F.col("first_state").isin("not_in_document", "not_in_toc")
     page = F.when(~gated, F.col("match_page"))
     other_side = "their" if yours else "your"
-    same_pages = same.select(F.col("date"), F.col(f"{other_side}_pages").alias("pages"), F.col(f"{other_side}_header").alias("header"), F.monotonically_increasing_id().alias("ordinal"))
-    looked = first_match.look_up(rows.withColumn("match_page", page), "match_page", (other.withColumn("ordinal", F.monotonically_increasing_id()).select("date", "pages", "header", "ordinal"), "header"), (same_pages, "header"))
+    same_pages = same.select(F.col("date"), F.col(f"{other_side}_pages").alias("pages"), F.col(f"{other_side}_header").alias("header"), _order(same, "your_pages", "their_pages", "date", "your_header", "their_header").alias("ordinal"))
+    looked = first_match.look_up(rows.withColumn("match_page", page), "match_page", (other.select("date", "pages", "header", _order(other, "pages", "date", "header", "entry_id").alias("ordinal")), "header"), (same_pages, "header"))
     confidence = F.when(F.col("first_state") == "not_in_document", fixed.NOT_IN_DOCUMENT[side]).when(F.col("first_state") == "not_in_toc", fixed.NOT_IN_INDEX[side]).otherwise(F.coalesce(similarity.report_confidence(F.col("score")), F.lit(fixed.NO_MATCH)))
-    act = F.when(gated, "MANUAL REVIEW NEEDED").otherwise(similarity.action(F.lit(status), confidence, F.coalesce(F.col("match_page").cast("string"), F.lit(fixed.NO_VALUE))))
+    act = F.when(F.col("first_state") == "not_in_document", fixed.NOT_IN_DOCUMENT_ACTION[side]).when(gated, fixed.REVIEW_ACTION).otherwise(similarity.action(F.lit(status), confidence, F.coalesce(F.col("match_page").cast("string"), F.lit(fixed.NO_VALUE))))
     mine = {"date": F.col("date"), "pages": _listed(F.col("pages")), "header": F.col("header")}
     found = {"date": F.col("entry_date"), "pages": F.coalesce(F.col("match_page").cast("string"), F.lit(fixed.NO_VALUE)), "header": F.col("entry_header")}
     y, t = (mine, found) if yours else (found, mine)
@@ -77,13 +82,15 @@ def discrepancies(same: DataFrame, yours_only: DataFrame, theirs_only: DataFrame
 
     Entries that only one side has are matched by content; where yours points
     at a page of an entry of theirs, both become one row with differing dates.
+    Where several entries hold a page the first counts, by ``ordinal`` if the
+    entries have it, else by pages, date and header.
     """
     prints = fingerprints(mapping, texts)
     yours = _one_sided(yours_only, theirs_only, same, prints, "yours")
     theirs = _one_sided(theirs_only, yours_only, same, prints, "theirs")
     page = theirs.select(F.col("entry_id").alias("their_id"), F.col("date").alias("found_date"), F.col("header").alias("found_header"), _listed(F.col("pages")).alias("found_pages"), F.explode(F.array_distinct("pages")).alias("match_page"))
     pairs = yours.join(page, "match_page")
-    mismatch = pairs.select(F.lit("DATE MISMATCH").alias("status"), "your_date", F.col("found_date").alias("their_date"), "your_pages", F.col("found_pages").alias("their_match_pages"), "match_confidence", "your_header", F.col("found_header").alias("their_header"), F.lit("DATE DISCREPANCY").alias("action"), "sort")
+    mismatch = pairs.select(F.lit("DATE MISMATCH").alias("status"), "your_date", F.col("found_date").alias("their_date"), "your_pages", F.col("found_pages").alias("their_match_pages"), "match_confidence", "your_header", F.col("found_header").alias("their_header"), F.lit(fixed.MISMATCH_ACTION).alias("action"), "sort")
     rest_yours = yours.join(pairs.select("entry_id").distinct(), "entry_id", "left_anti")
     rest_theirs = theirs.join(pairs.select(F.col("their_id").alias("entry_id")).distinct(), "entry_id", "left_anti")
     equal = same.select(

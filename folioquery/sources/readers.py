@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioquery import fixed
+
 RECONCILIATION = (
     "yours_only array<struct<date:string,pages:array<int>,header:string>>, theirs_only array<struct<date:string,pages:array<int>,header:string>>, "
     "same_dates array<struct<date:string,your_pages:array<int>,their_pages:array<int>,your_header:string,their_header:string>>"
@@ -59,3 +61,9 @@ def processed_documents(projects: DataFrame) -> DataFrame:
     """Files of documents whose status is processed, in any case."""
     d = projects.select(F.col("id").alias("project_id"), F.explode("documents").alias("d"))
     return d.filter(F.lower("d.status") == "processed").select("project_id", F.col("d.id").alias("document_id"), "d.file.*")
+
+
+def index_texts(pages: DataFrame, most: int = fixed.INDEX_PDF_PAGES) -> DataFrame:
+    """doc_id and text of indexes whose pages are at hand as (doc_id, page, text): the first pages, line after line."""
+    first = pages.filter(F.col("page") <= most).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p"))
+    return first.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))

@@ -1,4 +1,4 @@
-"""Writers of reports. CSV and JSON reports are small and ordered, hence one file each."""
+"""Writers of reports. Ordered reports keep their order over the files; JSON documents are for bounded results."""
 
 from __future__ import annotations
 
@@ -7,22 +7,45 @@ from pyspark.sql import functions as F
 
 from folioquery import fixed
 
+#: Rows that one JSON document may hold.
+MOST_ROWS = 100_000
 
-def write_csv(report: DataFrame, path: str) -> None:
-    """One CSV file with a header, rows in the report's order."""
-    report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
+def write_csv(report: DataFrame, path: str, files: int | None = None) -> None:
+    """CSV with a header. An ordered report is written in ranges, file after file in its order; ``files=1`` makes it one file."""
+    (report.coalesce(files) if files else report).write.mode("overwrite").option("header", True).csv(path)
 
-def write_json(rows: DataFrame, path: str) -> None:
-    rows.coalesce(1).write.mode("overwrite").json(path)
 
+def write_json(rows: DataFrame, path: str, files: int | None = None) -> None:
+    (rows.coalesce(files) if files else rows).write.mode("overwrite").json(path)
 
-def one_json(rows: DataFrame) -> str:
-    """A bounded result (a scorecard, a summary) as pretty JSON text."""
-    packed = rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns)), {"pretty": "true"}).alias("j"))
+
+def _bounded(rows: DataFrame, most: int) -> DataFrame:
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows for one JSON document; write_json takes any number")
+    return rows
+
+
+def one_json(rows: DataFrame, most: int = MOST_ROWS) -> str:
+    """A bounded result (a scorecard, a summary) as pretty JSON text; an error beyond ``most`` rows."""
+    packed = _bounded(rows, most).agg(F.to_json(F.collect_list(F.struct(*rows.columns)), {"pretty": "true"}).alias("j"))
     return packed.first()["j"]
 
 
+def write_reconciliation(same: DataFrame, yours_only: DataFrame, theirs_only: DataFrame, path: str, most: int = MOST_ROWS) -> None:
+    """The document of three lists that ``readers.reconciliation`` reads; an error beyond ``most`` entries of a list."""
+    entry = ("date", "pages", "header")
+    lists = {"yours_only": (yours_only, entry), "theirs_only": (theirs_only, entry), "same_dates": (same, ("date", "your_pages", "their_pages", "your_header", "their_header"))}
+    out = None
+    for name, (rows, columns) in lists.items():
+        order = ["ordinal"] if "ordinal" in rows.columns else []
+        entry_of = F.struct(*columns).alias("e")
+        packed = F.sort_array(F.collect_list(F.struct(*order, entry_of)))
+        part = _bounded(rows, most).agg(F.transform(packed, lambda x: x["e"]).alias(name))
+        out = part if out is None else out.crossJoin(part)  # one row each
+    out.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def page_map_json(mapping: DataFrame) -> DataFrame:
     """doc_id and its logical to physical pages as a JSON object."""
     entry = F.array_sort(F.collect_list(F.struct("logical", "physical")))
@@ -49,4 +72,4 @@ def header_report(matched: DataFrame, yours: DataFrame, theirs: DataFrame) -> Da
 def write_qa(findings: DataFrame, path: str) -> None:
     from folioquery.operators.review_checks import qa_rows
 
-    write_csv(qa_rows(findings).select(*fixed.QA_COLUMNS), path)
+    write_csv(qa_rows(findings).select(*fixed.QA_COLUMNS), path, files=1)
