@@ -24,8 +24,8 @@ bound are formed:
 
 Defined results: a document without words (or a null text) has size 0 and its
 own id as component; shorter than ``n`` words, its whole sequence is its one
-n-gram; rows with equal ids count as links of one node; a null id takes the
-least id of its component, or null; an empty table gives no rows; further
+n-gram; rows with equal ids are separate documents; a null id takes the least id
+of its component, or null; an empty table gives no rows; further
 columns are not read. Sets are compared by 64-bit n-gram hashes.
 """
 

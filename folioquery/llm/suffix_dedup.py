@@ -14,10 +14,11 @@ repeat can cross:
    context of an anchor that stands in several contexts.
 3. Holders send the bytes of these contexts, by bucket of the anchor.
 4. Each bucket keeps the index family: new contexts come in batches, a batch
-   gets its suffix array (its windows' starts in order of the bytes that
-   follow), is scanned against every level for matches of ``length`` bytes and
-   then becomes a level itself, merging with levels of its size, so that sizes
-   grow geometrically. The windows found to repeat go back to their holder.
+   gets its suffix array by prefix doubling, is merge-scanned against every
+   level, with common prefixes that grow as both orders are read, for matches of
+   ``length`` bytes, and then becomes a level itself, merging with levels of its
+   size, so that sizes grow geometrically. The windows found to repeat go back
+   to their holder.
 5. Batches mark the windows of both lists and cut the covered bytes.
 
 What a bucket holds are distinct contexts only: a passage that a third of the
@@ -217,11 +218,70 @@ def send_bodies(length: int, bits: int):
     return run
 
 
+def heads(text: np.ndarray, at: np.ndarray, size: int = 8) -> np.ndarray:
+    """The ``size`` (8 at most) bytes at each place as one integer that orders like them."""
+    raw = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 8)[at])
+    return raw.view(">u8").ravel().astype(U64) >> U64(8 * (8 - size))
+
+
+def suffix_array(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes that begin at ``starts`` by their first ``length`` bytes, and their ranks, by prefix doubling.
+
+    All suffixes of the text are ranked by 8 bytes, then 16, 32 and so on; ranks
+    by ``length`` bytes are those of two overlapping halves. A text ends with 8
+    zero bytes that belong to no window.
+    """
+    n = len(text) - 8
+    rank = np.unique(heads(text, np.arange(n)), return_inverse=True)[1]
+    have = 8
+    while have < length:
+        step = min(have, length - have)
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - step)] = rank[step:] + 1
+        rank = np.unique(rank * np.int64(n + 2) + after, return_inverse=True)[1]
+        have += step
+    mine = rank[starts]
+    order = np.argsort(mine, kind="stable")
+    return order, mine[order]
+
+
 class Level:
     """A text and the starts of its distinct windows in order of their bytes."""
 
     def __init__(self, text: np.ndarray, order: np.ndarray, owner: np.ndarray):
         self.text, self.order, self.owner = text, order, owner  # owner: number of each window, for marking
+        self.head = heads(text, order)
+
+    def some(self, mask: np.ndarray) -> Level:
+        return Level(self.text, self.order[mask], self.owner[mask])
+
+
+def merge_scan(older: Level, newer: Level, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merged order of two levels' windows (numbered on from older to newer), and the pairs that are equal.
+
+    Windows of both sides stand in groups of one common prefix. A round reads the
+    next 8 bytes, which the common prefix grows by, and merges each group's two
+    runs; groups left with one side are in order already and go no further.
+    """
+    n = len(older.order)
+    order, side = np.arange(n + len(newer.order)), np.repeat([0, 1], [n, len(newer.order)])
+    group, open_, prefix = np.zeros(len(order), np.int64), np.arange(len(order)), 0
+    while prefix < length and len(open_):
+        at, of = order[open_], min(8, length - prefix)
+        key, mine = np.empty(len(at), U64), at < n
+        key[mine] = heads(older.text, older.order[at[mine]] + prefix, of)
+        key[~mine] = heads(newer.text, newer.order[at[~mine] - n] + prefix, of)
+        merged = np.lexsort((key, group[open_]))
+        at, key = at[merged], key[merged]
+        order[open_] = at
+        first = np.flatnonzero(np.concatenate(([True], (group[open_][1:] != group[open_][:-1]) | (key[1:] != key[:-1]))))
+        size = np.diff(np.append(first, len(at)))
+        group[open_] = np.repeat(open_[first], size)
+        both = np.minimum.reduceat(side[at], first) != np.maximum.reduceat(side[at], first)
+        open_ = open_[np.repeat(both, size)]
+        prefix += of
+    # windows are distinct within a level, so what is still together are pairs
+    return order, order[open_].reshape(-1, 2) - [0, n]
 
 
 class Family:
@@ -234,58 +294,38 @@ class Family:
     def __init__(self, length: int):
         self.length, self.levels, self.repeats = length, [], np.zeros(0, bool)
 
-    def _rows(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, self.length)[starts])
-
-    def _places(self, level: Level, rows: np.ndarray) -> np.ndarray:
-        """Where each window would stand in the level's order, by binary search on bytes."""
-        want = rows.view(f"S{self.length}").ravel()
-        low, high = np.zeros(len(rows), np.int64), np.full(len(rows), len(level.order))
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                return low
-            mid = (low[open_] + high[open_]) // 2
-            have = self._rows(level.text, level.order[mid])
-            differ = have != rows[open_]
-            at = differ.argmax(1)
-            line = np.arange(len(open_))
-            less = differ[line, at] & (have[line, at] < rows[open_][line, at])
-            low[open_[less]] = mid[less] + 1
-            high[open_[~less]] = mid[~less]
-
     def add(self, text: np.ndarray, starts: np.ndarray) -> None:
         number = len(self.repeats) + np.arange(len(starts))
         self.repeats = np.append(self.repeats, np.zeros(len(starts), bool))
-        rows = self._rows(text, starts)
-        order = np.argsort(rows.view(f"S{self.length}").ravel(), kind="stable")
-        rows, starts, number = rows[order], starts[order], number[order]
-        same = (rows[1:] == rows[:-1]).all(1)
-        self.repeats[number[1:][same]] = True
-        self.repeats[number[:-1][same]] = True
-        new = np.concatenate(([True], ~same))
-        rows, starts, number = rows[new], starts[new], number[new]
+        text = np.concatenate([text, np.zeros(8, np.uint8)])
+        order, rank = suffix_array(text, starts, self.length)
+        same = rank[1:] == rank[:-1]
+        self.repeats[number[order[1:][same]]] = True
+        self.repeats[number[order[:-1][same]]] = True
+        order = order[np.concatenate(([True], ~same))]
+        new = Level(text, starts[order], number[order])
         for level in self.levels:
-            at = self._places(level, rows)
-            inside = np.flatnonzero(at < len(level.order))
-            hit = inside[(self._rows(level.text, level.order[at[inside]]) == rows[inside]).all(1)]
-            self.repeats[number[hit]] = True
-            self.repeats[level.owner[at[hit]]] = True
-            new = np.ones(len(rows), bool)
-            new[hit] = False  # the level's own entry stands for later copies
-            rows, starts, number = rows[new], starts[new], number[new]
-        self.levels.append(Level(text, starts, number))
+            if not len(new.order):
+                return
+            # of a level only windows that begin like one of the new ones are read
+            near = np.minimum(np.searchsorted(new.head, level.head), len(new.head) - 1)
+            part = level.some(new.head[near] == level.head)
+            _, pairs = merge_scan(part, new, self.length)
+            self.repeats[part.owner[pairs[:, 0]]] = True
+            self.repeats[new.owner[pairs[:, 1]]] = True
+            left = np.ones(len(new.order), bool)
+            left[pairs[:, 1]] = False  # the level's own entry stands for later copies
+            new = new.some(left)
+        if len(new.order):
+            self.levels.append(new)
         while len(self.levels) > 1 and len(self.levels[-2].order) <= 2 * len(self.levels[-1].order):
             newer, older = self.levels.pop(), self.levels.pop()
             self.levels.append(self._merge(older, newer))
 
     def _merge(self, older: Level, newer: Level) -> Level:
-        shift = len(older.text)
-        order, owner = [], []
-        at = np.concatenate([self._places(older, self._rows(newer.text, newer.order[s : s + ADD])) for s in range(0, len(newer.order), ADD)] or [np.zeros(0, np.int64)])
-        order = np.insert(older.order, at, newer.order + shift)
-        owner = np.insert(older.owner, at, newer.owner)
-        return Level(np.concatenate([older.text, newer.text]), order, owner)
+        order, _ = merge_scan(older, newer, self.length)
+        start = np.concatenate([older.order, newer.order + len(older.text)])
+        return Level(np.concatenate([older.text, newer.text]), start[order], np.concatenate([older.owner, newer.owner])[order])
 
 
 def index_bucket(length: int):

@@ -119,3 +119,33 @@ def test_queries_equal_sql(spark, name):
     df, rel = registry.QUERIES[name](spark, SF), con.sql(registry.ORACLES[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert sorted(map(tuple, df.select(*sorted(df.columns)).collect())) == sorted(con.sql(f"SELECT {', '.join(sorted(rel.columns))} FROM ({registry.ORACLES[name]})").fetchall())
+
+
+@pytest.mark.parametrize("length", [8, 13, 20, 50])
+def test_index_family(length):
+    """Windows of small batches against plain counting; levels merge many times."""
+    from collections import Counter
+
+    from folioquery.llm.suffix_dedup import Family, suffix_array
+
+    r = np.random.RandomState(length)
+    pieces = [bytes(r.randint(97, 99, 60).tolist()) for _ in range(6)]
+    family, every = Family(length), []
+    for _ in range(40):
+        texts = [bytes(r.randint(97, 99, r.randint(0, 30)).tolist()) + pieces[r.randint(6)][r.randint(20) :] + bytes([r.randint(256)] * 3) for _ in range(r.randint(1, 5))]
+        texts = [t + b"\0" * max(0, length - len(t)) for t in texts]
+        text = np.frombuffer(b"".join(texts), np.uint8)
+        at = np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1]))
+        starts = np.concatenate([s + np.arange(len(t) - length + 1) for s, t in zip(at, texts)])
+        order, _ = suffix_array(np.concatenate([text, np.zeros(8, np.uint8)]), starts, length)
+        windows = [text[s : s + length].tobytes() for s in starts]
+        assert [windows[i] for i in order] == sorted(windows)
+        family.add(text, starts)
+        every += windows
+    count = Counter(every)
+    assert family.repeats.tolist() == [count[w] > 1 for w in every]
+    sizes = [len(level.order) for level in family.levels]
+    assert sum(sizes) == len(count) and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+    for level in family.levels:
+        held = [level.text[s : s + length].tobytes() for s in level.order]
+        assert held == sorted(held)
