@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioquery.llm._spark import cut
+from folioquery.llm._spark import cut, spread_join
 
 
 def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
@@ -14,15 +14,16 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
     A round takes the least label among neighbours and then the label's label,
     so a component of diameter d needs about log d rounds. Every round is cut
     through the shared checkpoint folder; nothing but a flag reaches the driver.
+    Rows of a hub or of a large component are spread over salts in both joins.
     """
     one = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u is not null and v is not null")
     both = cut(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).withColumn("root", F.least("node", "root")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("least"))
+        near = spread_join(both, labels.select(F.col("node").alias("v"), "root"), "v", "u").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("least"))
         step = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "least").alias("root"))
         up = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        step = cut(step.join(up, "root").select("node", "was", F.least("root", "far").alias("root")))
+        step = cut(spread_join(step, up, "root", "node").select("node", "was", F.least("root", "far").alias("root")))
         labels = step.select("node", "root")
         if step.filter("was <> root").isEmpty():
             return labels

@@ -12,20 +12,28 @@ bound are formed:
    column among the first ``size - ceil(threshold * size) + 1`` of either; a
    class whose first columns nobody else has is finished here.
 3. Columns with up to ``SMALL`` classes yield all their pairs, larger ones the
-   pairs with their most central class only. Pairs outside the size bound go;
-   for the rest overlaps accumulate over column blocks, and a pair is dropped
-   as soon as what is left cannot lift it to the bound.
+   pairs with their most central class only. Pairs outside the size bound go.
+   The rest are entries of the product that are formed block by block: a block
+   of rows meets each class that one of them is paired with once.
 4. Components of these links are formed. A large column all of whose classes
    are in one component needs no more. The others' classes form families, cut
    into blocks; every block of classes outside the family's largest component
    is multiplied with every block of the family, and only links are returned,
    one for a class and component. So a group of near copies is never expanded
-   into pairs, no link is lost, and a task holds two blocks.
-
-Defined results: a document without words (or a null text) has size 0 and its
-own id as component; shorter than ``n`` words, its whole sequence is its one
-n-gram; rows with equal ids are separate documents; a null id takes the least id
-of its component, or null; an empty table gives no rows; further
+   into pairs, no component is lost, and a task holds two blocks.
+5. Links lie within components. The blocks of each component are multiplied
+   with one another, and a block returns for each class the number of documents
+   it links to, never the pairs. This step is quadratic in the different texts
+   of one component, as their links are; copies of a text count once.
+
+Blocks are cut by weight (n-grams and a constant a row), so that long texts make
+smaller ones. Columns, hubs and components that hold many classes are joined in
+salted parts, by a hash of the class.
+
+Defined results: a document without words (or a null text) has size 0, no links
+and its own id as component; shorter than ``n`` words, its whole sequence is its
+one n-gram; rows with equal ids are separate documents; a null id takes the least
+id of its component, or null; an empty table gives no rows; further
 columns are not read. Sets are compared by 64-bit n-gram hashes.
 """
 
@@ -33,17 +41,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioquery.llm._arrays import SPACED, U64, each_slice, mix, planes, prefix_hash, rolling, run_hash, unplanes, utf8
-from folioquery.llm._spark import batched, bucket_bits, cut
+from folioquery.llm._spark import batched, bucket_bits, cut, parts, spread_join
 from folioquery.llm.components import components
 
 SMALL = 8
 GRAM_BITS = 24
-BLOCK = 512
-COLUMN_BLOCKS = 4
+ROW_WEIGHT = 8192
+BLOCK_WEIGHT = 512 * ROW_WEIGHT
 
 
 def _sets(words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,65 +188,70 @@ def find_classes(n: int, threshold: int, bits: int):
     return run
 
 
-def overlap_reaches(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
-    """Whether 100 * |x & y| >= threshold * |x | y|, over column blocks, with a stop when it is out of reach."""
-    nx, ny = len(x), len(y)
-    if 100 * min(nx, ny) < threshold * max(nx, ny):
-        return False
-    need = -(-threshold * (nx + ny) // (100 + threshold))
-    edges = np.arange(1, COLUMN_BLOCKS, dtype=U64) * U64((1 << 64) // COLUMN_BLOCKS)
-    at_x = np.concatenate(([0], np.searchsorted(x, edges), [nx]))
-    at_y = np.concatenate(([0], np.searchsorted(y, edges), [ny]))
-    have = 0
-    for i in range(COLUMN_BLOCKS):
-        u, w = x[at_x[i] : at_x[i + 1]], y[at_y[i] : at_y[i + 1]]
-        if len(u) and len(w):
-            place = np.minimum(np.searchsorted(w, u), len(w) - 1)
-            have += int((w[place] == u).sum())
-        if have + min(nx - at_x[i + 1], ny - at_y[i + 1]) < need:
-            return False
-    return have >= need
-
-
-def _verify(threshold: int):
-    def run(batches):
-        for batch in batches:
-            xs, ys = batch.column("x_body").to_pylist(), batch.column("y_body").to_pylist()
-            good = np.array([overlap_reaches(np.frombuffer(x, U64), np.frombuffer(y, U64), threshold) for x, y in zip(xs, ys)], bool)
-            yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(good)), batch.column("y").filter(pa.array(good))], names=["x", "y"])
+LINKS = pa.schema([("x", pa.binary()), ("y", pa.binary())])
+COUNTED = pa.schema([("name", pa.binary()), ("links", pa.int64())])
 
-    return run
 
+def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]):
+    """Each row of the product of two blocks of n-gram sets: its overlap with every column."""
+    gram = np.concatenate(cols)
+    doc = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
+    order = np.argsort(gram, kind="stable")
+    gram, doc = gram[order], doc[order]
+    for x in rows:
+        low, high = np.searchsorted(gram, x, "left"), np.searchsorted(gram, x, "right")
+        many = high - low
+        place = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+        yield np.bincount(doc[place], minlength=len(cols))
 
-LINKS = pa.schema([("x", pa.binary()), ("y", pa.binary())])
+
+def bound(x, y, threshold: int):
+    """The least overlap with which sets of these sizes link."""
+    return -(-threshold * (x + y) // (100 + threshold))
+
+
+def _sets_of(block: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, U64) for x in block["body"].to_pylist()]
+
+
+def _paired(threshold: int):
+    """Links among a block's pairs; its columns are the classes that its rows are paired with."""
+
+    def run(pairs: pa.Table, block: pa.Table) -> pa.Table:
+        side, names, sets = block["side"].to_pylist(), block["name"].to_pylist(), _sets_of(block)
+        row = [i for i, s in enumerate(side) if s == 0]
+        col = [i for i, s in enumerate(side) if s == 1]
+        if not row or not col:
+            return LINKS.empty_table()
+        place = {names[i]: k for k, i in enumerate(col)}
+        size = np.array([len(sets[i]) for i in col])
+        wanted: dict[bytes, list[int]] = {}
+        for x, y in zip(pairs["x"].to_pylist(), pairs["y"].to_pylist()):
+            wanted.setdefault(x, []).append(place[y])
+        out = []
+        for i, have in zip(row, overlaps([sets[i] for i in row], [sets[i] for i in col])):
+            ask = np.array(wanted[names[i]])
+            good = ask[have[ask] >= bound(len(sets[i]), size[ask], threshold)]
+            out += [(names[i], names[col[k]]) for k in good]
+        return _table(LINKS, out)
+
+    return run
 
 
-def _product(threshold: int):
+def _between(threshold: int):
     """Links between a block of rows and a block of columns of one family, one for a row and component."""
 
     def run(block: pa.Table) -> pa.Table:
-        side = block["side"].to_pylist()
-        names, roots = block["name"].to_pylist(), block["root"].to_pylist()
-        bodies = [np.frombuffer(x, U64) for x in block["body"].to_pylist()]
+        side, names, roots, sets = block["side"].to_pylist(), block["name"].to_pylist(), block["root"].to_pylist(), _sets_of(block)
         rows, cols = [i for i, s in enumerate(side) if s == 0], [i for i, s in enumerate(side) if s == 1]
         if not rows or not cols:
             return LINKS.empty_table()
-        gram = np.concatenate([bodies[i] for i in cols])
-        doc = np.repeat(np.arange(len(cols)), [len(bodies[i]) for i in cols])
-        order = np.argsort(gram, kind="stable")
-        gram, doc = gram[order], doc[order]
-        size = np.array([len(bodies[i]) for i in cols])
+        size = np.array([len(sets[i]) for i in cols])
         number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
         root = np.array([number[roots[i]] for i in cols])
         out = []
-        for i in rows:
-            x = bodies[i]
-            low, high = np.searchsorted(gram, x, "left"), np.searchsorted(gram, x, "right")
-            many = high - low
-            place = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-            overlap = np.bincount(doc[place], minlength=len(cols))
-            good = (100 * overlap >= threshold * (len(x) + size - overlap)) & (root != number[roots[i]])
-            hit = np.flatnonzero(good)
+        for i, have in zip(rows, overlaps([sets[i] for i in rows], [sets[i] for i in cols])):
+            hit = np.flatnonzero((have >= bound(len(sets[i]), size, threshold)) & (root != number[roots[i]]))
             _, at = np.unique(root[hit], return_index=True)
             out += [(names[i], names[cols[j]]) for j in hit[at]]
         return _table(LINKS, out)
@@ -246,33 +259,84 @@ def _product(threshold: int):
     return run
 
 
-def _attach(pairs: DataFrame, bodies: DataFrame, threshold: int) -> DataFrame:
-    rows = pairs.join(bodies.select(F.col("name").alias("x"), F.col("body").alias("x_body")), "x").join(bodies.select(F.col("name").alias("y"), F.col("body").alias("y_body")), "y")
-    return rows.mapInArrow(_verify(threshold), "x binary, y binary")
+def _within(threshold: int):
+    """For the classes of one or two blocks of a component: how many documents of the other classes they link to."""
+
+    def run(block: pa.Table) -> pa.Table:
+        names, at, docs, sets = block["name"].to_pylist(), block["at"].to_numpy(), block["docs"].to_numpy(), _sets_of(block)
+        one = block["i"][0].as_py() == block["j"][0].as_py()
+        rows = np.flatnonzero(at == block["i"][0].as_py())
+        cols = rows if one else np.flatnonzero(at == block["j"][0].as_py())
+        if not len(rows) or not len(cols):
+            return COUNTED.empty_table()
+        size = np.array([len(sets[j]) for j in cols])
+        links = np.zeros(len(names), np.int64)
+        for i, have in zip(rows, overlaps([sets[i] for i in rows], [sets[j] for j in cols])):
+            good = cols[have >= bound(len(sets[i]), size, threshold)]
+            good = good[good != i]
+            links[i] += docs[good].sum()
+            if not one:
+                links[good] += docs[i]
+        return pa.Table.from_arrays([block["name"], pa.array(links)], schema=COUNTED)
+
+    return run
+
+
+def _blocks(weight: Column) -> Column:
+    """The number of blocks that hold a weight."""
+    return F.ceil(weight / F.lit(BLOCK_WEIGHT)).cast("int")
+
+
+def _links_of_pairs(pairs: DataFrame, bodies: DataFrame, threshold: int) -> DataFrame:
+    """The pairs x, y that link; rows are dealt to blocks by x, so that a y of many pairs is sent once a block."""
+    n = 2 * parts(pairs.sparkSession)
+    block = F.pmod(F.xxhash64("x"), F.lit(n)).alias("block")
+    pairs = cut(pairs.select("x", "y", block).distinct())
+    rows = pairs.select("block", F.col("x").alias("name"), F.lit(0).alias("side")).distinct().join(bodies, "name")
+    cols = pairs.select("block", F.col("y").alias("name"), F.lit(1).alias("side")).distinct().join(bodies, "name")
+    columns = ["block", "side", "name", "body"]
+    sets = rows.select(*columns).unionByName(cols.select(*columns))
+    return pairs.select(F.col("block").alias("b"), "x", "y").groupBy("b").cogroup(sets.groupBy("block")).applyInArrow(_paired(threshold), "x binary, y binary")
 
 
 def _families(posts: DataFrame, roots: DataFrame, bodies: DataFrame, threshold: int) -> DataFrame | None:
     """Links between components that share a large column."""
     own = posts.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     open_ = own.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("name").alias("head")).filter("lo <> hi").select("gram", "head")
-    members = cut(own.join(open_, "gram").select("name", "root", "head").distinct())
+    members = cut(spread_join(own, open_, "gram", "name").select("name", "root", "head", "size").distinct())
     if members.isEmpty():
         return None
     family = components(members.select(F.col("name").alias("u"), F.col("head").alias("v")))
-    members = members.select("name", "root").distinct().join(family.select(F.col("node").alias("name"), F.col("root").alias("family")), "name")
-    part = members.groupBy("family", "root").agg(F.count("*").alias("n"))
-    whole = part.groupBy("family").agg(F.sum("n").alias("n_family"), F.max(F.struct("n", "root")).alias("m"))
-    parts = members.join(whole.select("family", F.col("m.root").alias("main"), F.ceil(F.col("n_family") / BLOCK).cast("int").alias("k"), F.ceil((F.col("n_family") - F.col("m.n")) / BLOCK).cast("int").alias("r")), "family")
+    members = members.select("name", "root", (F.col("size") + ROW_WEIGHT).alias("w")).distinct().join(family.select(F.col("node").alias("name"), F.col("root").alias("family")), "name")
+    part = members.groupBy("family", "root").agg(F.sum("w").alias("w"))
+    whole = part.groupBy("family").agg(F.sum("w").alias("w"), F.max(F.struct("w", "root")).alias("m"))
+    cuts = whole.select("family", F.col("m.root").alias("main"), _blocks(F.col("w")).alias("k"), _blocks(F.col("w") - F.col("m.w")).alias("r"))
+    placed = spread_join(members, cuts, "family", "name")
     spread = F.xxhash64("name")
-    minor = parts.filter("root <> main").withColumn("i", F.pmod(spread, "r")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("side", F.lit(0))
-    every = parts.withColumn("j", F.pmod(spread, "k")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).withColumn("side", F.lit(1))
+    minor = placed.filter("root <> main").withColumn("i", F.pmod(spread, "r")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("side", F.lit(0))
+    every = placed.withColumn("j", F.pmod(spread, "k")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).withColumn("side", F.lit(1))
     columns = ["family", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "side", "name", "root"]
     blocks = minor.select(*columns).unionByName(every.select(*columns)).join(bodies, "name")
-    return blocks.groupBy("family", "i", "j").applyInArrow(_product(threshold), "x binary, y binary")
+    return blocks.groupBy("family", "i", "j").applyInArrow(_between(threshold), "x binary, y binary")
+
+
+def _link_counts(classes: DataFrame, bodies: DataFrame, threshold: int) -> DataFrame:
+    """name and links of the classes (name, root, size, docs) of components of several classes."""
+    weights = classes.groupBy("root").agg(F.sum(F.col("size") + ROW_WEIGHT).alias("w"), F.count("*").alias("n"))
+    cuts = weights.filter("n > 1").select("root", _blocks(F.col("w")).alias("k"))
+    placed = spread_join(classes, cuts, "root", "name").withColumn("at", F.pmod(F.xxhash64("name"), "k").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    blocks = placed.select("root", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "name", "docs").join(bodies, "name")
+    counted = blocks.groupBy("root", "i", "j").applyInArrow(_within(threshold), "name binary, links long")
+    return counted.groupBy("name").agg(F.sum("links").alias("links"))
+
 
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, class (the set's name), component_id and n_links of every row; ``threshold`` in hundredths.
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class (the set's name) and component_id of every row; ``threshold`` in hundredths."""
+    ``n_links`` counts the other documents that a row links to, copies of its text included. Without
+    ``links`` the column is left out and with it step 5; classes and components are the same.
+    """
     bits = bucket_bits(docs.sparkSession)
     rows = batched(docs, "doc_id", "text")
     counts = rows.groupBy("b").applyInArrow(send_counts(n, bits), "bucket int, b int, gram binary, n binary")
@@ -280,25 +344,31 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80) -> Data
     found = cut(rows.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(find_classes(n, threshold, bits), "doc_id long, size long, name binary, central double, first array<long>, body binary"))
     member = found.filter("first is null").select("doc_id", "size", "name")
     open_ = found.filter("first is not null")
-    posts = open_.select("name", "size", "central", F.explode("first").alias("gram")).groupBy("gram", "name").agg(F.first("size").alias("size"), F.max("central").alias("central"))
+    # a class of several batches has the same size, rank and first columns in each
+    once = open_.groupBy("name").agg(F.first("size").alias("size"), F.first("central").alias("central"), F.first("first").alias("first"))
+    posts = once.select("name", "size", "central", F.explode("first").alias("gram"))
     per_gram = posts.groupBy("gram").agg(F.count("*").alias("n"), F.max(F.struct("central", "name", "size")).alias("lead")).filter("n > 1")
-    posts = cut(posts.join(per_gram, "gram").select("gram", "name", "size", "n", F.col("lead.name").alias("lead"), F.col("lead.size").alias("lead_size")))
+    posts = cut(spread_join(posts, per_gram, "gram", "name").select("gram", "name", "size", "n", F.col("lead.name").alias("lead"), F.col("lead.size").alias("lead_size")))
     fits = "100 * least(x_size, y_size) >= {t} * greatest(x_size, y_size)".format(t=threshold)
     star = posts.filter(F.col("n") > SMALL).select(F.col("name").alias("x"), F.col("lead").alias("y"), F.col("size").alias("x_size"), F.col("lead_size").alias("y_size")).filter("x <> y").filter(fits)
     few = posts.filter(F.col("n") <= SMALL).select("gram", "name", "size")
     twos = few.select("gram", F.col("name").alias("x"), F.col("size").alias("x_size")).join(few.select("gram", F.col("name").alias("y"), F.col("size").alias("y_size")), "gram").filter("x < y").filter(fits)
-    pairs = star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).unionByName(twos.select("x", "y")).distinct()
+    pairs = star.select("x", "y").unionByName(twos.select("x", "y"))
     partners = posts.select("name").distinct()
     bodies = cut(open_.select("name", "body").join(partners, "name", "left_semi").groupBy("name").agg(F.first("body").alias("body")))
-    links = cut(_attach(pairs, bodies, threshold))
-    roots = components(links, "x", "y")
+    near = cut(_links_of_pairs(pairs, bodies, threshold))
+    roots = components(near, "x", "y")
     more = _families(posts.filter(F.col("n") > SMALL), roots, bodies, threshold)
     if more is not None:
-        links = links.unionByName(cut(more))
-        roots = components(links, "x", "y")
-    least = member.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("least_id"))
+        near = near.unionByName(cut(more))
+        roots = components(near, "x", "y")
+    least = member.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.count("*").alias("docs"))
     least = least.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     whole = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    label = least.join(whole, "root").select("name", "component_id")
-    out = member.join(label, "name", "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.col("name").alias("class"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    label = spread_join(least, whole, "root", "name")
+    if links:
+        label = label.join(_link_counts(least, bodies, threshold), "name", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("docs") - 1)
+    shown = ["component_id", "n_links"] if links else ["component_id"]
+    out = spread_join(member, label.select("name", *shown), "name", "doc_id", how="left")
+    columns = [F.col("size").alias("n_shingles"), F.col("name").alias("class"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    return out.select("doc_id", *columns, *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []))

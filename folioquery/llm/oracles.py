@@ -24,8 +24,9 @@ n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
 p AS (SELECT x.r AS x, y.r AS y, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.r < y.r GROUP BY 1, 2),
 l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
 e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
-c AS (SELECT r AS a, r AS b FROM d UNION SELECT c.a, e.y FROM c JOIN e ON c.b = e.x)
-SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id FROM d LEFT JOIN n USING (r) JOIN c ON c.a = d.r JOIN d o ON o.r = c.b GROUP BY d.r, d.doc_id"""
+c AS (SELECT r AS a, r AS b FROM d UNION SELECT c.a, e.y FROM c JOIN e ON c.b = e.x),
+k AS (SELECT x, count(*) AS k FROM e GROUP BY x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id, coalesce(any_value(k.k), 0) AS n_links FROM d LEFT JOIN n USING (r) LEFT JOIN k ON k.x = d.r JOIN c ON c.a = d.r JOIN d o ON o.r = c.b GROUP BY d.r, d.doc_id"""
 
 OP6 = """WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -45,7 +45,8 @@ def shingles(text, n):
 
 
 def components(docs, n, threshold):
-    """docs: [(id, text)] -> [(size, least id reachable)]."""
+    """docs: [(id, text)] -> [(size, least id reachable, number of links)]."""
+    links = [0] * len(docs)
     sets = [shingles(t, n) for _, t in docs]
     root = list(range(len(docs)))
 
@@ -59,12 +60,14 @@ def components(docs, n, threshold):
             x, y = sets[i], sets[j]
             if x and y and 100 * len(x & y) >= threshold * len(x | y):
                 root[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, (d, _) in enumerate(docs):
         if d is not None:
             r = find(i)
             least[r] = min(least.get(r, d), d)
-    return [(len(s), least.get(find(i))) for i, s in enumerate(sets)]
+    return [(len(s), least.get(find(i)), links[i]) for i, s in enumerate(sets)]
 
 
 def hits(text, items, width):

@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pytest
 
+from folioquery.llm import ngram_join
 from folioquery.llm.components import components
-from folioquery.llm.ngram_join import ngram_jaccard_join, overlap_reaches
+from folioquery.llm.ngram_join import ngram_jaccard_join
 from folioquery.llm.substring_dedup import substring_dedup
 from folioquery.llm.suffix_dedup import Family, suffix_dedup
 from tests.llm import brute
@@ -75,17 +76,49 @@ def test_index_family_levels_grow_geometrically():
 @pytest.mark.parametrize("n, threshold", [(4, 85), (5, 80), (2, 60)])
 def test_ngram_join(spark, n, threshold):
     rows = corpus(7)
-    got = key((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard_join(frame(spark, rows), n, threshold).collect())
+    got = key((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard_join(frame(spark, rows), n, threshold).collect())
     assert got == key((i, *e) for (i, _), e in zip(rows, brute.components(rows, n, threshold)))
 
 
-def test_overlap_bound():
+def near_copies(seed=11):
+    """Groups of 7, 8, 9 and 60 near copies with copies among them, and texts that share a passage but do not link."""
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    text = lambda n: [r.choice(words) for _ in range(n)]
+    out, passage = [], text(30)
+    for size in (7, 8, 9, 60):
+        base = text(90)
+        for _ in range(size):
+            w = list(base)
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(len(w))] = r.choice(words)
+            out.append(" ".join(w))
+    out += [" ".join(passage + text(r.randint(3, 25))) for _ in range(40)] + out[:5] + out[30:40] + ["one two"] * 3
+    return list(enumerate(out, 1))
+
+
+@pytest.mark.parametrize("weight", [ngram_join.BLOCK_WEIGHT, 5 * ngram_join.ROW_WEIGHT])
+def test_groups_of_any_size(spark, monkeypatch, weight):
+    monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", weight)
+    rows = near_copies()
+    got = key((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard_join(frame(spark, rows), 4, 85).collect())
+    assert got == key((i, *e) for (i, _), e in zip(rows, brute.components(rows, 4, 85)))
+
+
+def test_without_links(spark):
+    rows = near_copies(12)
+    got = ngram_jaccard_join(frame(spark, rows), 5, 80, links=False)
+    assert got.columns == ["doc_id", "n_shingles", "class", "component_id"]
+    assert key((r.doc_id, r.component_id) for r in got.collect()) == key((i, e[1]) for (i, _), e in zip(rows, brute.components(rows, 5, 80)))
+
+
+def test_products_and_bounds():
     r = random.Random(3)
-    for _ in range(300):
-        x, y = ({r.getrandbits(64) for _ in range(r.randint(1, 40))} for _ in range(2))
-        y |= set(r.sample(sorted(x), r.randint(0, len(x))))
-        arrays = [np.array(sorted(s), np.uint64) for s in (x, y)]
-        assert overlap_reaches(*arrays, 85) == (100 * len(x & y) >= 85 * len(x | y))
+    sets = [{r.getrandbits(4) for _ in range(r.randint(1, 12))} for _ in range(60)]
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    for x, row in zip(sets, ngram_join.overlaps(arrays, arrays)):
+        assert row.tolist() == [len(x & y) for y in sets]
+        assert [have >= ngram_join.bound(len(x), len(y), 85) for have, y in zip(row, sets)] == [100 * len(x & y) >= 85 * len(x | y) for y in sets]
 
 
 def test_components(spark):
