@@ -27,8 +27,9 @@ bound are formed:
    of one component, as their links are; copies of a text count once.
 
 Blocks are cut by weight (n-grams and a constant a row), so that long texts make
-smaller ones. Columns, hubs and components that hold many classes are joined in
-salted parts, by a hash of the class.
+smaller ones. Columns, families and components that hold many classes are joined
+with their facts in salted parts, by a hash of the class; the rounds that find
+components leave a skewed join to adaptive execution.
 
 Defined results: a document without words (or a null text) has size 0, no links
 and its own id as component; shorter than ``n`` words, its whole sequence is its
@@ -365,10 +366,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80, links:
     least = member.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.count("*").alias("docs"))
     least = least.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     whole = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    label = spread_join(least, whole, "root", "name")
+    label = least.join(whole, "root")
     if links:
         label = label.join(_link_counts(least, bodies, threshold), "name", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("docs") - 1)
     shown = ["component_id", "n_links"] if links else ["component_id"]
-    out = spread_join(member, label.select("name", *shown), "name", "doc_id", how="left")
+    out = member.join(label.select("name", *shown), "name", "left")
     columns = [F.col("size").alias("n_shingles"), F.col("name").alias("class"), F.coalesce("component_id", "doc_id").alias("component_id")]
     return out.select("doc_id", *columns, *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []))
