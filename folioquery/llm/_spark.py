@@ -51,11 +51,11 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
-    """``many`` joined with the one row that ``one`` has for a key.
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``many`` joined (inner or left) with the one row that ``one`` has for a key.
 
     A key's rows are salted by the hash of ``by``, so that a key with a third of all rows
     is spread over the session's partitions; ``one`` is copied only to salts that a key has.
     """
     rows = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(parts(many.sparkSession))))
-    return rows.join(rows.select(key, "salt").distinct().join(one, key), [key, "salt"]).drop("salt")
+    return rows.join(rows.select(key, "salt").distinct().join(one, key), [key, "salt"], how).drop("salt")

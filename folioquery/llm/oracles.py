@@ -64,4 +64,47 @@ items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)"""
 
-ORACLES = {"op1_substring_dedup": OP1, "op5_ngram_jaccard_join": OP5, "op6_exact_topk": OP6, "op7_lm_scoring": OP7, "op9_benchmark_decontamination": OP9}
+OP11 = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_SPACED.format(t="coalesce(text, '')")} AS w FROM documents),
+m AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+g AS (SELECT doc_id, coalesce(max(CAST(quality = 1 AS INTEGER)), 0) AS good, coalesce(max(CAST(toxic = 1 AS INTEGER)), 0) AS toxic FROM labels GROUP BY doc_id),
+x AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+  100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > least, false)] AS f FROM d JOIN m USING (t) LEFT JOIN g ON g.doc_id = d.doc_id),
+c AS (SELECT part, f, len(list_filter(f, lambda b: b)) AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM x GROUP BY part, f),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || l FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS u(l) WHERE NOT contains(filter_order, l)),
+s AS (SELECT filter_order, step, strpos('ABCDE', filter_order[step]) AS i FROM o, range(1, 6) AS r(step) WHERE length(filter_order) = 5),
+k AS (SELECT part, filter_order, step, i, n, good, toxic, fails, f[i] AS here, len(list_filter(range(1, step), lambda j: f[strpos('ABCDE', filter_order[j])])) > 0 AS before FROM s, c),
+a AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, any_value(i) AS i,
+  CAST(sum(CASE WHEN here OR before THEN 0 ELSE n END) AS BIGINT) AS kept, CAST(sum(CASE WHEN here AND NOT before THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN here AND before THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN here AND fails = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN here AND NOT before THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN here AND NOT before THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM k GROUP BY part, filter_order, step)
+SELECT * EXCLUDE (i), CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) AS shapley FROM a"""
+
+OP12 = f"""WITH u AS (SELECT row_number() OVER () AS r, page_id, {_FOLD.format(t="regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host,
+  regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+k(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+f AS (SELECT r, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM u JOIN k ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN f USING (r)"""
+
+
+def _clusters(rounds: int) -> str:
+    """One step of assignment and one of centroids a round, then the last assignment."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (SELECT r, c, d FROM (SELECT r, c, d, row_number() OVER (PARTITION BY r ORDER BY d, c) AS n FROM
+  (SELECT r, c, list_inner_product(v.e, v.e) + list_inner_product(c{i}.e, c{i}.e) - 2 * list_inner_product(v.e, c{i}.e) AS d FROM v, c{i})) WHERE n = 1)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT c, i, sum(CAST(x AS BIGINT)) AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, unnest(range(len(e))) AS i FROM a{i} JOIN v USING (r)) GROUP BY c, i),
+m{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS e FROM s{i} GROUP BY c),
+c{i + 1} AS (SELECT c, coalesce(m{i}.e, c{i}.e) AS e FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return ",\n".join(steps)
+
+
+OP13 = f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY h, e) - 1 AS INTEGER) AS c, e FROM (SELECT sha256('1:' || vec_id) AS h, e FROM v WHERE vec_id IS NOT NULL ORDER BY h, e LIMIT 16)),
+{_clusters(3)}
+SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c3.e, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256 FROM v JOIN a3 USING (r) JOIN c3 USING (c)"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op5_ngram_jaccard_join": OP5, "op6_exact_topk": OP6, "op7_lm_scoring": OP7, "op9_benchmark_decontamination": OP9, "op11_filter_audit": OP11, "op12_url_filter": OP12, "op13_centroid_clustering": OP13}

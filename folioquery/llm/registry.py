@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioquery.llm.centroid_clustering import centroid_clusters
 from folioquery.llm.decontamination import decontaminate
 from folioquery.llm.exact_topk import exact_topk
+from folioquery.llm.filter_audit import filter_audit
 from folioquery.llm.html_extraction import extract_main_text
 from folioquery.llm.lm_scoring import lm_scores
 from folioquery.llm.ngram_join import ngram_jaccard_join
@@ -18,6 +20,7 @@ from folioquery.llm.quality_classifier import fit, held_out, quality_scores
 from folioquery.llm.source_mixing import mix_sources
 from folioquery.llm.substring_dedup import substring_dedup
 from folioquery.llm.suffix_dedup import suffix_dedup
+from folioquery.llm.url_filter import filter_urls, rule_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -101,3 +104,24 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").filter("quality = 1")
     out = lm_scores(table(spark, sf_dir, "documents"), good)
     return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")])
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Verdict, host and path of each rule.
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@query
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), rule_list(spark, RULES))
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroid_clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed="1")
+    listed = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", listed.alias("centroid_sha256"))

@@ -39,7 +39,7 @@ def test_stages(spark, tables):
 
     one = pipeline.near_duplicates(spark, docs, folder)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    expected = [i for (i, _), (_, c) in zip(rows, brute.components(rows, 5, 80)) if i is not None and i == c]
+    expected = [i for (i, _), (_, c, _) in zip(rows, brute.components(rows, 5, 80)) if i is not None and i == c]
     assert one.columns == columns
     assert sorted(r.doc_id for r in one.collect() if r.doc_id is not None) == sorted(expected)
     assert one.filter("doc_id is null").count() == 1
