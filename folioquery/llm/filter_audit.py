@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioquery.llm._spark import cut
+from folioquery.llm._spark import cut, spread_join
 
 FILTERS = "ABCDE"
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
@@ -57,16 +57,16 @@ def text_failures(text) -> F.Column:
 
 
 def failures(docs: DataFrame, part: str = "lang") -> DataFrame:
-    """doc_id, part and mask of every document; bit 4 marks copies of a smaller id's text.
+    """doc_id, part, mask and reading task of every document; bit 4 marks copies of a smaller id's text.
 
     Texts are read once and leave the scan as 32 bytes of digest. Least ids are taken
-    before the shuffle, and only texts under several ids are joined back.
+    before the shuffle, and only texts under several ids are joined back, salted by task.
     """
     text = F.coalesce(docs["text"], F.lit(""))
-    rows = cut(docs.select("doc_id", F.coalesce(docs[part].cast("string"), F.lit("")).alias("part"), text_failures(text).alias("mask"), F.unhex(F.sha2(text, 256)).alias("digest")))
+    rows = cut(docs.select("doc_id", F.coalesce(docs[part].cast("string"), F.lit("")).alias("part"), text_failures(text).alias("mask"), F.unhex(F.sha2(text, 256)).alias("digest"), F.spark_partition_id().alias("task")))
     shared = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
     copy = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).cast("int")
-    return rows.join(shared, "digest", "left").select("doc_id", "part", (F.col("mask") + copy * 16).alias("mask"))
+    return spread_join(rows, shared, "digest", "task", "left").select("doc_id", "part", (F.col("mask") + copy * 16).alias("mask"), "task")
 
 
 def _removals(seen: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
@@ -120,6 +120,6 @@ def filter_audit(docs: DataFrame, labels: DataFrame, part: str = "lang") -> Data
     shuffled is 600 sums a part and task.
     """
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    marked = failures(docs, part).join(marks, "doc_id", "left").select("part", "mask", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "toxic")])
+    marked = spread_join(failures(docs, part), marks, "doc_id", "task", "left").select("part", "mask", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "toxic")])
     sums = marked.mapInArrow(_audit, SUMS_DDL).groupBy("part", "filter_order", "step")
     return sums.agg(*[F.sum(c).alias(c) for c in COUNTS])
