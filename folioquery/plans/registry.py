@@ -328,7 +328,8 @@ def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_checks.by_check(review_checks.review(letters, extracts))
 
 
-from folioquery.plans import index_queries  # noqa: E402
+from folioquery.plans import index_queries, source_queries  # noqa: E402
 
-QUERIES |= index_queries.QUERIES
-ORACLES |= index_queries.ORACLES
+for _more in (index_queries, source_queries):
+    QUERIES |= _more.QUERIES
+    ORACLES |= _more.ORACLES

@@ -44,6 +44,32 @@ def test_executions_reach_the_scan(spark, tmp_path):
     assert runs.read_executions(spark, path).count() == 60
 
 
+def scanned(df) -> int:
+    """Rows that the scan of a plan handed on."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_where_skips_row_groups(spark, tmp_path):
+    n = 20_000
+    result = "case when id % 7 = 0 then '{broken' when id % 5 = 0 then '{}' else to_json(named_struct('kind', concat('k', id div 1000), 'deep', concat('v', hash(id)), 'n', id % 3, 'flag', id % 2 = 0)) end"
+    rows = spark.range(n).selectExpr("'r' as run_id", "cast(id as int) as iteration", "'SUCCEEDED' as status", "repeat(cast(hash(id) as string), 20) as output", f"{result} as result", "null as prompt", "'s' as step_name", "null as started", "null as finished")
+    rows = rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], readers.EXECUTIONS).schema])
+    path = str(tmp_path / "typed")
+    runs.write_executions(rows.coalesce(1), path, fields=["kind", "deep", "n", "flag"], row_group_bytes=64 << 10)
+    deep = rows.filter("iteration = 4444").selectExpr("concat('v', hash(cast(iteration as long)))").first()[0]
+    for filters in (["kind=k3"], [f"deep={deep}"], ["kind=k3", "n=1"], ["flag=true", "kind=k11"], ["kind="], ["kind"], ["n=1", "absent="], ["kind=k3", "kind=k4"]):
+        expected = sorted(r.iteration for r in run_inspection.where(rows, filters).collect())
+        got = runs.read_executions(spark, path, "r", "s", filters=filters)
+        assert set(got.columns) == set(rows.columns) and sorted(r.iteration for r in got.collect()) == expected, filters
+        if filters[0] in ("kind=k3", f"deep={deep}"):
+            assert expected and scanned(got) < n / 2 or filters[-1] == "kind=k4"
+    # bounds alone tell nothing of hashed texts: the bloom filter does
+    assert scanned(runs.read_executions(spark, path, filters=[f"deep={deep}"])) < n / 4
+
+
 def test_steps_and_letters(spark):
     steps = spark.createDataFrame([(0, "Extract info"), (1, "Summary")], "ordinal int, name string")
     with pytest.raises(LookupError, match="Extract info, Summary"):
