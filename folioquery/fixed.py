@@ -29,9 +29,12 @@ WRITTEN_CELL = r"(?i)^(" + "|".join(MONTHS) + r")\s+(\d{1,2}),\s+(\d{4})$"
 # Links.
 LINK_RANGE = r"^(\d+)\s*-\s*(\d+)$"
 # Prompts of letters.
-PROMPT_PAGE = r"- Page: (\d+)"
-PROMPT_PAGES = r"Pages in document: (\d+)"
-PROMPT_SUBCATEGORY = r"(?m)Sub-category:[ \t]*(.+)$"
+# A value may stand on a later line than its label; a line ends at \n only.
+PROMPT_PAGE = r"(?dmi)^-\s*Page:\s*(\d+)"
+PROMPT_PAGES = r"Pages in document:\s*(\d+)"
+PROMPT_SUBCATEGORY = r"(?d)Sub-category:\s*(.+)"
+PROMPT_LABEL = r"(?dm)^{label}:\s*([^\n]+)"
+PROMPT_DATES = ("Date", "Encounter Date", "Letter Date")
 HEADER_LINES = 5
 HEADER_LENGTH = 150
 LAST_PAGE = 500

@@ -78,8 +78,8 @@ def tagged_or_all(text: Column, tag: str) -> Column:
 
 
 def labelled(text: Column, *labels: str) -> Column:
-    """The rest of the first line that begins with one of the labels."""
-    return strip(found(text, rf"(?m)^\s*(?:{'|'.join(labels)}):[ \t]*(.+)$"))
+    """What follows the first of the labels that begins a line anywhere, stripped; earlier labels win over earlier lines."""
+    return F.coalesce(*[strip(found(text, fixed.PROMPT_LABEL.format(label=label))) for label in labels])
 
 
 def resource_id(text: Column, segment: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from folioquery import fixed
 from folioquery.functions.dates import month_number, section_date, us_date
 from folioquery.functions.pages import expand_pages
-from folioquery.functions.text import strip, truncate_header
+from folioquery.functions.text import found, labelled, strip, tagged, truncate_header
 
 
 def by_line():
@@ -137,20 +137,26 @@ def vendor_sections(texts: DataFrame) -> DataFrame:
     return out.withColumn("normalized_date", us_date(F.col("date_str")))
 
 
-def legacy_letters(executions: DataFrame) -> DataFrame:
-    """Letters from the prompts of summary steps: date, provider, subcategories and pages named in them, content from the output."""
-    from folioquery.functions.text import found, labelled, tagged_or_all
+def _prompts(executions: DataFrame, *columns: Column) -> DataFrame:
+    rows = executions.filter("status = 'SUCCEEDED'").withColumns({"prompt": F.coalesce("prompt", F.lit("")), "output": F.coalesce("output", F.lit(""))})
+    return rows.select(F.col("iteration").alias("index"), *columns)
+
+
+def _subcategories(prompt: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(prompt, F.lit(fixed.PROMPT_SUBCATEGORY), F.lit(1)), strip)).alias("subcategory")
 
-    prompt = F.coalesce("prompt", F.lit(""))
+
+def legacy_letters(executions: DataFrame) -> DataFrame:
+    """Letters for review from the prompts of summary steps: any of three dates, each page line as it stands, the whole output."""
+    prompt = F.col("prompt")
     pages = F.transform(F.regexp_extract_all(prompt, F.lit(fixed.PROMPT_PAGE), F.lit(1)), lambda p: p.try_cast("int"))
-    listed = F.coalesce(found(prompt, fixed.PROMPT_PAGES).try_cast("int"), F.lit(1))
-    return executions.filter("status = 'SUCCEEDED'").select(
-        F.col("iteration").alias("index"),
-        labelled(prompt, "Date", "Encounter Date", "Letter Date").alias("date"),
-        labelled(prompt, "Provider").alias("provider"),
-        F.array().cast("array<string>").alias("category"),
-        F.array_distinct(F.transform(F.regexp_extract_all(prompt, F.lit(fixed.PROMPT_SUBCATEGORY), F.lit(1)), strip)).alias("subcategory"),
-        listed.alias("page_count"),
-        F.array_distinct(pages).alias("pages"),
-        strip(tagged_or_all(F.coalesce("output", F.lit("")), "content")).alias("content"),
-    )
+    return _prompts(executions, labelled(prompt, *fixed.PROMPT_DATES).alias("date"), labelled(prompt, "Provider").alias("provider"), _subcategories(prompt), pages.alias("pages"), F.col("output").alias("content"))
+
+
+def legacy_scored_letters(executions: DataFrame) -> DataFrame:
+    """Letters for the scorer: Date only, the pages' number (1 if not given), and what the output marks as content, else all of it."""
+    prompt, output = F.col("prompt"), F.col("output")
+    return _prompts(
+        executions, labelled(prompt, "Date").alias("date"), labelled(prompt, "Provider").alias("provider"), F.array().cast("array<string>").alias("category"), _subcategories(prompt),
+        F.coalesce(found(prompt, fixed.PROMPT_PAGES).try_cast("int"), F.lit(1)).alias("page_count"), F.coalesce(tagged(output, "content"), output).alias("content"),
+    )

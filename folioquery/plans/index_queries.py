@@ -142,21 +142,39 @@ def page_map_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_map.build_page_map(rows).select("doc_id", F.col("logical").cast("int").alias("logical"), F.col("physical").cast("int").alias("physical"))
 
 
-@query("""SELECT o_orderkey AS "index", strftime(CAST(o_orderdate AS DATE), '%-m/%-d/%Y') AS date, CASE WHEN o_orderkey % 3 > 0 THEN 'Clerk ' || o_orderkey % 1000 END AS provider, 'Letter' || CASE WHEN o_orderkey % 2 = 0 THEN ',Claims' ELSE '' END AS subcategory,
-CAST(CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE o_orderkey % 7 + 1 END AS INTEGER) AS page_count, (o_orderkey % 97) || ',' || (o_orderkey % 97 + 1) AS pages, CASE WHEN o_orderkey % 5 = 0 THEN 'raw output' ELSE 'the summary' END AS content
-FROM orders WHERE o_orderstatus <> 'P'""")
-def legacy_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letters read back from the prompts of summary steps."""
-    k = F.col("o_orderkey")
-    label = F.when(k % 2 == 0, "Date: ").otherwise("  Encounter Date: ")
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executions of summary steps: labels indented, doubled, on a line of their own, in other order and in other case."""
+    k, us = F.col("o_orderkey"), F.date_format("o_orderdate", "M/d/yyyy")
+    dates = (
+        F.when(k % 7 == 0, _text("Encounter Date: 1/1/1990\nDate: ", us, " ")).when(k % 7 == 1, _text("  Date: 1/1/1990\nLetter Date:\n ", us)).when(k % 7 == 2, _text("Letter Date: 1/1/1990\nEncounter Date: ", us))
+        .when(k % 7 == 3, _text("Date:\n\n", us)).when(k % 7 == 4, _text("the Date: ", us)).otherwise(_text("Date: ", us, "\nDate: 1/1/1990"))
+    )
     prompt = _lines(
-        _text("Summarise. ", label), _text(label, F.date_format("o_orderdate", "M/d/yyyy"), " "), F.when(k % 3 > 0, _text("Provider: ", _clerk())).otherwise("no provider"), "Sub-category: Letter ", "Sub-category: Letter",
-        F.when(k % 2 == 0, "Sub-category: Claims").otherwise(""), _text("- Page: ", k % 97), _text("- Page: ", k % 97 + 1), _text("- Page: ", k % 97), F.when(k % 4 > 0, _text("Pages in document: ", k % 7 + 1)).otherwise(""),
+        "Summarise. Date: none", dates, F.when(k % 3 > 0, _text("Provider: ", _clerk())).otherwise("no Provider: x"), "Sub-category: Letter ", "  Sub-category:Letter",
+        F.when(k % 2 == 0, "Sub-category:\n Claims").otherwise(""), _text("- Page: ", k % 97), _text("-  PAGE:", k % 97 + 1), _text("- Page: ", k % 97), "see - Page: 5", F.when(k % 4 > 0, _text("Pages in document:\t", k % 7 + 1)).otherwise("pages in document: 3"),
     )
-    output = F.when(k % 5 == 0, " raw output\n").otherwise("x <content>\n the summary </content> y")
-    rows = derived.table(spark, sf_dir, "orders").select(k.alias("iteration"), F.when(F.col("o_orderstatus") == "P", "FAILED").otherwise("SUCCEEDED").alias("status"), prompt.alias("prompt"), output.alias("output"))
-    out = index_parsers.legacy_letters(rows)
-    return out.select("index", "date", "provider", F.array_join("subcategory", ",").alias("subcategory"), "page_count", joined(F.col("pages")).alias("pages"), "content")
+    output = F.when(k % 5 == 0, " raw output\n").when(k % 5 == 1, "<content>open").otherwise("x <content>\n the summary </content> y")
+    return derived.table(spark, sf_dir, "orders").select(k.alias("iteration"), F.when(F.col("o_orderstatus") == "P", "FAILED").otherwise("SUCCEEDED").alias("status"), prompt.alias("prompt"), output.alias("output"))
+
+
+_PROMPTS = """l AS (SELECT o_orderkey AS k, strftime(CAST(o_orderdate AS DATE), '%-m/%-d/%Y') AS us, CASE WHEN o_orderkey % 3 > 0 THEN 'Clerk ' || o_orderkey % 1000 END AS provider,
+ 'Letter' || CASE WHEN o_orderkey % 2 = 0 THEN ',Claims' ELSE '' END AS subcategory FROM orders WHERE o_orderstatus <> 'P')"""
+
+
+@query(f"""WITH {_PROMPTS} SELECT k AS "index", CASE WHEN k % 7 <> 4 THEN us END AS date, provider, subcategory, (k % 97) || ',' || (k % 97 + 1) || ',' || (k % 97) AS pages,
+ CASE k % 5 WHEN 0 THEN ' raw output' || chr(10) WHEN 1 THEN '<content>open' ELSE 'x <content>' || chr(10) || ' the summary </content> y' END AS content FROM l""")
+def legacy_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters for review, read back from the prompts of summary steps."""
+    out = index_parsers.legacy_letters(_prompts(spark, sf_dir))
+    return out.select("index", "date", "provider", F.array_join("subcategory", ",").alias("subcategory"), joined(F.col("pages")).alias("pages"), "content")
+
+
+@query(f"""WITH {_PROMPTS} SELECT k AS "index", CASE WHEN k % 7 IN (0, 3, 5, 6) THEN us END AS date, provider, subcategory, CAST(CASE WHEN k % 4 > 0 THEN k % 7 + 1 ELSE 1 END AS INTEGER) AS page_count,
+ CASE k % 5 WHEN 0 THEN ' raw output' || chr(10) WHEN 1 THEN '<content>open' ELSE 'the summary' END AS content FROM l""")
+def legacy_scored_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same prompts as the scorer reads them."""
+    out = index_parsers.legacy_scored_letters(_prompts(spark, sf_dir))
+    return out.select("index", "date", "provider", F.array_join("subcategory", ",").alias("subcategory"), "page_count", "content")
 
 
 @query("""WITH p AS (SELECT CAST(p_partkey AS INTEGER) AS p, p_partkey % 9 AS v, p_brand AS h, '2020-01-0' || (p_partkey % 9 + 1) AS d FROM part)

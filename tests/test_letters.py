@@ -117,10 +117,13 @@ def test_run_inspection(spark):
 
 
 def test_legacy_letters(spark):
-    prompt = "Date: 1/2/2024\nProvider: A Person\nSub-category: X\nSub-category: X\n- Page: 3\n- Page: 4\nPages in document: 2"
-    rows = [("r", 0, "SUCCEEDED", "<content> body </content>", None, prompt, "s", "", ""), ("r", 1, "SUCCEEDED", "all", None, "none", "s", "", "")]
-    got = [tuple(r)[1:] for r in index_parsers.legacy_letters(spark.createDataFrame(rows, readers.EXECUTIONS)).orderBy("index").collect()]
-    assert got == [("1/2/2024", "A Person", [], ["X"], 2, [3, 4], "body"), (None, None, [], [], 1, [], "all")]
+    prompt = "Encounter Date: 2/2/2024\n Date: 3/3/2024\nDate:\n 1/2/2024\nProvider: A Person\nSub-category: X\nSub-category:X\n- Page: 3\n-page:\t4\n- Page: 3\nsee - Page: 9\nPages in document:\n2"
+    rows = [("r", 0, "SUCCEEDED", "a <content> body </content>", None, prompt, "s", "", ""), ("r", 1, "SUCCEEDED", " all\n", None, "Letter Date: x\rDate: y", "s", "", ""), ("r", 2, "FAILED", "", None, prompt, "s", "", ""), ("r", 3, "SUCCEEDED", None, None, None, "s", "", "")]
+    ex = spark.createDataFrame(rows, readers.EXECUTIONS)
+    got = [tuple(r)[1:] for r in index_parsers.legacy_letters(ex).orderBy("index").collect()]
+    assert got == [("1/2/2024", "A Person", ["X"], [3, 4, 3], "a <content> body </content>"), ("x\rDate: y", None, [], [], " all\n"), (None, None, [], [], "")]
+    got = [tuple(r)[1:] for r in index_parsers.legacy_scored_letters(ex).orderBy("index").collect()]
+    assert got == [("1/2/2024", "A Person", [], ["X"], 2, "body"), (None, None, [], [], 1, " all\n"), (None, None, [], [], 1, "")]
 
 
 def test_feed(spark, tmp_path):
