@@ -1,7 +1,8 @@
 """Index and section texts to entries, by windows over numbered lines.
 
-Texts come as rows (doc_id, text). A document's lines are one window partition:
-an index of a few thousand lines, whatever the number of documents.
+Texts come as rows (doc_id, text). Lines are dealt in ranges (``line_ranges``), so
+that a document of millions of lines is parsed by many tasks; ``size`` is a range's
+number of lines and changes no result.
 """
 
 from __future__ import annotations
@@ -15,10 +16,7 @@ from folioquery import fixed
 from folioquery.functions.dates import month_number, section_date, us_date
 from folioquery.functions.pages import expand_pages
 from folioquery.functions.text import found, labelled, strip, tagged, truncate_header
-
-
-def by_line():
-    return Window.partitionBy("doc_id").orderBy("n")
+from folioquery.operators.line_ranges import LINES, by_line, by_range, next_lines, ranged
 
 
 def lines(texts: DataFrame) -> DataFrame:
@@ -26,37 +24,66 @@ def lines(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
 
 
-def vendor_index(texts: DataFrame, last_page: int = fixed.LAST_PAGE) -> DataFrame:
+def _entered(rows: DataFrame) -> DataFrame:
+    """For each range the entry that is open where it begins, whether its header has begun, and its header lines so far.
+
+    A range is summed up by its last entry, by what follows that entry, and, where no entry
+    begins in it, by what it adds to an entry whose header has or has not begun.
+    """
+    heads, digits = F.col("kind").isin("text", "slash", "glued"), F.col("kind") == "pages"
+    ranges = rows.groupBy("doc_id", "range").agg(
+        F.max("own").alias("opened"), F.max(F.when(heads, F.col("n"))).alias("head"),
+        (F.max("so_far") - F.coalesce(F.max(F.when(F.col("begins"), F.col("so_far"))), F.lit(0))).alias("adds"), F.count_if(heads | digits).alias("adds_late"),
+    )
+    ranges = ranges.withColumn("begun", F.col("head").isNotNull() & (F.col("opened").isNull() | (F.col("head") > F.col("opened"))))
+    ranges = ranges.withColumn("turn", F.count("opened").over(by_range().rowsBetween(Window.unboundedPreceding, 0)))
+    since = Window.partitionBy("doc_id", "turn").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = ranges.withColumn("leaves", F.bool_or("begun").over(since)).withColumn("open_begun", F.coalesce(F.lag("leaves").over(by_range()), F.lit(False)))
+    added = F.when(F.col("opened").isNull() & F.col("open_begun"), F.col("adds_late")).otherwise(F.col("adds"))
+    ranges = ranges.withColumn("left", F.sum(added).over(since))
+    return ranges.select("doc_id", "range", F.last("opened", True).over(by_range().rowsBetween(Window.unboundedPreceding, -1)).alias("open"), "open_begun", F.coalesce(F.lag("left").over(by_range()), F.lit(0)).alias("open_lines"))
+
+
+def vendor_index(texts: DataFrame, last_page: int = fixed.LAST_PAGE, size: int = LINES) -> DataFrame:
     """Entries of an index whose entries begin with a date line that page numbers follow, or with Undated."""
-    rows = lines(texts).withColumn("line", strip(F.col("line")))
-    is_date = F.col("line").rlike(fixed.DATE_LINE)
-    follows = F.coalesce(F.lead("line", 1).over(by_line()), F.lit("")).rlike(fixed.PAGE_START) | F.coalesce(F.lead("line", 2).over(by_line()), F.lit("")).rlike(fixed.PAGE_START)
-    rows = rows.withColumn("begins", (is_date & follows) | (F.col("line") == fixed.UNDATED))
-    rows = rows.withColumn("entry", F.sum(F.col("begins").cast("int")).over(by_line())).filter("entry > 0")
     line = F.col("line")
+    is_date = line.rlike(fixed.DATE_LINE)
     kind = (
-        F.when(F.col("begins"), "start").when(is_date, "text").when(line == "", "blank").when(line.rlike(fixed.SLASH_DIGITS), "slash")
+        F.when(is_date, "text").when(line == "", "blank").when(line.rlike(fixed.SLASH_DIGITS), "slash")
         .when(line.rlike(fixed.PAGES_ONLY), "pages").when(line.rlike(fixed.GLUED_PAGES), "glued").otherwise("text")
     )
-    rows = rows.withColumn("kind", kind)
-    inside = Window.partitionBy("doc_id", "entry").orderBy("n")
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    header_before = F.coalesce(F.max(F.col("kind").isin("text", "slash", "glued").cast("int")).over(before), F.lit(0)) == 1
-    rows = rows.withColumn("late", header_before)
-    rows = rows.withColumn("pages_text", F.when(~F.col("late") & (F.col("kind") == "pages"), line).when(~F.col("late") & (F.col("kind") == "glued"), F.regexp_extract(line, fixed.GLUED_PAGES, 1)))
-    # a line of digits after the header has begun is header text
-    says = F.when(F.col("kind") == "glued", F.regexp_extract(line, fixed.GLUED_PAGES, 2)).when(F.col("kind").isin("text", "slash") | (F.col("late") & (F.col("kind") == "pages")), line)
-    rows = rows.withColumn("says", says)
-    nth = F.sum(F.col("says").isNotNull().cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("kept", F.when((F.col("kind") == "slash") | (nth <= fixed.HEADER_LINES), F.col("says")))
+    rows = lines(texts).withColumn("line", strip(line)).withColumns({"dated": is_date, "lists": line.rlike(fixed.PAGE_START), "kind": kind})
+    rows = ranged(rows, size, ahead=2)
+    follows = F.coalesce(F.lead("lists", 1).over(by_line()), F.lit(False)) | F.coalesce(F.lead("lists", 2).over(by_line()), F.lit(False))
+    rows = rows.withColumn("begins", (F.col("dated") & follows) | (line == fixed.UNDATED)).filter("not copied")
+    rows = rows.withColumn("kind", F.when(F.col("begins"), "start").otherwise(F.col("kind")))
+    heads, before = F.col("kind").isin("text", "slash", "glued"), by_line().rowsBetween(Window.unboundedPreceding, -1)
+    so_far = by_line().rowsBetween(Window.unboundedPreceding, 0)
+    head = F.last(F.when(heads, F.col("n")), True).over(before)
+    rows = rows.withColumns({"own": F.last(F.when(F.col("begins"), F.col("n")), True).over(so_far), "head": head})
+    rows = rows.withColumn("late", F.col("head").isNotNull() & (F.col("own").isNull() | (F.col("head") > F.col("own"))))
+
+    def speaks() -> Column:
+        # a line of digits after the header has begun is header text
+        return heads | ((F.col("kind") == "pages") & F.col("late"))
+
+    rows = rows.withColumn("so_far", F.sum(speaks().cast("int")).over(so_far))
+    rows = rows.drop("dated", "lists", "copied", "head").join(_entered(rows), ["doc_id", "range"])
+    rows = rows.withColumns({"late": F.col("late") | (F.col("own").isNull() & F.col("open_begun")), "entry": F.coalesce("own", "open")}).filter("entry is not null")
+    rows = rows.withColumn("so_far", F.sum(speaks().cast("int")).over(so_far))
+    rows = rows.withColumn("at_start", F.last(F.when(F.col("begins"), F.col("so_far")), True).over(so_far))
+    nth = F.col("so_far") - F.when(F.col("own").isNull(), -F.col("open_lines")).otherwise(F.col("at_start"))
+    listed = F.when(~F.col("late") & (F.col("kind") == "pages"), line).when(~F.col("late") & (F.col("kind") == "glued"), F.regexp_extract(line, fixed.GLUED_PAGES, 1))
+    says = F.when(F.col("kind") == "glued", F.regexp_extract(line, fixed.GLUED_PAGES, 2)).when(speaks(), line)
+    rows = rows.withColumns({"listed": listed, "kept": F.when((F.col("kind") == "slash") | (nth <= fixed.HEADER_LINES), says)})
 
     def joined(column: str) -> Column:
         parts = F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(), F.struct("n", F.col(column).alias("t")))))
         return F.array_join(F.transform(parts, lambda p: p["t"]), " ")
 
-    entries = rows.groupBy("doc_id", "entry").agg(F.min("n").alias("ordinal"), F.min_by("line", "n").alias("date_str"), joined("pages_text").alias("listed"), joined("kept").alias("header"))
+    entries = rows.groupBy("doc_id", "entry").agg(F.min_by("line", "n").alias("date_str"), joined("listed").alias("listed"), joined("kept").alias("header"))
     pages = F.filter(expand_pages(F.col("listed")), lambda p: p <= last_page)
-    out = entries.select("doc_id", "ordinal", F.when(F.col("date_str") == fixed.UNDATED, fixed.UNKNOWN).otherwise(us_date(F.col("date_str"))).alias("date"), "date_str", pages.alias("pages"), truncate_header(F.col("header")).alias("header"))
+    out = entries.select("doc_id", F.col("entry").alias("ordinal"), F.when(F.col("date_str") == fixed.UNDATED, fixed.UNKNOWN).otherwise(us_date(F.col("date_str"))).alias("date"), "date_str", pages.alias("pages"), truncate_header(F.col("header")).alias("header"))
     return out.filter(F.size("pages") > 0)
 
 
@@ -64,12 +91,11 @@ def _cell(line: Column, pattern: str, group: int = 1) -> Column:
     return F.when(line.rlike(pattern), F.regexp_extract(line, pattern, group))
 
 
-def own_index(texts: DataFrame) -> DataFrame:
+def own_index(texts: DataFrame, size: int = LINES) -> DataFrame:
     """Entries of a pipe-drawn table whose first column holds dates, in any of six shapes, whole or split over lines."""
-    rows = lines(texts)
-    line = F.col("line")
-    cell = [_cell(F.lead("line", k).over(by_line()) if k else line, fixed.FIRST_CELL) for k in range(4)]
-    rows = rows.withColumns({f"c{k}": c for k, c in enumerate(cell)})
+    line, size, ahead = F.col("line"), max(size, 4), 4
+    rows = ranged(lines(texts).withColumn("c0", _cell(line, fixed.FIRST_CELL)), size, ahead)
+    rows = rows.withColumns({f"c{k}": F.lead("c0", k).over(by_line()) for k in range(1, 4)})
     c0, c1, c2, c3 = (F.col(f"c{k}") for k in range(4))
 
     def make(*parts: Column) -> Column:
@@ -91,21 +117,22 @@ def own_index(texts: DataFrame) -> DataFrame:
     first, *rest = shapes
     date_str = reduce(lambda out, s: out.when(s[0], s[2]), rest, F.when(first[0], first[2])).otherwise(none)
     skip = reduce(lambda out, s: out.when(s[0], s[1]), rest, F.when(first[0], first[1])).otherwise(0)
-    after = Window.partitionBy("doc_id").orderBy("n").rowsBetween(0, Window.unboundedFollowing)
-    rule = F.min(F.when(line.rlike(fixed.TABLE_RULE), F.col("n"))).over(after)
-    mark = F.min(F.when(line.rlike(fixed.NEXT_DATE) | F.coalesce(unknown, F.lit(False)), F.col("n"))).over(after)
-    rows = rows.withColumns({"date_str": date_str, "skip": skip, "rule": rule, "mark": mark})
+    rows = rows.withColumns({"date_str": date_str, "skip": skip})
+    rows = next_lines(rows, size, ahead, rule=line.rlike(fixed.TABLE_RULE), mark=line.rlike(fixed.NEXT_DATE) | F.coalesce(unknown, F.lit(False)))
     ends = F.when(F.col("skip") == 3, F.lead("mark", 4).over(by_line()))
     for k in range(3):
         ends = ends.when(F.col("skip") == k, F.lead("mark", k + 1).over(by_line()))
-    rows = rows.withColumn("until", F.least("rule", ends))
-    anchors = rows.filter("date_str is not null").select("doc_id", F.col("n").alias("ordinal"), "date_str", "until")
+    rows = rows.withColumn("until", F.least("rule", ends)).filter("not copied")
+    final = F.coalesce(F.floor((F.col("until") - 1) / size).cast("int"), F.col("last"))
+    anchors = rows.filter("date_str is not null").select("doc_id", F.col("n").alias("ordinal"), "date_str", "until", F.explode(F.sequence("range", F.greatest(final, F.col("range")))).alias("range"))
     said = F.nullif(strip(F.regexp_extract(line, fixed.THIRD_CELL, 1)), F.lit(""))
-    parts = rows.select("doc_id", "n", said.alias("said"), F.when(line.rlike(fixed.LAST_CELL), expand_pages(F.regexp_extract(line, fixed.LAST_CELL, 1))).alias("got"))
-    payload = anchors.join(parts, "doc_id").filter("n >= ordinal and (until is null or n < until)")
-    found = payload.groupBy("doc_id", "ordinal", "date_str").agg(F.min_by("said", F.when(F.col("said").isNotNull(), F.col("n"))).alias("header"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("got")))).alias("pages"))
+    parts = rows.select("doc_id", "range", "n", said.alias("said"), F.when(line.rlike(fixed.LAST_CELL), expand_pages(F.regexp_extract(line, fixed.LAST_CELL, 1))).alias("got"))
+    parts = parts.filter("said is not null or got is not null")
+    inside = (anchors["doc_id"] == parts["doc_id"]) & (anchors["range"] == parts["range"]) & (parts["n"] >= anchors["ordinal"]) & (anchors["until"].isNull() | (parts["n"] < anchors["until"]))
+    payload = anchors.join(parts, inside, "left").select(anchors["doc_id"], "ordinal", "date_str", "n", "said", "got")
+    entries = payload.groupBy("doc_id", "ordinal", "date_str").agg(F.min_by("said", F.when(F.col("said").isNotNull(), F.col("n"))).alias("header"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("got")))).alias("pages"))
     date = F.when(F.col("date_str") == "Unknown", fixed.UNKNOWN).otherwise(us_date(F.col("date_str")))
-    out = found.select("doc_id", "ordinal", date.alias("date"), "date_str", "pages", truncate_header(F.coalesce("header", F.lit(""))).alias("header"))
+    out = entries.select("doc_id", "ordinal", date.alias("date"), "date_str", "pages", truncate_header(F.coalesce("header", F.lit(""))).alias("header"))
     return out.filter((F.col("date_str") != "Unknown") | (F.size("pages") > 0))
 
 
@@ -122,18 +149,19 @@ def own_sections(texts: DataFrame) -> DataFrame:
     return rows.withColumn("normalized_date", section_date(F.col("date_str")))
 
 
-def vendor_sections(texts: DataFrame) -> DataFrame:
+def vendor_sections(texts: DataFrame, size: int = LINES) -> DataFrame:
     """Headers with their date on the next line, cover letters, and headers with a date in line."""
     header, date, cover, inline = fixed.VENDOR_HEADER, fixed.VENDOR_DATE, fixed.VENDOR_COVER, fixed.VENDOR_INLINE
-    rows = lines(texts).withColumn("line", strip(F.col("line"))).withColumn("next", F.coalesce(strip(F.lead("line").over(by_line())), F.lit("")))
+    rows = ranged(lines(texts).withColumn("line", strip(F.col("line"))), size, ahead=1)
+    rows = rows.withColumn("next", F.coalesce(F.lead("line").over(by_line()), F.lit(""))).filter("not copied")
     line, following = F.col("line"), F.col("next")
     two = line.rlike(header) & following.rlike(date)
-    found = (
+    form = (
         F.when(two, F.struct(F.regexp_extract(following, date, 1).alias("date_str"), F.concat_ws(", ", *[F.regexp_extract(line, header, g) for g in (1, 2, 3)]).alias("title"), F.concat_ws(" ", line, following).alias("full_header")))
         .when(line.rlike(cover), F.struct(F.regexp_extract(line, cover, 1).alias("date_str"), F.get(F.split(line, ","), 0).alias("title"), line.alias("full_header")))
         .when(line.rlike(inline), F.struct(F.regexp_extract(line, inline, 2).alias("date_str"), F.regexp_extract(line, inline, 1).alias("title"), line.alias("full_header")))
     )
-    out = rows.withColumn("f", found).filter("f is not null").select("doc_id", (F.col("n") + 1).alias("line_number"), "f.*")
+    out = rows.withColumn("f", form).filter("f is not null").select("doc_id", (F.col("n") + 1).alias("line_number"), "f.*")
     return out.withColumn("normalized_date", us_date(F.col("date_str")))
 
 
