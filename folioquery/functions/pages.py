@@ -20,6 +20,18 @@ def expand_pages(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(tokens, pages))))
 
 
+def page_runs(pages: Column) -> Column:
+    """Runs of neighbouring pages as structs lo and hi, in order."""
+
+    def run(p: Column) -> Column:
+        lows = F.filter(p, lambda x, i: (i == 0) | (x - F.get(p, i - 1) > 1))
+        highs = F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) - x > 1))
+        return F.arrays_zip(lows.alias("lo"), highs.alias("hi"))
+
+    ordered = F.array_sort(F.array_distinct(F.filter(pages, lambda x: x.isNotNull())))
+    return F.get(F.transform(F.array(ordered), run), 0)
+
+
 def page_ranges(pages: Column) -> Column:
     """Sorted integers as '1-3, 5': runs of neighbours become ranges."""
     empty = F.array().cast("array<struct<lo:int,hi:int>>")

@@ -5,25 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioquery.functions.pages import page_runs
+
 
 def with_pages(entries: DataFrame) -> DataFrame:
     return entries.filter(F.size("pages") > 0)
 
 
+#: Entries of a date up to which it is one group; of a page of a larger date up to which the page is.
+DATE_ENTRIES, PAGE_ENTRIES = 200, 20_000
+#: Dates and pages treated as large, the largest first; they are broadcast.
+LARGEST = 10_000
+
+
+def _largest(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Keys with more than ``most`` rows and the number of parts to split them in."""
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("rows")).filter(F.col("rows") > most)
+    return F.broadcast(counted.orderBy(F.desc("rows")).limit(LARGEST).select(*keys, F.ceil(F.col("rows") / most).cast("int").alias("parts")))
+
+
+def interval_rows(entries: DataFrame, large: DataFrame) -> DataFrame:
+    """Entries (date, pages) with lo and hi: a row a run of pages in the date's one group, or a row a page, its group, for dates in ``large``."""
+    rows = entries.join(large.select("date", F.lit(True).alias("large")), "date", "left")
+    single = F.transform(F.array_distinct(F.filter("pages", lambda p: p.isNotNull())), lambda p: F.struct(p.alias("lo"), p.alias("hi")))
+    rows = rows.select("*", F.inline(F.when(F.col("large"), single).otherwise(page_runs(F.col("pages")))))
+    return rows.withColumn("group", F.when(F.col("large"), F.col("lo").cast("long"))).drop("large")
+
+
 def same_dates(yours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Pairs with equal date and a common page.
 
-    Entries have entry_id, date, pages and header. Pages are exploded and join
-    with the date, so that a date of very many entries (UNKNOWN, say) spreads
-    over its pages; a pair that shares several pages is made one.
+    Entries have entry_id, date, pages and header. Pages are intervals: an entry is a row
+    for each run of its pages, and the entries of a date meet by overlap. A date of more
+    than DATE_ENTRIES entries (UNKNOWN, say) is not one group: its entries meet page by page,
+    and a page of very many entries is split, yours dealt, theirs copied. A pair is kept
+    where its first common page lies, so that it is one row.
     """
-    y = with_pages(yours).select("date", F.col("entry_id").alias("your_id"), F.col("pages").alias("your_pages"), F.col("header").alias("your_header"))
-    t = with_pages(theirs).select("date", F.col("entry_id").alias("their_id"), F.col("pages").alias("their_pages"), F.col("header").alias("their_header"))
-    page = F.explode(F.array_distinct("your_pages")).alias("page")
-    met = y.select("*", page).join(t.select("*", F.explode(F.array_distinct("their_pages")).alias("page")), ["date", "page"])
-    # a pair is kept at its first common page, without another shuffle
+    y = with_pages(yours).select("date", F.col("entry_id").alias("your_id"), "pages", F.col("header").alias("your_header"))
+    t = with_pages(theirs).select("date", F.col("entry_id").alias("their_id"), "pages", F.col("header").alias("their_header"))
+    large = _largest(y.select("date").unionByName(t.select("date")), ["date"], DATE_ENTRIES)
+    # -1 is no page: the one group of a date that is not large
+    sides = [interval_rows(d, large).withColumn("group", F.coalesce("group", F.lit(-1))) for d in (y, t)]
+    mine, other = sides[0].withColumnRenamed("pages", "your_pages"), sides[1].withColumnRenamed("pages", "their_pages")
+    split = _largest(mine.select("date", "group").filter("group <> -1"), ["date", "group"], PAGE_ENTRIES)
+    parts = F.coalesce("parts", F.lit(1))
+    mine = mine.join(split, ["date", "group"], "left").withColumn("part", F.pmod(F.xxhash64("your_id"), parts).cast("int")).drop("parts")
+    other = other.join(split, ["date", "group"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    other = other.withColumnsRenamed({"lo": "their_lo", "hi": "their_hi"})
+    met = mine.join(other, ["date", "group", "part"]).filter("lo <= their_hi and their_lo <= hi")
     first = F.array_min(F.array_intersect("your_pages", "their_pages"))
-    return met.filter(F.col("page") == first).drop("page")
+    kept = met.filter(first.between(F.greatest("lo", "their_lo"), F.least("hi", "their_hi")))
+    return kept.select("date", "your_id", "your_pages", "your_header", "their_id", "their_pages", "their_header")
 
 
 def only(entries: DataFrame, matched: DataFrame, key: str) -> DataFrame:

@@ -114,9 +114,18 @@ def reconcile_same(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.select("date", "your_id", "their_id", text(F.col("your_pages")).alias("your_pages"), text(F.col("their_pages")).alias("their_pages"))
 
 
-@query(f"WITH {_ENTRIES} SELECT CAST(d AS VARCHAR) AS date, your_id, their_id FROM same")
+@query("""WITH y AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'UNKNOWN' ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS date, o_orderkey % 5000 AS lo FROM orders WHERE o_orderkey % 4 < 3),
+t AS (SELECT DISTINCT l_orderkey AS id, CASE WHEN l_orderkey % 20 < 10 THEN 'UNKNOWN' ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS date, l_orderkey % 4999 AS lo FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 10 = 1)
+SELECT date, y.id AS your_id, t.id AS their_id FROM y JOIN t USING (date) WHERE y.lo <= t.lo + 7 AND t.lo <= y.lo + 20""")
 def reconcile_same_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap_join.same_dates(derived.yours(spark, sf_dir), derived.theirs(spark, sf_dir)).select("date", "your_id", "their_id")
+    """Entries of twenty-one and eight pages in a row, a third and half of them without a date."""
+    k, date = F.col("o_orderkey"), derived.day("o_orderdate")
+    entry = lambda d, width, mod: d.select(k.alias("entry_id"), "date", F.sequence(k % mod, k % mod + (width - 1)).cast("array<int>").alias("pages"), F.lit("").alias("header"))
+    orders = derived.table(spark, sf_dir, "orders")
+    lines = derived.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).filter(k % 10 == 1).distinct()
+    yours = entry(orders.filter(k % 4 < 3).withColumn("date", F.when(k % 3 == 0, "UNKNOWN").otherwise(date)), 21, 5000)
+    theirs = entry(orders.join(lines, "o_orderkey", "left_semi").withColumn("date", F.when(k % 20 < 10, "UNKNOWN").otherwise(date)), 8, 4999)
+    return overlap_join.same_dates(yours, theirs).select("date", "your_id", "their_id")
 
 
 @query(f"WITH {_ENTRIES} SELECT CAST(d AS VARCHAR) AS date, id AS entry_id, array_to_string(pages, ',') AS pages FROM yours_only")

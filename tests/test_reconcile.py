@@ -138,3 +138,37 @@ def test_docx(spark, tmp_path):
     cells = spark.read.format("docx").load(str(tmp_path / "*.docx"))
     assert cells.count() == 4
     assert [(r.date, r.pages, r.header) for r in index_cells(cells).collect()] == [("2024-01-02", [3, 4], "Excerpt")]
+
+
+def test_overlap_by_runs_and_by_pages(spark, monkeypatch):
+    import random
+
+    r = random.Random(2)
+
+    def side(n, name):
+        out = []
+        for i in range(n):
+            lo = r.randint(1, 60)
+            pages = r.choice([[lo], list(range(lo, lo + 12)), [lo, lo + 5, lo + 6], [lo + 1, lo, lo], list(range(1, 80))])
+            out.append((f"{name}{i}", r.choice(["UNKNOWN"] * 6 + ["2024-01-01", "2024-01-02", None]), pages, "h"))
+        return [*out, (f"{name}x", "UNKNOWN", [], ""), (f"{name}y", "UNKNOWN", None, ""), (f"{name}z", "UNKNOWN", [3, None, 4], "")]
+
+    yours, theirs = side(60, "y"), side(50, "t")
+    y, t = (spark.createDataFrame(rows, ENTRY) for rows in (yours, theirs))
+    expected = sorted((d, i, j) for i, d, p, _ in yours for j, e, q, _ in theirs if d is not None and d == e and {*(p or ())} & {*(q or ())} - {None})
+    for dates, pages in ((1000, 1000), (5, 1000), (5, 4), (0, 1)):
+        monkeypatch.setattr(overlap_join, "DATE_ENTRIES", dates)
+        monkeypatch.setattr(overlap_join, "PAGE_ENTRIES", pages)
+        assert sorted((x.date, x.your_id, x.their_id) for x in overlap_join.same_dates(y, t).collect()) == expected
+    # rows that are shuffled: one a run, not one a page
+    none = spark.createDataFrame([], "date string, parts int")
+    runs, every = (overlap_join.interval_rows(overlap_join.with_pages(y), large).count() for large in (none, y.select("date").distinct().withColumn("parts", F.lit(1))))
+    assert every > sum(len({*p}) for _, d, p, _ in yours if p and d) - 2 and runs < every / 5
+
+
+def test_page_runs(spark):
+    from folioquery.functions.pages import page_runs
+
+    df = spark.createDataFrame([([5, 1, 2, 2, None, 3, 9],), ([],), (None,), ([7],)], "p array<int>")
+    got = [r.r and [tuple(x) for x in r.r] for r in df.select(page_runs(F.col("p")).alias("r")).collect()]
+    assert got == [[(1, 3), (5, 5), (9, 9)], [], None, [(7, 7)]]
