@@ -61,10 +61,21 @@ def section_date(text: Column) -> Column:
     return F.when(text == UNKNOWN_DATE, UNKNOWN).otherwise(F.coalesce(F.date_format(any_date(text), "yyyy-MM-dd"), F.lit(UNKNOWN)))
 
 
-def _plain(text: Column) -> Column:
+def plain_date(text: Column) -> Column:
+    """A date's text as it is compared where it is no date: without commas and case."""
     return F.lower(F.trim(F.regexp_replace(text, ",", "")))
 
 
+def same_day(a: Column, b: Column) -> Column:
+    """Equal days or equal plain texts, of structs with day and plain."""
+    return F.coalesce(a["day"] == b["day"], F.lit(False)) | F.coalesce(a["plain"] == b["plain"], F.lit(False))
+
+
 def dates_match(a: Column, b: Column) -> Column:
     """Equal as dates, or, where either is no date, equal without commas and case."""
-    return F.coalesce(any_date(a) == any_date(b), F.lit(False)) | F.coalesce(_plain(a) == _plain(b), F.lit(False))
+    return F.coalesce(any_date(a) == any_date(b), F.lit(False)) | F.coalesce(plain_date(a) == plain_date(b), F.lit(False))
+
+
+def day_and_plain(text: Column) -> Column:
+    """What ``same_day`` compares, read once."""
+    return F.struct(any_date(text).alias("day"), plain_date(text).alias("plain"))

@@ -1,7 +1,14 @@
-"""Checks of letters against the extracts of their pages, as rows (index, check, severity, message)."""
+"""Checks of letters against the extracts of their pages, as rows (index, check, severity, message).
+
+Extracts meet the pages of their letters once; what they say is read there, and one
+aggregation by letter gathers it, so that a letter's body, date and provider are read
+once a letter and all checks are arrays of issues of one row.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,91 +17,135 @@ from folioquery.functions import dates, text
 from folioquery.functions.columns import once
 from folioquery.functions.pages import page_ranges
 from folioquery.functions.results import field_text, parse_result
-from folioquery.operators.letter_checks import counted
+from folioquery.operators.letter_checks import counted, issue
 from folioquery.operators.token_join import redundant_letters
 
+CHECKS = ("dos_verification", "content_coverage", "provider_availability")
+
 
 def _rows(df: DataFrame, check: str, severity: str, message: Column) -> DataFrame:
     return df.select("index", F.lit(check).alias("check"), F.lit(severity).alias("severity"), message.alias("message"))
 
 
-def letter_extracts(letters: DataFrame, extracts: DataFrame) -> DataFrame:
-    """Letters with each extract of their pages: pages count from one, iterations from zero; run_id joins too where both have it."""
-    page = letters.withColumn("page", F.explode(F.array_distinct("pages")))
-    run = ["run_id"] if "run_id" in letters.columns and "run_id" in extracts.columns else []
-    own = extracts.select(*run, (F.col("iteration") + 1).alias("page"), "iteration", parse_result(F.col("result")).alias("r"), text.tagged_or_all(F.coalesce("prompt", F.lit("")), "processed_content").alias("source"), clinical(F.col("result")).alias("clinical"))
-    # both sides grow with the run: a merge join, whatever the sizes at hand
-    return page.join(own.hint("merge"), [*run, "page"])
+def _quoted(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def clinical(result: Column) -> Column:
-    """Names and phrases of the clinical fields whose value is a long text.
+def _issue(check: str, severity: str, *message) -> Column:
+    return F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), _quoted(*message).alias("message"))
 
-    All fields are read in one pass; kind and phrases are looked at beyond the
-    least length only.
-    """
-    parsed = F.from_json(result, ", ".join(f"{f} string" for f in fixed.CLINICAL_FIELDS))
 
-    def long_text(all_: Column, name: str) -> Column:
-        value = all_[name]
-        is_text = F.schema_of_variant(F.try_variant_get(parse_result(result), f"$.{name}", "variant")) == "STRING"
+def clinical(result: Column) -> Column:
+    """Names and phrases of the clinical fields of a VARIANT whose value is a long text."""
+
+    def long_text(name: str) -> Column:
+        value = field_text(result, name)
+        is_text = F.schema_of_variant(F.try_variant_get(result, f"$.{name}", "variant")) == "STRING"
         long_ = (F.length(value) > fixed.CLINICAL_CHARS) & (F.length(text.strip(value)) > fixed.CLINICAL_CHARS)
         return F.when(long_ & is_text, F.struct(F.lit(name).alias("name"), text.phrases(F.lower(value)).alias("phrases")))
 
-    rows = F.transform(F.array(parsed), lambda all_: F.array_compact(F.array(*[long_text(all_, f) for f in fixed.CLINICAL_FIELDS])))
-    return F.filter(F.get(rows, 0), lambda f: F.size(f["phrases"]) > 0)
+    return F.filter(F.array_compact(F.array(*[long_text(f) for f in fixed.CLINICAL_FIELDS])), lambda f: F.size(f["phrases"]) > 0)
 
 
-def _quoted(*parts) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
+def page_facts(letters: DataFrame, extracts: DataFrame, checks: Sequence[str] = CHECKS) -> DataFrame:
+    """What the extracts of a letter's pages say, a row a letter.
 
-def date_of_service(joined: DataFrame) -> DataFrame:
+    Pages count from one, iterations from zero; run_id joins too where both have it. The
+    join decides by size; what is read from results and prompts is read behind it, for
+    the pages that letters have.
+    """
+    run = ["run_id"] if "run_id" in letters.columns and "run_id" in extracts.columns else []
+    token = F.lower(F.get(F.split("provider", r"[,\s]+"), 0))
+    pages = letters.select(*run, "index", token.alias("token"), F.explode(F.array_distinct("pages")).alias("page"))
+    own = extracts.select(*run, (F.col("iteration") + 1).alias("page"), "result", "prompt")
+    rows = pages.join(own, [*run, "page"])
+    rows = once(rows, r=parse_result(F.col("result")), source=text.tagged_or_all(F.coalesce("prompt", F.lit("")), "processed_content")).drop("result", "prompt")
+    said, of = [], [*run, "index"]
+    if "dos_verification" in checks:
+        rows = once(rows, found=text.strip(field_text(F.col("r"), "date")), label=text.labelled_date(F.col("source")))
+        real = (F.col("found") != "") & (F.lower("found") != "unknown")
+        rows = once(rows, found=F.when(real, F.col("found")), found_as=F.when(real, dates.day_and_plain(F.col("found"))), label_as=F.when(F.col("label").isNotNull(), dates.day_and_plain(F.col("label"))))
+        said += ["found", "found_as", "label", "label_as"]
+    if "content_coverage" in checks:
+        said.append(clinical(F.col("r")).alias("clinical"))
+    flags = []
+    if "provider_availability" in checks:
+        rows = rows.withColumns({"names": F.coalesce(text.provider_present(field_text(F.col("r"), "provider")), F.lit(False)), "sees": F.coalesce(F.contains(F.lower("source"), F.col("token")), F.lit(False))})
+        flags = [F.bool_or("names").alias("named"), F.bool_or("sees").alias("seen")]
+    facts = F.array_sort(F.collect_list("facts"), lambda a, b: F.when(a["page"] < b["page"], -1).when(a["page"] > b["page"], 1).otherwise(0)).alias("facts")
+    return rows.select(*of, *[f for f in ("names", "sees") if flags], F.struct("page", *said).alias("facts")).groupBy(*of).agg(facts, *flags)
+
+
+def _dates(check: str) -> Column:
     """Dates of extracts, and labelled dates of the source text, against the letter's date."""
-    unknown = F.lower(text.strip(F.coalesce("date", F.lit("")))).isin("unknown", "")
-    found = text.strip(field_text(F.col("r"), "date"))
-    rows = once(joined, unknown=unknown, found=F.when((found != "") & (F.lower(found) != "unknown"), found), label=text.labelled_date(F.col("source")), at=F.col("page").cast("string"), said=text.strip(F.col("date")))
-    differs = F.col("found").isNotNull() & ~F.col("unknown") & ~dates.dates_match(F.col("date"), F.col("found"))
-    per_page = F.when(F.col("found").isNotNull() & F.col("unknown"), _quoted("Letter has unknown date but Extract Info found '", F.col("found"), "' on page ", F.col("at"))).when(
-        differs, _quoted("Extract Info date '", F.col("found"), "' differs from letter date '", F.col("said"), "' on page ", F.col("at"))
-    )
-    pages = _rows(rows.select("index", per_page.alias("m")).filter("m is not null"), "dos_verification", "error", F.col("m")).distinct()
-    first = rows.groupBy("index").agg(
-        F.bool_or("unknown").alias("unknown"), F.count_if(F.col("unknown") & F.col("found").isNotNull()).alias("n"),
-        F.min(F.when(F.col("unknown") & F.col("label").isNotNull(), F.struct("page", "label", "at"))).alias("u"), F.min(F.when(~F.col("unknown"), F.struct("page", "label", "at", "date", "said"))).alias("k"),
-    )
-    bare = F.when(F.col("u.label").isNotNull() & (F.col("n") == 0), F.struct(F.lit("error").alias("severity"), _quoted("Letter has unknown date but source text contains '", F.col("u.label"), "' on page ", F.col("u.at")).alias("message")))
-    late = F.when(
-        F.col("k.label").isNotNull() & ~dates.dates_match(F.col("k.date"), F.col("k.label")),
-        F.struct(F.lit("warning").alias("severity"), _quoted("Source text has DOS '", F.col("k.label"), "' that differs from letter date '", F.col("k.said"), "' on page ", F.col("k.at")).alias("message")),
-    )
-    issues = first.select("index", F.explode(F.array_compact(F.array(bare, late))).alias("i"))
-    return pages.unionByName(issues.select("index", F.lit("dos_verification").alias("check"), "i.severity", "i.message"))
+    unknown, said, own = F.col("unknown"), F.col("said"), F.col("date_as")
+
+    def of_page(f: Column) -> Column:
+        at = f["page"].cast("string")
+        differs = f["found"].isNotNull() & ~unknown & ~dates.same_day(own, f["found_as"])
+        return F.when(f["found"].isNotNull() & unknown, _issue(check, "error", "Letter has unknown date but Extract Info found '", f["found"], "' on page ", at)).when(
+            differs, _issue(check, "error", "Extract Info date '", f["found"], "' differs from letter date '", said, "' on page ", at)
+        )
+
+    def least(f: Column) -> Column:
+        return F.array_min(F.transform(f, lambda x: F.struct(x["page"], x["label"], x["label_as"])))
+
+    every = F.col("facts")
+    labelled = F.get(F.transform(F.array(F.struct(least(F.filter(every, lambda f: f["label"].isNotNull())).alias("any"), least(every).alias("first"))), lambda x: F.when(unknown, x["any"]).otherwise(x["first"])), 0)
+    none_found = ~F.exists(every, lambda f: f["found"].isNotNull())
 
+    def of_label(x: Column) -> Column:
+        at = x["page"].cast("string")
+        return F.when(unknown & none_found & x["label"].isNotNull(), _issue(check, "error", "Letter has unknown date but source text contains '", x["label"], "' on page ", at)).when(
+            ~unknown & x["label"].isNotNull() & ~dates.same_day(own, x["label_as"]), _issue(check, "warning", "Source text has DOS '", x["label"], "' that differs from letter date '", said, "' on page ", at)
+        )
 
-def coverage(joined: DataFrame) -> DataFrame:
+    return F.array_compact(F.concat(F.array_distinct(F.transform(every, of_page)), F.transform(F.array(labelled), of_label)))
+
+
+def _coverage(check: str) -> Column:
     """Clinical fields of a page none of whose phrases stands in the letter's body, in the order of the fixed list."""
+    body = F.col("body")
 
-    def unsaid(body: Column) -> Column:
-        return F.array_join(F.transform(F.filter("clinical", lambda f: ~F.exists(f["phrases"], lambda p: F.contains(body, p))), lambda f: f["name"]), ", ")
+    def of_page(f: Column) -> Column:
+        unsaid = F.transform(F.filter(f["clinical"], lambda c: ~F.exists(c["phrases"], lambda p: F.contains(body, p))), lambda c: c["name"])
+        return F.struct(f["page"].cast("string").alias("at"), F.array_join(unsaid, ", ").alias("fields"))
 
-    # body and fields are bound once a row
-    rows = once(joined.filter(~text.blank(F.col("content"))).select("index", "page", "clinical", "content"), fields=F.get(F.transform(F.array(F.lower(text.body(F.col("content")))), unsaid), 0))
-    page = rows.filter("fields <> ''")
-    return _rows(page, "content_coverage", "warning", _quoted("Content from page ", F.col("page").cast("string"), " not reflected in summary: ", F.col("fields")))
+    pages = F.filter(F.transform("facts", of_page), lambda p: p["fields"] != "")
+    return F.when(body.isNotNull(), F.transform(pages, lambda p: _issue(check, "warning", "Content from page ", p["at"], " not reflected in summary: ", p["fields"])))
 
 
-def provider_availability(letters: DataFrame, joined: DataFrame) -> DataFrame:
-    """Letters without provider whose pages have none either, and providers that no page of theirs mentions."""
-    token = F.lower(F.get(F.split("provider", r"[,\s]+"), 0))
-    on_page = joined.groupBy("index").agg(
-        F.bool_or(F.coalesce(text.provider_present(field_text(F.col("r"), "provider")), F.lit(False))).alias("named"),
-        F.bool_or(F.coalesce(F.contains(F.lower("source"), token), F.lit(False))).alias("seen"),
+def _provider(check: str) -> Column:
+    """A letter without provider whose pages have none either, or a provider that no page mentions."""
+    named, seen = (F.coalesce(c, F.lit(False)) for c in ("named", "seen"))
+    return F.concat(
+        issue(~F.col("present") & ~named, check, "info", F.lit("No provider name available for review")),
+        issue(F.col("present") & ~seen, check, "info", _quoted("Provider '", F.col("provider"), "' not found in source page text")),
     )
-    rows = letters.join(on_page, "index", "left").fillna(False, ["named", "seen"]).withColumn("present", F.coalesce(text.provider_present(F.col("provider")), F.lit(False)))
-    none = _rows(rows.filter("not present and not named"), "provider_availability", "info", F.lit("No provider name available for review"))
-    unseen = _rows(rows.filter("present and not seen"), "provider_availability", "info", _quoted("Provider '", F.col("provider"), "' not found in source page text"))
-    return none.unionByName(unseen)
+
+
+def checked(letters: DataFrame, extracts: DataFrame, checks: Sequence[str] = CHECKS) -> DataFrame:
+    """Letters with ``issues``: those of the named checks, of one grouped pass over the extracts."""
+    run = ["run_id"] if "run_id" in letters.columns and "run_id" in extracts.columns else []
+    facts = page_facts(letters, extracts, checks)
+    rows = letters.join(facts, [*run, "index"], "left")
+    read, arrays = {}, []
+    if "dos_verification" in checks:
+        read |= {"unknown": F.lower(text.strip(F.coalesce("date", F.lit("")))).isin("unknown", ""), "said": text.strip(F.col("date")), "date_as": dates.day_and_plain(F.col("date"))}
+        arrays.append(_dates("dos_verification"))
+    if "content_coverage" in checks:
+        read["body"] = F.when(~text.blank(F.col("content")), F.lower(text.body(F.col("content"))))
+        arrays.append(_coverage("content_coverage"))
+    if "provider_availability" in checks:
+        read["present"] = F.coalesce(text.provider_present(F.col("provider")), F.lit(False))
+        arrays.append(_provider("provider_availability"))
+    none = F.array().cast("array<struct<check:string,severity:string,message:string>>")
+    return once(once(rows, **read), issues=F.concat(*[F.coalesce(a, none) for a in arrays])).select(*letters.columns, "issues")
+
+
+def issue_rows(letters: DataFrame, extracts: DataFrame, checks: Sequence[str] = CHECKS) -> DataFrame:
+    """index, check, severity and message of every issue of the named checks."""
+    return checked(letters, extracts, checks).select("index", F.inline("issues"))
 
 
 def redundancy(letters: DataFrame) -> DataFrame:
@@ -117,14 +168,12 @@ def review(letters: DataFrame, extracts: DataFrame) -> DataFrame:
     A letter flagged for redundancy only shows neither date, provider, pages
     nor category.
     """
-    joined = letter_extracts(letters, extracts)
-    own = date_of_service(joined).unionByName(coverage(joined)).unionByName(provider_availability(letters, joined))
-    every = own.withColumn("own", F.lit(True)).unionByName(redundancy(letters).withColumn("own", F.lit(False)))
-    issues = F.array_sort(F.collect_list(F.struct("check", "severity", "message"))).alias("issues")
-    found = every.groupBy("index").agg(issues, F.bool_or("own").alias("own"))
-    shown = letters.select("index", "date", "provider", _category(letters).alias("category"), page_ranges(F.array_distinct("pages")).alias("pages"), F.size(F.coalesce("pages", F.array())).alias("page_count"))
-    mine = [F.when(F.col("own"), F.col(c)).alias(c) for c in ("date", "provider", "category", "pages", "page_count")]
-    return counted(found.join(shown, "index").select("index", *mine, "issues"))
+    similar = redundancy(letters).groupBy("index").agg(F.collect_list(F.struct("check", "severity", "message")).alias("similar"))
+    rows = checked(letters, extracts).join(similar, "index", "left").withColumn("own", F.size("issues") > 0)
+    every = F.array_sort(F.concat("issues", F.coalesce("similar", F.array().cast("array<struct<check:string,severity:string,message:string>>"))))
+    shown = {"date": F.col("date"), "provider": F.col("provider"), "category": _category(letters), "pages": page_ranges(F.array_distinct("pages")), "page_count": F.size(F.coalesce("pages", F.array()))}
+    rows = rows.withColumn("issues", every).filter(F.size("issues") > 0)
+    return counted(rows.select("index", *[F.when(F.col("own"), c).alias(n) for n, c in shown.items()], "issues"))
 
 
 def summary(findings: DataFrame, letters: DataFrame) -> DataFrame:
@@ -139,7 +188,7 @@ def by_check(findings: DataFrame) -> DataFrame:
     return rows.groupBy("check").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
 
 
-def qa_rows(findings: DataFrame) -> DataFrame:
-    """The seven report columns: FAIL with an error, else WARN; the time stays blank."""
+def qa_rows(findings: DataFrame, *more: str) -> DataFrame:
+    """The seven report columns and ``more``: FAIL with an error, else WARN; the time stays blank."""
     notes = F.array_join(F.transform("issues", lambda i: i["message"]), "; ")
-    return findings.select("provider", "pages", "category", F.col("date").alias("dos"), notes.alias("notes"), F.when(F.col("errors") > 0, "FAIL").otherwise("WARN").alias("status"), F.lit("").alias("minutes"))
+    return findings.select("provider", "pages", "category", F.col("date").alias("dos"), notes.alias("notes"), F.when(F.col("errors") > 0, "FAIL").otherwise("WARN").alias("status"), F.lit("").alias("minutes"), *more)

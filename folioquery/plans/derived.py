@@ -45,7 +45,8 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    rows = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("o_orderkey").alias("letter"), "o_orderdate", "c_name")
+    # the checks cost far more than the rows, which one small file holds: they are dealt out first
+    rows = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("o_orderkey").alias("letter"), "o_orderdate", "c_name").repartition("letter")
     k, said, name = F.col("letter"), F.date_format("o_orderdate", "MMMM d, yyyy"), F.col("c_name")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     v = k % 8
@@ -93,8 +94,14 @@ issues AS (
  UNION ALL SELECT letter, 'content_length', 'warning', 'Summary body is ' || length(body) || ' chars for ' || n || ' pages (expected >= ' || n * 20 || ')' FROM headed WHERE n > 2 AND length(body) < n * 20)"""
 
 
+REPEATED = ("gait", "neck", "hand", "knee", "hip", "back", "wrist", "elbow", "ankle", "thumb", "toe", "rib")
+
+
 def reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Letters from orders and extracts from their lines; a page's number is unique over all."""
+    """Letters from orders and extracts from their lines; a page's number is unique over all.
+
+    Some letters repeat the text of others of their block of numbers.
+    """
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     page = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     pages = li.groupBy(F.col("l_orderkey").alias("index")).agg(F.array_sort(F.collect_set(page)).alias("pages"))
@@ -103,7 +110,8 @@ def reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         o.select(F.col("o_orderkey").alias("index"), "o_orderdate").join(pages, "index")
         .select(
             "index", F.when(k % 5 == 0, "Unknown").otherwise(day("o_orderdate")).alias("date"), F.when(k % 4 == 1, "Smith, MD").when(k % 4 > 1, "Jones, MD").alias("provider"),
-            F.array(F.lit("any")).alias("category"), "pages", F.size("pages").alias("page_count"), F.lit("head\nThe lumbar spine shows changes").alias("content"),
+            F.array(F.lit("any")).alias("category"), "pages", F.size("pages").alias("page_count"),
+            F.concat(F.lit("head\nThe lumbar spine shows changes"), F.when(k % 16 == 3, F.concat(*[F.concat(F.lit(f" {w}"), F.floor(k / 64).cast("string")) for w in REPEATED])).otherwise("")).alias("content"),
         )
     )
     n, key = F.col("l_linenumber"), F.col("l_orderkey")
@@ -128,4 +136,11 @@ dos AS (
   FROM (SELECT "index", min(us) AS us, arg_min(ship, us) AS ship, min(ordered) AS ordered, min(page) AS page FROM r WHERE NOT unknown AND n = 1 AND "index" % 10 IN (0, 3) GROUP BY 1) WHERE ship <> ordered),
 coverage AS (SELECT "index", 'Content from page ' || page || ' not reflected in summary: diagnosis' AS message FROM r WHERE "index" % 6 <> 0),
 providers AS (SELECT "index", 'No provider name available for review' AS message FROM r WHERE "index" % 4 = 0 GROUP BY 1 HAVING NOT ("index" % 8 = 0 AND count(*) FILTER (n % 2 = 0) > 0)
- UNION ALL SELECT DISTINCT "index", 'Provider ''Jones, MD'' not found in source page text' FROM r WHERE "index" % 4 > 1)"""
+ UNION ALL SELECT DISTINCT "index", 'Provider ''Jones, MD'' not found in source page text' FROM r WHERE "index" % 4 > 1),
+paged AS (SELECT DISTINCT "index", page, page - row_number() OVER (PARTITION BY "index" ORDER BY page) AS island FROM (SELECT DISTINCT "index", page FROM r)),
+listed AS (SELECT "index", string_agg(CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE lo || '-' || hi END, ', ' ORDER BY lo) AS pages, CAST(sum(k) AS INTEGER) AS n FROM (SELECT "index", island, min(page) AS lo, max(page) AS hi, count(*) AS k FROM paged GROUP BY 1, 2) GROUP BY 1),
+own AS (SELECT "index", any_value(listed.pages) AS pages, any_value(listed.n) AS n, CASE WHEN "index" % 4 = 1 THEN 'Smith, MD' WHEN "index" % 4 > 1 THEN 'Jones, MD' END AS provider, any_value(ordered) AS ordered FROM r JOIN listed USING ("index") GROUP BY "index"),
+redundancy AS (SELECT a."index", 'Similar to letter at pages ' || b.pages || ' (' || coalesce(b.provider, 'Unknown') || ')' AS message
+  FROM own a JOIN own b ON a."index" % 16 = 3 AND b."index" % 16 = 3 AND a."index" // 64 = b."index" // 64 AND a."index" <> b."index"),
+every AS (SELECT "index", 'dos_verification' AS "check", severity, message FROM dos UNION ALL SELECT "index", 'content_coverage', 'warning', message FROM coverage
+ UNION ALL SELECT "index", 'provider_availability', 'info', message FROM providers UNION ALL SELECT "index", 'redundancy', 'warning', message FROM redundancy)"""

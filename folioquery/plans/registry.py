@@ -315,28 +315,37 @@ def scorecard_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {derived.REVIEW_SQL} SELECT \"index\", severity, message FROM dos")
 def review_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters, extracts = derived.reviewed(spark, sf_dir)
-    return review_checks.date_of_service(review_checks.letter_extracts(letters, extracts)).select("index", "severity", "message")
+    return review_checks.issue_rows(letters, extracts, ["dos_verification"]).select("index", "severity", "message")
 
 
 @query(f"WITH {derived.REVIEW_SQL} SELECT \"index\", message FROM coverage")
 def review_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters, extracts = derived.reviewed(spark, sf_dir)
-    return review_checks.coverage(review_checks.letter_extracts(letters, extracts)).select("index", "message")
+    return review_checks.issue_rows(letters, extracts, ["content_coverage"]).select("index", "message")
 
 
 @query(f"WITH {derived.REVIEW_SQL} SELECT \"index\", message FROM providers")
 def review_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters, extracts = derived.reviewed(spark, sf_dir)
-    return review_checks.provider_availability(letters, review_checks.letter_extracts(letters, extracts)).select("index", "message")
+    return review_checks.issue_rows(letters, extracts, ["provider_availability"]).select("index", "message")
 
 
-@query(f"""WITH {derived.REVIEW_SQL}, every AS (SELECT 'dos_verification' AS "check", severity FROM dos UNION ALL SELECT 'content_coverage', 'warning' FROM coverage UNION ALL SELECT 'provider_availability', 'info' FROM providers)
-SELECT "check", count(*) AS n, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM every GROUP BY 1""")
+@query(f"""WITH {derived.REVIEW_SQL} SELECT "check", count(*) AS n, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM every GROUP BY 1""")
 def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters, extracts = derived.reviewed(spark, sf_dir)
     return review_checks.by_check(review_checks.review(letters, extracts))
 
 
+@query(f"""WITH {derived.REVIEW_SQL}, f AS (SELECT "index", count(*) FILTER (severity = 'error') AS errors, bool_or("check" <> 'redundancy') AS mine, string_agg(message, '; ' ORDER BY "check", severity, message) AS notes FROM every GROUP BY 1)
+SELECT "index", CASE WHEN mine THEN provider END AS provider, CASE WHEN mine THEN pages END AS pages, CASE WHEN mine THEN 'any' END AS category,
+ CASE WHEN mine THEN CASE WHEN "index" % 5 = 0 THEN 'Unknown' ELSE ordered END END AS dos, CASE WHEN mine THEN n END AS page_count, notes, CASE WHEN errors > 0 THEN 'FAIL' ELSE 'WARN' END AS status FROM f JOIN own USING ("index")""")
+def review_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding's report columns and its number of pages."""
+    letters, extracts = derived.reviewed(spark, sf_dir)
+    findings = review_checks.review(letters, extracts)
+    return review_checks.qa_rows(findings, "index", "page_count").select("index", "provider", "pages", "category", "dos", "page_count", "notes", "status")
+
+
 from folioquery.plans import index_queries, source_queries  # noqa: E402
 
 for _more in (index_queries, source_queries):
