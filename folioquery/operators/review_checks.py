@@ -172,7 +172,8 @@ def review(letters: DataFrame, extracts: DataFrame) -> DataFrame:
     rows = checked(letters, extracts).join(similar, "index", "left").withColumn("own", F.size("issues") > 0)
     every = F.array_sort(F.concat("issues", F.coalesce("similar", F.array().cast("array<struct<check:string,severity:string,message:string>>"))))
     shown = {"date": F.col("date"), "provider": F.col("provider"), "category": _category(letters), "pages": page_ranges(F.array_distinct("pages")), "page_count": F.size(F.coalesce("pages", F.array()))}
-    rows = rows.withColumn("issues", every).filter(F.size("issues") > 0)
+    # sorted once a row: the filter, the counts and the result read them
+    rows = once(rows.filter(F.col("own") | F.col("similar").isNotNull()), issues=every)
     return counted(rows.select("index", *[F.when(F.col("own"), c).alias(n) for n, c in shown.items()], "issues"))
 
 

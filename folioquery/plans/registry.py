@@ -15,6 +15,7 @@ from folioquery.functions import similarity
 from folioquery.functions.pages import expand_pages, page_ranges
 from folioquery.operators import first_match, letter_checks, overlap_join, page_map, review_checks, run_inspection, token_join
 from folioquery.plans import derived
+from folioquery.shared import cut
 
 FLAGSHIP = "reconcile_same"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -333,7 +334,7 @@ def review_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {derived.REVIEW_SQL} SELECT "check", count(*) AS n, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM every GROUP BY 1""")
 def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters, extracts = derived.reviewed(spark, sf_dir)
-    return review_checks.by_check(review_checks.review(letters, extracts))
+    return review_checks.by_check(review_checks.review(cut(letters), extracts))
 
 
 @query(f"""WITH {derived.REVIEW_SQL}, f AS (SELECT "index", count(*) FILTER (severity = 'error') AS errors, bool_or("check" <> 'redundancy') AS mine, string_agg(message, '; ' ORDER BY "check", severity, message) AS notes FROM every GROUP BY 1)
@@ -342,7 +343,7 @@ SELECT "index", CASE WHEN mine THEN provider END AS provider, CASE WHEN mine THE
 def review_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding's report columns and its number of pages."""
     letters, extracts = derived.reviewed(spark, sf_dir)
-    findings = review_checks.review(letters, extracts)
+    findings = review_checks.review(cut(letters), extracts)
     return review_checks.qa_rows(findings, "index", "page_count").select("index", "provider", "pages", "category", "dos", "page_count", "notes", "status")
 
 
