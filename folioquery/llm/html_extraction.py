@@ -48,13 +48,19 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = frozenset("body table td th ul ol dl article section div main aside nav footer header form blockquote".split())
 #: Elements that are never text, elements that are furniture unless they wrap the page, and roles that are.
 NEVER = frozenset("head title script style noscript template nav iframe button select textarea input svg canvas object embed audio video dialog menu".split())
+CONTROLS = frozenset("button input select textarea".split())
 FURNITURE = frozenset("footer aside form header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Words that name furniture, alone or with the plain words below.
 WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist disqus reply replies respond notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget widgets skip hidden".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav aside menu nav navbar navigation breadcrumb breadcrumbs adsbygoogle adsense alert alerts pagination pager footer masthead topbar toolbar comment comments commentlist disqus reply replies respond notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget widgets skip hidden".split()
 )
 PLAIN = frozenset("site page main global top bottom left right primary secondary box bar list section container wrapper wrap area block slot unit item items post posts article articles link links button buttons icons form header inner outer content body text title thread panel row col column group image".split())
+#: Nouns that name furniture whatever stands before them, and words that do wherever they stand.
+HEADS = frozenset("ad ads advert adverts advertisement advertisements comment comments commentlist sidebar sidenav pagination newsletter signup login popup modal notice notices alert alerts nav navbar navigation footer".split())
+ANYWHERE = frozenset("breadcrumb breadcrumbs gdpr adsbygoogle adsense".split())
+#: Words that with a plain one behind them name a notice, and words that alone name furniture only around links or controls.
+NOTICES, WEAK = frozenset("cookie cookies consent".split()), frozenset("share sharing social".split())
 #: Words that turn the sense of a class: an element that has a sidebar is none.
 TURNED = frozenset("has with without no non not is".split())
 MARKS = frozenset("article main".split())
@@ -65,15 +71,25 @@ CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 COMMAS = re.compile("[,،、，]")
 CUT_OFF = re.compile("<(?=[A-Za-z/!?]|$)")
 BODY = 1
-NAMED, LOWER = 1, 2
+NAMED, LOWER, BARE = 1, 2, 3
 
 
 def named(token: str) -> int:
-    """What one token of a class or id says: furniture, a lower score, or nothing."""
+    """What one token of a class or id says: furniture, a lower score, furniture around links or controls, or nothing.
+
+    The last word that is not plain is the token's noun. A noun of HEADS decides, with
+    any words before it; other furniture words decide only where no unknown word stands
+    beside them, and lower the score elsewhere.
+    """
     words = [w for w in SPLIT.split(CAMEL.sub(r"\1-\2", token).lower()) if w]
     if not any(w in WORDS for w in words) or any(w in TURNED for w in words):
         return 0
-    return NAMED if all(w in WORDS or w in PLAIN or w.isdigit() for w in words) else LOWER
+    if len(words) == 1 and words[0] in WEAK:
+        return BARE
+    nouns = [w for w in words if w not in PLAIN and not w.isdigit()]
+    if nouns[-1] in HEADS or any(w in ANYWHERE for w in words) or (words[-1] in PLAIN and any(w in NOTICES for w in words)):
+        return NAMED
+    return NAMED if all(w in WORDS for w in nouns) else LOWER
 
 
 class Page(HTMLParser):
@@ -82,14 +98,14 @@ class Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent = ["#", "body"], [-1, 0]
-        self.never, self.named, self.lower, self.mark = [False, False], [False, False], [False, False], [False, False]
+        self.never, self.named, self.lower, self.mark, self.bare = ([False, False] for _ in range(5))
         self.items: list[tuple[int, str | None]] = []  # (element, text); a None text ends a block
         self.open, self.many = [0, BODY], {"body": 1}
         self.known: dict[str, int] = {}
 
-    def _look(self, tag: str, attrs) -> tuple[bool, bool, bool, bool]:
-        """Never text; named furniture; named against; marked as the article."""
-        never, furniture, lower, mark = tag in NEVER, tag in FURNITURE, False, tag in MARKS
+    def _look(self, tag: str, attrs) -> tuple[bool, bool, bool, bool, bool]:
+        """Never text; named furniture; named against; marked as the article; furniture around links or controls."""
+        never, furniture, lower, mark, bare = tag in NEVER, tag in FURNITURE, False, tag in MARKS, False
         in_article = self.many.get("article", 0) + self.many.get("main", 0) > 0
         if tag == "header":
             furniture = not in_article
@@ -105,8 +121,9 @@ class Page(HTMLParser):
                     if token not in self.known:
                         self.known[token] = named(token)
                     furniture = furniture or (self.known[token] == NAMED and not (tag == "header" and in_article))
-                    lower = lower or self.known[token] == LOWER
-        return never, furniture, lower, mark and not furniture
+                    lower = lower or self.known[token] in (LOWER, BARE)
+                    bare = bare or self.known[token] == BARE
+        return never, furniture, lower, mark and not furniture, bare
 
     def _pop(self, tags, until) -> None:
         """Closes open elements from one of ``tags`` on, unless one of ``until`` lies in between."""
@@ -138,13 +155,14 @@ class Page(HTMLParser):
         elif tag in ("br", "td", "th"):
             self.items.append((at, " "))
         if tag not in VOID:
-            never, furniture, lower, mark = self._look(tag, attrs)
+            never, furniture, lower, mark, bare = self._look(tag, attrs)
             self.tag.append(tag)
             self.parent.append(at)
             self.never.append(self.never[at] or never)
             self.named.append(furniture)
             self.lower.append(lower)
             self.mark.append(mark)
+            self.bare.append(bare)
             self.open.append(len(self.tag) - 1)
             self.many[tag] = self.many.get(tag, 0) + 1
 
@@ -181,15 +199,18 @@ class Scored:
             self.linked[i] = self.tag[i] == "a" or self.linked[up]
             self.block[i] = i if self.tag[i] in BLOCKS else self.block[up]
         texts = [(e, t) for e, t in page.items if t and not t.isspace()]
-        plain = [0] * n
+        plain, whole = [0] * n, [0] * n
         for e, text in texts:
+            whole[e] += len(text)
             plain[e] += 0 if self.linked[e] else len(text)
+        whole, controls = self._up(whole), self._up([t in CONTROLS for t in self.tag])
         heads = [self.tag[i] == "h1" and not page.never[i] for i in range(n)]
         plain, heads, marks = self._up(plain), self._up(heads), self._up(page.mark)
         self.drop = [False] * n
         for i in range(1, n):
             wraps = page.named[i] and 2 * plain[i] > plain[0] and (marks[i] or heads[i] or plain[i] == plain[0])
-            self.drop[i] = self.drop[self.parent[i]] or page.never[i] or (page.named[i] and not (wraps and self.tag[i] not in ("footer", "aside")))
+            strip = page.bare[i] and (2 * plain[i] <= whole[i] or (controls[i] > 0 and plain[i] < 80))
+            self.drop[i] = self.drop[self.parent[i]] or page.never[i] or strip or (page.named[i] and not (wraps and self.tag[i] not in ("footer", "aside")))
         self.size, self.links = [0] * n, [0] * n
         for e, text in texts:
             if not self.drop[e]:

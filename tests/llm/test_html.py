@@ -114,3 +114,17 @@ def test_registered_query(spark, tmp_path):
     got = op8_html_extraction(spark, str(tmp_path))
     assert got.dtypes == [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "u", "a & é", 5), (1, "u", "a & é", 5), (2, None, "", 0), (None, "v", "", 0)], key=repr)
+
+
+@pytest.mark.parametrize("box", ["<article>{}</article>", "<div>{}</div>", "<main><div>{}</div></main>"])
+def test_nouns_of_classes_decide(box):
+    prose = "".join(f"<p>Paragraph {i}, with commas, and words enough, to be the article of this page.</p>" for i in range(8))
+    text = [f"Paragraph {i}, with commas, and words enough, to be the article of this page." for i in range(8)]
+    for name in ("reader-comments", "user-comments", "fb-comments", "adsbygoogle", "google-ad", "dfp-ad", "cookie-law-bar", "breadcrumb-trail", "email-signup", "alert", "siteNotice", "promo-2"):
+        assert main_text(f"<body>{box.format(prose + f'<div class={name}><p>We use cookies, and more, and say so here.</p></div>')}</body>") == "\n\n".join(text), name
+    said = "Share price rose, said the board, and it will rise again, said others."
+    for name in ("share", "market-share", "social", "overflow-hidden", "cookie-recipe", "hero-banner-text-body-copy"):
+        got = main_text(f"<body>{box.format(prose[: prose.index('<p>Paragraph 4')] + f'<div class={name}><p>{said}</p></div>' + prose[prose.index('<p>Paragraph 4') :])}</body>")
+        assert got == "\n\n".join([*text[:4], said, *text[4:]]), name
+    links = "<div class=share>Share: <a href=#>on the first site</a> <a href=#>on the second</a></div><div class=social><button>Like</button> this page</div>"
+    assert main_text(f"<body>{box.format(prose + links)}</body>") == "\n\n".join(text)
