@@ -1,4 +1,4 @@
-"""One page against all pages of the other side."""
+"""Pages of one side against all pages of a side, and pages with the entries that hold them."""
 
 from __future__ import annotations
 
@@ -7,28 +7,18 @@ from pyspark.sql import functions as F
 
 from folioquery import fixed
 from folioquery.functions import similarity
-from folioquery.functions.text import blank
-from folioquery.operators import first_match
+from folioquery.operators import first_match, page_search
 
 
-def _against(one: DataFrame, texts: DataFrame) -> DataFrame:
-    """Every page of ``texts`` with its score against the one row of ``one``."""
-    page = one.select(similarity.fingerprint(F.col("text")).alias("one")).limit(1)
-    rows = texts.filter(~blank(F.col("text"))).select("physical", similarity.fingerprint(F.col("text")).alias("print"))
-    return rows.crossJoin(F.broadcast(page)).select("physical", similarity.similarity(F.col("one"), F.col("print")).alias("score"))
+def candidates(ones: DataFrame, texts: DataFrame) -> DataFrame:
+    """physical (of ``texts``), score, verdict and rank of the best pages for every page of ``ones``, whose number is ``one``."""
+    found = page_search.best_pages(ones, texts, "physical", fixed.SEARCH_SCORE, fixed.TOP_CANDIDATES)
+    return found.withColumnRenamed("page", "physical").withColumn("verdict", similarity.pair_confidence(F.col("score"))).orderBy("one", "rank")
 
 
-def candidates(one: DataFrame, texts: DataFrame) -> DataFrame:
-    """The best pages for a page, and what their scores mean."""
-    found = _against(one, texts).filter(F.col("score") > fixed.SEARCH_SCORE)
-    return first_match.top(found, None, "score", "physical").withColumn("verdict", similarity.pair_confidence(F.col("score")))
-
-
-def duplicates(one: DataFrame, texts: DataFrame) -> DataFrame:
-    """Other pages of the same side that repeat a page (rows carry physical)."""
-    own = one.select(F.col("physical").alias("self")).limit(1)
-    found = _against(one, texts).filter(F.col("score") > fixed.DUPLICATE_SCORE)
-    return found.join(own, F.col("physical") == F.col("self"), "left_anti").orderBy("physical")
+def duplicates(ones: DataFrame, texts: DataFrame) -> DataFrame:
+    """Other pages (physical) of the same side that repeat a page of ``ones`` (one), with their score."""
+    return page_search.pages_above(ones, texts, "physical", fixed.DUPLICATE_SCORE).withColumnRenamed("page", "physical").orderBy("one", "physical")
 
 
 def indexed(pages: DataFrame, mapping: DataFrame, entries: DataFrame) -> DataFrame:

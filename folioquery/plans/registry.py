@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from folioquery.functions import similarity
 from folioquery.functions.pages import expand_pages, page_ranges
 from folioquery.operators import first_match, letter_checks, overlap_join, page_map, review_checks, run_inspection, token_join
-from folioquery.plans import derived
+from folioquery.plans import derived, investigate
 from folioquery.shared import cut
 
 FLAGSHIP = "reconcile_same"
@@ -213,7 +213,7 @@ _SHARED = "CASE WHEN len(a.{c}) > 0 AND len(b.{c}) > 0 THEN len(list_intersect(a
 _PRINT = "CASE WHEN s > 0.7 THEN 'STRONG' || p WHEN s > 0.5 THEN 'LIKELY' || p WHEN s > 0.3 THEN 'WEAK' || p ELSE 'NO MATCH' END"
 
 
-def _fingerprint_sql() -> str:
+def _fingerprint_sql(pairs: str = "a.k = b.k AND ") -> str:
     words = "list_filter(string_split({t}, ' '), lambda w: w <> '')"
     return f"""
 f AS (SELECT k, side, full_text, {words.format(t="substr(full_text, 1, 201)")} AS preview, {words.format(t="substr(full_text, 1, 501)")} AS head,
@@ -221,9 +221,9 @@ f AS (SELECT k, side, full_text, {words.format(t="substr(full_text, 1, 201)")} A
   list_distinct(regexp_extract_all(full_text, '\\w+(?:,?\\s+(?:md|do|pa|np|dc|dds|phd|psyd))')) AS providers,
   list_distinct(regexp_extract_all(full_text, '(?:office visit|x-ray|mri|therapy|report|encounter|consultation|examination|treatment)')) AS terms
   FROM (SELECT k, side, trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) AS full_text FROM texts)),
-p AS (SELECT a.k, {_SHARED.format(c="dates", w="3.0")} AS s1, {_SHARED.format(c="providers", w="2.0")} AS s2, {_OVERLAP.format(x="a.preview", y="b.preview")} AS s3,
-  {_SHARED.format(c="terms", w="1.0")} AS s4, {_OVERLAP.format(x="a.head", y="b.head")} * 2.0 AS s5 FROM f a JOIN f b ON a.k = b.k AND a.side = 'yours' AND b.side = 'theirs'),
-scored AS (SELECT k, (coalesce(s1, 0) + coalesce(s2, 0) + s3 + coalesce(s4, 0) + s5) / (2 + (s1 IS NOT NULL)::INT + (s2 IS NOT NULL)::INT + (s4 IS NOT NULL)::INT) AS s FROM p)"""
+p AS (SELECT a.k, b.k AS other, {_SHARED.format(c="dates", w="3.0")} AS s1, {_SHARED.format(c="providers", w="2.0")} AS s2, {_OVERLAP.format(x="a.preview", y="b.preview")} AS s3,
+  {_SHARED.format(c="terms", w="1.0")} AS s4, {_OVERLAP.format(x="a.head", y="b.head")} * 2.0 AS s5 FROM f a JOIN f b ON {pairs}a.side = 'yours' AND b.side = 'theirs'),
+scored AS (SELECT k, other, (coalesce(s1, 0) + coalesce(s2, 0) + s3 + coalesce(s4, 0) + s5) / (2 + (s1 IS NOT NULL)::INT + (s2 IS NOT NULL)::INT + (s4 IS NOT NULL)::INT) AS s FROM p)"""
 
 
 @query(f"""WITH base AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, c_name, o_orderpriority AS w FROM orders JOIN customer ON o_custkey = c_custkey),
@@ -251,6 +251,30 @@ def confidence_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("action", similarity.action(F.col("status"), F.col("confidence"), F.col("l_linenumber")))
 
 
+_SIDES_SQL = """base AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, c_name, o_orderpriority AS w FROM orders JOIN customer ON o_custkey = c_custkey),
+texts AS (SELECT k, 'yours' AS side, month(d) || '/' || day(d) || '/' || year(d) || '  ' || c_name || ', MD Office Visit ' || w AS t FROM base WHERE k % 50 = 0
+UNION ALL SELECT k, 'theirs', CASE k % 3 WHEN 0 THEN month(d) || '/' || day(d) || '/' || year(d) WHEN 1 THEN month(d) || '/' || year(d) ELSE '1/1/1990' END || ' ' || c_name || CASE k % 4 WHEN 0 THEN '' ELSE ', MD ' END || CASE k % 2 WHEN 0 THEN ' office visit ' ELSE ' therapy ' END || w FROM base)"""
+
+
+@query(f"""WITH {_SIDES_SQL}, {_fingerprint_sql("")},
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, other) AS n FROM scored WHERE s > 0.5)
+SELECT k AS one, other AS physical, round(s, 6) AS score, CASE WHEN s > 0.8 THEN 'SAME DOCUMENT' ELSE 'LIKELY SAME' END AS verdict, CAST(n AS INTEGER) AS rank FROM r WHERE n <= 3""")
+def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of their pages for your pages whose order is divisible by 50, among all of theirs."""
+    rows = derived.page_texts(spark, sf_dir).withColumnRenamed("o_orderkey", "physical")
+    ones = rows.filter(F.col("physical") % 50 == 0).select("physical", F.col("yours").alias("text"))
+    found = investigate.candidates(ones, rows.select("physical", F.col("theirs").alias("text")))
+    return found.select("one", "physical", F.round("score", 6).alias("score"), "verdict", "rank")
+
+
+@query(f"""WITH texts AS (SELECT doc_id AS k, 'theirs' AS side, text AS t FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, 'yours', text FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL),
+{_fingerprint_sql("a.k <> b.k AND ")} SELECT k AS one, other AS physical, round(s, 6) AS score FROM scored WHERE s > 0.98""")
+def page_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, read as pages, that repeat one whose id is divisible by 50."""
+    pages = derived.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("physical"), "text")
+    return investigate.duplicates(pages.filter(F.col("physical") % 50 == 0), pages).select("one", "physical", F.round("score", 6).alias("score"))
+
+
 @query("""WITH item AS (SELECT arg_min(text, item_id) AS t FROM benchmark),
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS a, (SELECT list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda x: x <> '') FROM item) AS b FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END AS score FROM w)
