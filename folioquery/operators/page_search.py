@@ -22,11 +22,14 @@ from pyspark.sql import functions as F
 from folioquery import fixed
 from folioquery.functions import similarity
 from folioquery.functions.text import blank
+from folioquery.shared import cut
 
 LISTS = ("dates", "providers", "terms")
 WORDS = ("preview", "head")
 #: Pages whose words are counted together.
 CHUNK = 256
+#: Tasks of one search.
+MOST_TASKS = 20_000
 #: Room for rounding between a bound and the score it bounds.
 SLACK = 1e-9
 FOUND = "query string, page string, score double, compared long, counted long"
@@ -61,6 +64,16 @@ class _Lists:
         flat = np.concatenate([np.asarray(x, object) for x in lists]) if len(lists) else np.empty(0, object)
         codes, values = pd.factorize(flat)
         self.codes, self.numbers = codes, {v: i for i, v in enumerate(values)}
+        by_value = np.argsort(codes, kind="stable")
+        self.holders = np.repeat(np.arange(len(lists)), sizes)[by_value]
+        self.first = np.searchsorted(codes[by_value], np.arange(len(values) + 1))
+
+    def shared_by_all(self, wanted) -> np.ndarray:
+        """How many of the wanted values each row holds, from the rows of each value."""
+        out = np.zeros(len(self.sizes), np.int64)
+        for i in (self.numbers[v] for v in wanted if v in self.numbers):
+            out[self.holders[self.first[i] : self.first[i + 1]]] += 1
+        return out
 
     def shared(self, wanted, rows: np.ndarray) -> np.ndarray:
         """How many of the wanted values each of the rows holds."""
@@ -85,7 +98,7 @@ def _search(query, parts: dict[str, _Lists], least: float, k: int | None) -> tup
     for c in LISTS:
         sizes, mine = parts[c].sizes, len(query[c])
         both = (sizes > 0) & (mine > 0)
-        share = np.divide(parts[c].shared(query[c], every), np.maximum(sizes, mine), out=np.zeros(len(every)), where=both)
+        share = np.divide(parts[c].shared_by_all(query[c]), np.maximum(sizes, mine), out=np.zeros(len(every)), where=both)
         before[c], present = share * weights[c], present + both
     most = {c: _overlap(np.minimum(len(query[c]), parts[c].sizes), len(query[c]), parts[c].sizes) for c in WORDS}
 
@@ -94,13 +107,14 @@ def _search(query, parts: dict[str, _Lists], least: float, k: int | None) -> tup
 
     bound = score(every, most["preview"], most["head"])
     order = every[bound > least - SLACK]
-    order = order[np.argsort(-bound[order], kind="stable")]
+    if k is not None:
+        order = order[np.argsort(-bound[order], kind="stable")]
     found, scores, floor, counted = [np.empty(0, np.int64)], [np.empty(0)], least, 0
     for at in range(0, len(order), CHUNK):
         rows = order[at : at + CHUNK]
         rows = rows[bound[rows] >= floor - SLACK]
         if not len(rows):
-            break
+            break  # the order is by bound wherever the floor can rise
         preview = _overlap(parts["preview"].shared(query["preview"], rows), len(query["preview"]), parts["preview"].sizes[rows])
         open_ = score(rows, preview, most["head"][rows]) >= floor - SLACK
         rows, preview = rows[open_], preview[open_]
@@ -132,21 +146,24 @@ def search(ones: DataFrame, pages: DataFrame, least: float, k: int | None, query
         classes = rows.groupBy("class").agg(F.any_value("parts").alias("parts"))
         sides.append((classes, max(1, math.ceil(rows.count() / size))))
     (queries, q), (texts, p) = sides
+    tasks = min(2 * q * p, MOST_TASKS)  # by number, as blocks are small in bytes and long in work
     own_q, own_p = (F.pmod(F.xxhash64("class"), F.lit(n)).cast("int") for n in (q, p))
     every_q, every_p = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (q, p))
     left = queries.select("class", "parts.*", own_q.alias("q")).withColumn("p", every_p)
     right = texts.select("class", "parts.*", own_p.alias("p")).withColumn("q", every_q)
 
     def block(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
+        out: list[tuple] = []
         if len(mine) and len(theirs):
             parts = {c: _Lists(theirs[c]) for c in (*LISTS, *WORDS)}
             names = theirs["class"].to_numpy()
             for query in mine.to_dict("records"):
                 rows, scores, counted = _search(query, parts, least, k)
-                out.append(pd.DataFrame({"query": query["class"], "page": names[rows], "score": scores, "compared": len(names), "counted": counted}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "page": [], "score": [], "compared": [], "counted": []})
+                out.append((np.full(len(rows), query["class"], object), names[rows], scores, np.full(len(rows), len(names)), np.full(len(rows), counted)))
+        columns = {"query": object, "page": object, "score": float, "compared": np.int64, "counted": np.int64}
+        return pd.DataFrame({c: np.concatenate([np.empty(0, t), *[x[i] for x in out]]).astype(t) for i, (c, t) in enumerate(columns.items())})
 
+    left, right = (side.repartition(tasks, "q", "p") for side in (left, right))
     return left.groupBy("q", "p").cogroup(right.groupBy("q", "p")).applyInPandas(block, FOUND)
 
 
@@ -155,7 +172,7 @@ def best_pages(ones: DataFrame, pages: DataFrame, key: str, least: float, k: int
 
     Pages without text are in no result. A class of copies gives its k first pages.
     """
-    mine, theirs = classed(ones, key), classed(pages, key)
+    mine, theirs = cut(classed(ones, key)), cut(classed(pages, key))
     found = search(mine, theirs, least, k).select("query", "page", "score")
     by_class, by_query = Window.partitionBy("class").orderBy("key"), Window.partitionBy("query").orderBy(F.desc("score"), "physical")
     few = theirs.select("class", "key").withColumn("n", F.row_number().over(by_class)).filter(F.col("n") <= k).select(F.col("class").alias("page"), F.col("key").alias("physical"))
@@ -165,7 +182,7 @@ def best_pages(ones: DataFrame, pages: DataFrame, key: str, least: float, k: int
 
 def pages_above(ones: DataFrame, pages: DataFrame, key: str, least: float) -> DataFrame:
     """key, page and score of every other page above ``least``, for every row of ``ones``; copies are expanded, as each is an answer."""
-    mine, theirs = classed(ones, key), classed(pages, key)
+    mine, theirs = cut(classed(ones, key)), cut(classed(pages, key))
     found = search(mine, theirs, least, None).select("query", "page", "score")
     members = theirs.select(F.col("class").alias("page"), F.col("key").alias("physical"))
     own = mine.select(F.col("class").alias("query"), F.col("key").alias("one"))
