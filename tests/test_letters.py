@@ -3,6 +3,7 @@
 
 
 from folioquery.operators import index_parsers, letter_checks, review_checks, run_inspection, token_join
+from folioquery.plans import index_queries
 from folioquery.sources import readers
 from folioquery.streaming import feed
 
@@ -126,6 +127,13 @@ def test_legacy_letters(spark):
     assert got == [("1/2/2024", "A Person", [], ["X"], 2, "body"), (None, None, [], [], 1, " all\n"), (None, None, [], [], 1, "")]
 
 
+def test_legacy_letters_keep_both_page_numbers(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = index_queries.legacy_letters(spark, sf).select("index", "page_count", "pages_in_document").collect()
+    orders = {r.k for r in spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderstatus <> 'P'").selectExpr("o_orderkey as k").collect()}
+    assert {r["index"]: (r.page_count, r.pages_in_document) for r in rows} == {k: (3, k % 7 + 1 if k % 4 else 1) for k in orders}
+
+
 def test_feed(spark, tmp_path):
     row = '{"run_id":"r","iteration":%d,"status":"%s","step_name":"s","finished":"2024-01-01T00:0%d:00Z"}\n'
     (tmp_path / "in").mkdir()
