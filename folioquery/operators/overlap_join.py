@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioquery.functions.columns import once
 from folioquery.functions.pages import page_runs
 
 
@@ -25,37 +26,58 @@ def _largest(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
 
 
 def interval_rows(entries: DataFrame, large: DataFrame) -> DataFrame:
-    """Entries (date, pages) with lo and hi: a row a run of pages in the date's one group, or a row a page, its group, for dates in ``large``."""
+    """Entries (date, pages) with lo and hi: a row a run of pages in the date's one group, or a row a page, its group, for dates in ``large``.
+
+    ``first`` marks the rows where a run begins; ``whole`` is the run of an entry that has one only.
+    """
     rows = entries.join(large.select("date", F.lit(True).alias("large")), "date", "left")
-    single = F.transform(F.array_distinct(F.filter("pages", lambda p: p.isNotNull())), lambda p: F.struct(p.alias("lo"), p.alias("hi")))
-    rows = rows.select("*", F.inline(F.when(F.col("large"), single).otherwise(page_runs(F.col("pages")))))
+    rows = once(rows, runs=page_runs(F.col("pages")))
+    single = F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["lo"], r["hi"]), lambda p: F.struct(p.alias("lo"), p.alias("hi"), (p == r["lo"]).alias("first")))))
+    run = F.transform("runs", lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi"), F.lit(True).alias("first")))
+    rows = rows.select(*entries.columns, "large", F.when(F.size("runs") == 1, F.get("runs", 0)).alias("whole"), F.inline(F.when(F.col("large"), single).otherwise(run)))
     return rows.withColumn("group", F.when(F.col("large"), F.col("lo").cast("long"))).drop("large")
 
 
-def same_dates(yours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Pairs with equal date and a common page.
+def _side(entries: DataFrame, large: DataFrame) -> DataFrame:
+    """Interval rows whose pages are left out where ``whole`` says them; group -1, which is no page, is that of a date that is not large."""
+    rows = interval_rows(entries, large).withColumn("group", F.coalesce("group", F.lit(-1)))
+    said = F.col("pages") == F.sequence(F.col("whole.lo"), F.col("whole.hi"))
+    return rows.withColumn("pages", F.when(F.col("whole").isNull() | ~said, F.col("pages")))
+
+
+def run_pairs(yours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Pairs of runs of entries of equal date that overlap, one row each.
 
     Entries have entry_id, date, pages and header. Pages are intervals: an entry is a row
     for each run of its pages, and the entries of a date meet by overlap. A date of more
     than DATE_ENTRIES entries (UNKNOWN, say) is not one group: its entries meet page by page,
-    and a page of very many entries is split, yours dealt, theirs copied. A pair is kept
-    where its first common page lies, so that it is one row.
+    and a page of very many entries is split, yours dealt, theirs copied. Two runs that overlap
+    begin to do so where one of them begins, so a page of one meets only the beginnings of the
+    other and two runs are one row, not one a page.
     """
     y = with_pages(yours).select("date", F.col("entry_id").alias("your_id"), "pages", F.col("header").alias("your_header"))
     t = with_pages(theirs).select("date", F.col("entry_id").alias("their_id"), "pages", F.col("header").alias("their_header"))
     large = _largest(y.select("date").unionByName(t.select("date")), ["date"], DATE_ENTRIES)
-    # -1 is no page: the one group of a date that is not large
-    sides = [interval_rows(d, large).withColumn("group", F.coalesce("group", F.lit(-1))) for d in (y, t)]
-    mine, other = sides[0].withColumnRenamed("pages", "your_pages"), sides[1].withColumnRenamed("pages", "their_pages")
+    # runs cost far more than the entries, which few small files may hold: they are dealt out first
+    mine, other = _side(y.repartition("your_id"), large), _side(t.repartition("their_id"), large)
     split = _largest(mine.select("date", "group").filter("group <> -1"), ["date", "group"], PAGE_ENTRIES)
     parts = F.coalesce("parts", F.lit(1))
-    mine = mine.join(split, ["date", "group"], "left").withColumn("part", F.pmod(F.xxhash64("your_id"), parts).cast("int")).drop("parts")
-    other = other.join(split, ["date", "group"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    other = other.withColumnsRenamed({"lo": "their_lo", "hi": "their_hi"})
-    met = mine.join(other, ["date", "group", "part"]).filter("lo <= their_hi and their_lo <= hi")
-    first = F.array_min(F.array_intersect("your_pages", "their_pages"))
-    kept = met.filter(first.between(F.greatest("lo", "their_lo"), F.least("hi", "their_hi")))
-    return kept.select("date", "your_id", "your_pages", "your_header", "their_id", "their_pages", "their_header")
+    # turn 0: every page of mine and the first ones of theirs; turn 1: the first ones of mine and the other pages of theirs
+    mine = mine.withColumn("turn", F.explode(F.when(F.col("first") & (F.col("group") != -1), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    other = other.withColumn("turn", F.when(F.col("first"), 0).otherwise(1))
+    mine = mine.join(split, ["date", "group"], "left").withColumn("part", F.pmod(F.xxhash64("your_id"), parts).cast("int")).drop("parts", "first")
+    other = other.join(split, ["date", "group"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts", "first")
+    mine, other = mine.withColumnRenamed("pages", "your_pages"), other.withColumnsRenamed({"pages": "their_pages", "lo": "their_lo", "hi": "their_hi", "whole": "their_whole"})
+    return mine.join(other, ["date", "group", "part", "turn"]).filter("lo <= their_hi and their_lo <= hi")
+
+
+def same_dates(yours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Pairs with equal date and a common page; a pair of entries of several runs is kept where its first common page lies."""
+    met = run_pairs(yours, theirs)
+    listed = {c: F.coalesce(c, F.sequence(F.col(w)["lo"], F.col(w)["hi"])) for c, w in (("your_pages", "whole"), ("their_pages", "their_whole"))}
+    first = F.array_min(F.array_intersect(*listed.values()))
+    kept = met.filter((F.col("whole").isNotNull() & F.col("their_whole").isNotNull()) | first.between(F.greatest("lo", "their_lo"), F.least("hi", "their_hi")))
+    return kept.select("date", "your_id", listed["your_pages"].alias("your_pages"), "your_header", "their_id", listed["their_pages"].alias("their_pages"), "their_header")
 
 
 def only(entries: DataFrame, matched: DataFrame, key: str) -> DataFrame:

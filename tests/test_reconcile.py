@@ -166,6 +166,19 @@ def test_overlap_by_runs_and_by_pages(spark, monkeypatch):
     assert every > sum(len({*p}) for _, d, p, _ in yours if p and d) - 2 and runs < every / 5
 
 
+def test_runs_of_a_large_date_meet_once_not_once_a_page(spark, monkeypatch):
+    monkeypatch.setattr(overlap_join, "DATE_ENTRIES", 1)
+    y = spark.createDataFrame([(f"y{k}", "UNKNOWN", [*range(k, k + 20), *range(k + 40, k + 45)], "h") for k in range(30)], ENTRY)
+    t = spark.createDataFrame([(f"t{k}", "UNKNOWN", list(range(k, k + 8)), "h") for k in range(40)], ENTRY)
+    runs = [(k + a, k + b) for k in range(30) for a, b in ((0, 19), (40, 44))]
+    expected = sum(lo <= k + 7 and k <= hi for lo, hi in runs for k in range(40))
+    assert overlap_join.run_pairs(y, t).count() == expected
+    pairs = {(f"y{i}", f"t{k}") for i in range(30) for k in range(40) if {*range(i, i + 20), *range(i + 40, i + 45)} & {*range(k, k + 8)}}
+    got = overlap_join.same_dates(y, t).collect()
+    assert len(got) == len(pairs) and {(r.your_id, r.their_id) for r in got} == pairs
+    assert all(r.their_pages == list(range(int(r.their_id[1:]), int(r.their_id[1:]) + 8)) for r in got)
+
+
 def test_page_runs(spark):
     from folioquery.functions.pages import page_runs
 
