@@ -66,6 +66,28 @@ def test_copies_are_one_class(pages):
     assert rows.select("class").distinct().count() < rows.count() - 80
 
 
+def test_pages_alike_in_their_preview_only_are_not_scored_in_full(spark):
+    start = " ".join(f"s{i}" for i in range(50))
+    rows = [(k, start + " " + " ".join(f"p{k}x{i}" for i in range(200))) for k in range(12)]
+    prints = page_search.classed(spark.createDataFrame(rows, "physical int, text string"), "physical")
+    found = page_search.search(prints, prints, fixed.DUPLICATE_SCORE, None).collect()
+    assert len(found) == 12 and all(r.query == r.page and r.compared == 12 and r.counted == 1 for r in found)
+
+
+def test_shared_values_are_counted_alike_from_rows_and_from_holders():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    rows = [rnd.sample(range(40), rnd.randrange(12)) for _ in range(300)]
+    block = page_search._Lists.read(pa.array(rows, pa.list_(pa.int64())))
+    wanted = np.array([3, 8, 21, 39, 77])
+    expected = [len({*r} & {*wanted.tolist()}) for r in rows]
+    every, known = np.arange(300), block.known(wanted)
+    assert block.shared_by_all(known).tolist() == block.shared(known, every).tolist() == expected
+    assert block.shared(known, every[:3]).tolist() == expected[:3] and sorted(block.of(7)) == sorted(rows[7])
+
+
 def test_nothing_to_search(spark, pages):
     none = spark.createDataFrame([], "physical int, text string")
     assert investigate.candidates(none, pages).count() == 0 and investigate.candidates(pages, none).count() == 0 and investigate.duplicates(none, none).count() == 0
