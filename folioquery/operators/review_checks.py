@@ -58,7 +58,8 @@ def page_facts(letters: DataFrame, extracts: DataFrame, checks: Sequence[str] =
     token = F.lower(F.get(F.split("provider", r"[,\s]+"), 0))
     pages = letters.select(*run, "index", token.alias("token"), F.explode(F.array_distinct("pages")).alias("page"))
     own = extracts.select(*run, (F.col("iteration") + 1).alias("page"), "result", "prompt")
-    rows = pages.join(own, [*run, "page"])
+    # parsing costs far more than the rows, which few small files may hold: they are dealt out by letter, as they are grouped below
+    rows = pages.join(own, [*run, "page"]).repartition(*run, "index")
     rows = once(rows, r=parse_result(F.col("result")), source=text.tagged_or_all(F.coalesce("prompt", F.lit("")), "processed_content")).drop("result", "prompt")
     said, of = [], [*run, "index"]
     if "dos_verification" in checks:

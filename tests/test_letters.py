@@ -142,3 +142,13 @@ def test_feed(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.succeeded, r.failed, r.other) for r in spark.table("feed").collect()] == [(1, 1, 1)]
+
+
+def test_extracts_are_dealt_out_before_they_are_parsed(spark):
+    letters = spark.createDataFrame([(1, "2024-01-02", "A B, MD", [1, 2], "head\nbody")], "index long, date string, provider string, pages array<long>, content string")
+    extracts = spark.createDataFrame([(0, '{"date":"2024-01-03"}', "x"), (1, '{"date":"2024-01-02"}', "y")], "iteration long, result string, prompt string").coalesce(1)
+    facts = review_checks.page_facts(letters, extracts)
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    parsed, dealt, met = (plan.index(x) for x in ("Generate inline", "RepartitionByExpression [index", "Join Inner"))
+    assert parsed < dealt < met  # a plan is written from its last step on
+    assert [f["found"] for f in facts.first()["facts"]] == ["2024-01-03", "2024-01-02"]
