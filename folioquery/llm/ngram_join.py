@@ -18,8 +18,9 @@ bound are formed:
 4. Components of these links are formed. A large column all of whose classes
    are in one component needs no more. The others' classes form families, cut
    into blocks; every block of classes outside the family's largest component
-   is multiplied with every block of the family, and only links are returned,
-   one for a class and component. So a group of near copies is never expanded
+   is multiplied with every block of the family, and only pairs of components
+   that link are returned, each once. They are the edges of a smaller graph, whose
+   components are the whole ones. So a group of near copies is never expanded
    into pairs, no component is lost, and a task holds two blocks.
 5. Links lie within components. The blocks of each component are multiplied
    with one another, and a block returns for each class the number of documents
@@ -240,7 +241,7 @@ def _paired(threshold: int):
 
 
 def _between(threshold: int):
-    """Links between a block of rows and a block of columns of one family, one for a row and component."""
+    """Links between a block of rows and a block of columns of one family, as pairs of their components' roots, each once."""
 
     def run(block: pa.Table) -> pa.Table:
         side, names, roots, sets = block["side"].to_pylist(), block["name"].to_pylist(), block["root"].to_pylist(), _sets_of(block)
@@ -250,12 +251,11 @@ def _between(threshold: int):
         size = np.array([len(sets[i]) for i in cols])
         number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
         root = np.array([number[roots[i]] for i in cols])
-        out = []
+        named, out = list(number), set()
         for i, have in zip(rows, overlaps([sets[i] for i in rows], [sets[i] for i in cols])):
             hit = np.flatnonzero((have >= bound(len(sets[i]), size, threshold)) & (root != number[roots[i]]))
-            _, at = np.unique(root[hit], return_index=True)
-            out += [(names[i], names[cols[j]]) for j in hit[at]]
-        return _table(LINKS, out)
+            out |= {(roots[i], named[r]) for r in np.unique(root[hit])}
+        return _table(LINKS, sorted(out))
 
     return run
 
@@ -301,7 +301,7 @@ def _links_of_pairs(pairs: DataFrame, bodies: DataFrame, threshold: int) -> Data
 
 
 def _families(posts: DataFrame, roots: DataFrame, bodies: DataFrame, threshold: int) -> DataFrame | None:
-    """Links between components that share a large column."""
+    """Pairs x, y of roots whose components link, among those that share a large column."""
     own = posts.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     open_ = own.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("name").alias("head")).filter("lo <> hi").select("gram", "head")
     members = cut(spread_join(own, open_, "gram", "name").select("name", "root", "head", "size").distinct())
@@ -312,7 +312,7 @@ def _families(posts: DataFrame, roots: DataFrame, bodies: DataFrame, threshold:
     part = members.groupBy("family", "root").agg(F.sum("w").alias("w"))
     whole = part.groupBy("family").agg(F.sum("w").alias("w"), F.max(F.struct("w", "root")).alias("m"))
     cuts = whole.select("family", F.col("m.root").alias("main"), _blocks(F.col("w")).alias("k"), _blocks(F.col("w") - F.col("m.w")).alias("r"))
-    placed = spread_join(members, cuts, "family", "name")
+    placed = cut(spread_join(members, cuts, "family", "name"))
     spread = F.xxhash64("name")
     minor = placed.filter("root <> main").withColumn("i", F.pmod(spread, "r")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("side", F.lit(0))
     every = placed.withColumn("j", F.pmod(spread, "k")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).withColumn("side", F.lit(1))
@@ -357,14 +357,16 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80, links:
     pairs = star.select("x", "y").unionByName(twos.select("x", "y"))
     partners = posts.select("name").distinct()
     bodies = cut(open_.select("name", "body").join(partners, "name", "left_semi").groupBy("name").agg(F.first("body").alias("body")))
-    near = cut(_links_of_pairs(pairs, bodies, threshold))
-    roots = components(near, "x", "y")
+    roots = components(_links_of_pairs(pairs, bodies, threshold), "x", "y")
     more = _families(posts.filter(F.col("n") > SMALL), roots, bodies, threshold)
-    if more is not None:
-        near = near.unionByName(cut(more))
-        roots = components(near, "x", "y")
+    more = more if more is None else cut(more.distinct())
     least = member.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.count("*").alias("docs"))
     least = least.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    if more is not None and not more.isEmpty():
+        # components that turned out to link are nodes of a graph of their own; links inside them are not read again
+        top = components(more, "x", "y").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        least = spread_join(least, top, "root", "name", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+    least = cut(least)
     whole = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
     label = least.join(whole, "root")
     if links:

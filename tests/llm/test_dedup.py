@@ -127,6 +127,39 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(21)}, 40: 40, 50: 40, 60: 40}
 
 
+def test_rounds_of_components_are_few_jobs(spark):
+    """Each job's plan stays on the driver for a while: two rounds of four exchanges, no self-join of a round."""
+    edges = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(50, 60)], "u long, v long")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    roots = components(edges)
+    assert jobs() - before <= 18
+    assert dict(roots.collect()) == {**{i: 0 for i in range(40)}, 50: 50, 60: 50}
+
+
+def test_components_that_families_join(spark, monkeypatch):
+    """Columns of two classes count as large here, so that links come from families; their roots form a graph of their own."""
+    linked = []
+    families = ngram_join._families
+
+    def seen(*args):
+        linked.append(families(*args))
+        return linked[-1]
+
+    monkeypatch.setattr(ngram_join, "SMALL", 1)
+    monkeypatch.setattr(ngram_join, "_families", seen)
+    often = " ".join(f"f{i}" for i in range(900))
+    x = [f"x{i}" for i in range(100)]
+    # the whole of x is in a long text that is the most central one of all its columns and too long to link
+    texts = [" ".join(x), " ".join(x[:90] + ["y"] + x[91:]), " ".join(x) + " " + often]
+    texts += [often + " " + " ".join(f"t{k}_{i}" for i in range(300)) for k in range(5)]
+    rows = near_copies(12) + list(enumerate(texts, 1000))
+    got = key((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard_join(frame(spark, rows), 4, 85).collect())
+    assert got == key((i, *e) for (i, _), e in zip(rows, brute.components(rows, 4, 85)))
+    found = [tuple(r) for r in linked[0].collect()]
+    assert found and all(u != v for u, v in found) and len(found) == len(set(found))
+
+
 @pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup, ngram_jaccard_join])
 def test_empty_tables(spark, operator):
     assert operator(frame(spark, [])).count() == 0
