@@ -28,6 +28,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioquery.llm._arrays import PIECE_BYTES
 from folioquery.llm._spark import shared_folder
 from folioquery.llm.decontamination import drop_contaminated
 from folioquery.llm.ngram_join import ngram_jaccard_join
@@ -45,7 +46,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     node = F.xxhash64(docs["doc_id"], docs["text"])
-    linked = ngram_jaccard_join(docs.select(node.alias("doc_id"), docs["text"].alias("text")), n=5, threshold=80, links=False)
+    linked = ngram_jaccard_join(docs.select(node.alias("doc_id"), docs["text"].alias("text")), n=5, threshold=80, links=False, slice_bytes=PIECE_BYTES)
     group = linked.select(F.col("doc_id").alias("node"), F.col("component_id").alias("group")).distinct()
     ids = docs.select(node.alias("node"), docs["doc_id"].alias("id")).distinct()
     best = group.join(ids, "node").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("least"))

@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioquery.llm._arrays import ALNUM, U64, contains, covered, each_slice, prefix_hash, rolling, runs, utf8
+from folioquery.llm._arrays import ALNUM, PIECE_BYTES, SLICE_BYTES, U64, contains, covered, each_slice, pieces, prefix_hash, rolling, runs, utf8
 
 SHINGLE = 4
 #: Fixed value: words of items, whatever their case.
@@ -81,7 +81,7 @@ class Part:
             self.lookup[k] = h[first], window[first], at[first]
 
 
-def _count(part):
+def _count(part, limit: int):
     """Rows (k, place among known shingles, count) for the rows of a task."""
 
     def run(batches):
@@ -89,7 +89,7 @@ def _count(part):
         total = {k: np.zeros(len(v), np.int64) for k, v in known.items()}
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for _, _, words in each_slice(data, offsets, ALNUM, fold=True):
+            for _, _, words in each_slice(data, offsets, ALNUM, fold=True, limit=limit):
                 prefix = prefix_hash(words.hashes())
                 for k, v in known.items():
                     h = rolling(prefix, k)
@@ -166,7 +166,7 @@ def _clean(part):
     """Rows of the input, all columns, without those in which a window occurs."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             data, offsets = utf8(batch.column("text"))
             keep = np.ones(batch.num_rows, bool)
             for a, _, words in each_slice(data, offsets, ALNUM, fold=True):
@@ -177,22 +177,22 @@ def _clean(part):
     return run
 
 
-def _parts(docs: DataFrame, benchmark: DataFrame, width: int, limit_bytes: int):
+def _parts(docs: DataFrame, benchmark: DataFrame, width: int, limit_bytes: int, slice_bytes: int = SLICE_BYTES):
     """The benchmark in broadcast parts, each with the prefix tokens of its windows."""
     context = docs.sparkSession.sparkContext
     total = benchmark.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    pieces = max(1, math.ceil(total / limit_bytes))
-    for i in range(pieces):
-        some = benchmark.select("item_id", "text").filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(pieces)) == i).toArrow()
+    many = max(1, math.ceil(total / limit_bytes))
+    for i in range(many):
+        some = benchmark.select("item_id", "text").filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == i).toArrow()
         part = Part(some["item_id"].to_pylist(), some["text"].to_pylist(), width)
         known = context.broadcast(SimpleNamespace(known=part.known))
-        seen = docs.select(docs["text"]).mapInArrow(_count(known), "k int, place long, n long").groupBy("k", "place").agg(F.sum("n").alias("n")).toArrow()
+        seen = docs.select(docs["text"]).mapInArrow(_count(known, slice_bytes), "k int, place long, n long").groupBy("k", "place").agg(F.sum("n").alias("n")).toArrow()
         counts = {k: np.zeros(len(v), np.int64) for k, v in part.known.items()}
         for k in counts:
             own = seen.filter(pa.compute.equal(seen["k"], k))
             counts[k][own["place"].to_numpy()] = own["n"].to_numpy()
         part.prefix(counts)
-        yield context.broadcast(part.shared()), i == pieces - 1
+        yield context.broadcast(part.shared()), i == many - 1
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit_bytes: int = 8 << 20) -> DataFrame:
@@ -212,6 +212,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, li
     """
     out = docs
     benchmark = benchmark.filter(F.regexp_count("text", F.lit(WORD)) >= shortest)
-    for part, _ in _parts(docs, benchmark, width, limit_bytes):
+    for part, _ in _parts(docs, benchmark, width, limit_bytes, PIECE_BYTES):
         out = out.mapInArrow(_clean(part), docs.schema)
     return out

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioquery.llm._arrays import SPACED, U64, each_slice, mix, planes, prefix_hash, rolling, run_hash, unplanes, utf8
+from folioquery.llm._arrays import SLICE_BYTES, SPACED, U64, each_slice, mix, planes, prefix_hash, rolling, run_hash, unplanes, utf8
 from folioquery.llm._spark import batched, bucket_bits, cut, parts, spread_join
 from folioquery.llm.components import components
 
@@ -90,11 +90,11 @@ def _first(size: np.ndarray, threshold: int) -> np.ndarray:
     return size - (threshold * size + 99) // 100 + 1
 
 
-def _batch_classes(batch: pa.Table, n: int):
+def _batch_classes(batch: pa.Table, n: int, limit: int):
     """Each slice's documents, and each distinct set of the batch once."""
     data, offsets = utf8(batch["text"])
     seen: set[bytes] = set()
-    for a, z, words in each_slice(data, offsets, SPACED, fold=True):
+    for a, z, words in each_slice(data, offsets, SPACED, fold=True, limit=limit):
         h, edge, _ = _sets(words, n)
         names = _names(h, edge)
         new = []
@@ -119,9 +119,9 @@ def _table(schema: pa.Schema, rows: list) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
 
 
-def send_counts(n: int, bits: int):
+def send_counts(n: int, bits: int, limit: int = SLICE_BYTES):
     def run(batch: pa.Table) -> pa.Table:
-        found = [h[np.concatenate([np.arange(edge[i], edge[i + 1]) for i in new])] if new else h[:0] for _, h, edge, _, new in _batch_classes(batch, n)]
+        found = [h[np.concatenate([np.arange(edge[i], edge[i + 1]) for i in new])] if new else h[:0] for _, h, edge, _, new in _batch_classes(batch, n, limit)]
         key = _key(np.sort(np.concatenate(found)), bits)
         at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         count, key = np.diff(np.append(at, len(key))), key[at]
@@ -155,7 +155,7 @@ def sum_counts(bucket: pa.Table) -> pa.Table:
 CLASSES = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("name", pa.binary()), ("central", pa.float64()), ("first", pa.list_(pa.int64())), ("body", pa.binary())])
 
 
-def find_classes(n: int, threshold: int, bits: int):
+def find_classes(n: int, threshold: int, bits: int, limit: int = SLICE_BYTES):
     """A row for each document; and one with ``first`` and ``body`` for each set that may have a partner."""
 
     def run(batch: pa.Table, known: pa.Table) -> pa.Table:
@@ -168,7 +168,7 @@ def find_classes(n: int, threshold: int, bits: int):
         key, rank = key[order], rank[order]
         ids = batch["doc_id"].cast(pa.int64()).to_pylist()
         rows = []
-        for a, h, edge, names, new in _batch_classes(batch, n):
+        for a, h, edge, names, new in _batch_classes(batch, n, limit):
             size = np.diff(edge)
             rows += [(ids[a + i], int(size[i]), names[i], None, None, None) for i in range(len(names))]
             if not len(key) or not len(h):
@@ -332,7 +332,7 @@ def _link_counts(classes: DataFrame, bodies: DataFrame, threshold: int) -> DataF
     return counted.groupBy("name").agg(F.sum("links").alias("links"))
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80, links: bool = True) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80, links: bool = True, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, n_shingles, class (the set's name), component_id and n_links of every row; ``threshold`` in hundredths.
 
     ``n_links`` counts the other documents that a row links to, copies of its text included. Without
@@ -340,9 +340,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80, links:
     """
     bits = bucket_bits(docs.sparkSession)
     rows = batched(docs, "doc_id", "text")
-    counts = rows.groupBy("b").applyInArrow(send_counts(n, bits), "bucket int, b int, gram binary, n binary")
+    counts = rows.groupBy("b").applyInArrow(send_counts(n, bits, slice_bytes), "bucket int, b int, gram binary, n binary")
     known = counts.groupBy("bucket").applyInArrow(sum_counts, "b int, bucket int, gram binary, rank binary")
-    found = cut(rows.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(find_classes(n, threshold, bits), "doc_id long, size long, name binary, central double, first array<long>, body binary"))
+    found = cut(rows.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(find_classes(n, threshold, bits, slice_bytes), "doc_id long, size long, name binary, central double, first array<long>, body binary"))
     member = found.filter("first is null").select("doc_id", "size", "name")
     open_ = found.filter("first is not null")
     # a class of several batches has the same size, rank and first columns in each

@@ -47,6 +47,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioquery.llm._arrays import pieces
+
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
 #: The base patterns' parts. Addresses are read from their @ and chains of octets as a whole, with the results of a scan from the left.
@@ -281,6 +283,10 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array([v for _, v in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["kind", "votes", "n"])
 
 
+def _count_pieces(batches):
+    yield from _count(pieces(batches))
+
+
 def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expectation-maximisation for one kind.
 
@@ -363,8 +369,8 @@ def _label(weights: dict[str, list[float]], threshold: float):
     return run
 
 
-def _weights(rows: DataFrame) -> dict[str, list[float]]:
-    counted = rows.select("text").mapInArrow(_count, "kind string, votes string, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n"))
+def _weights(rows: DataFrame, count=_count) -> dict[str, list[float]]:
+    counted = rows.select("text").mapInArrow(count, "kind string, votes string, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n"))
     return train([(r["kind"], r["votes"], r["n"]) for r in counted.collect()])
 
 
@@ -390,9 +396,15 @@ def _redacted(weights: dict[str, list[float]], threshold: float, names: list[str
     label = _label(weights, threshold)
 
     def run(batches):
-        for batch in batches:
-            own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], names=["doc_id", "text"])
-            spans = next(label([own])).column("spans").to_pylist()
+        at = []
+
+        def texts():
+            for batch in pieces(batches):
+                at.append(batch)
+                yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], names=["doc_id", "text"])
+
+        for found in label(texts()):
+            batch, spans = at.pop(), found.column("spans").to_pylist()
             text = [redact(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(batch.column("text").to_pylist(), spans)]
             columns = list(batch.columns)
             columns[names.index("text")] = pa.array(text, batch.column("text").type)
@@ -406,4 +418,4 @@ def _redacted(weights: dict[str, list[float]], threshold: float, names: list[str
 
 def redact_pii(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     """The documents, with all their columns, every span replaced by its kind; n_chars, where there is one, follows."""
-    return docs.mapInArrow(_redacted(_weights(docs.select(docs["text"])), threshold, docs.columns), docs.schema)
+    return docs.mapInArrow(_redacted(_weights(docs.select(docs["text"]), _count_pieces), threshold, docs.columns), docs.schema)

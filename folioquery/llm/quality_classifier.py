@@ -26,15 +26,14 @@ gives no rows; further columns are not read.
 
 from __future__ import annotations
 
-import ctypes
-import gc
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioquery.llm._arrays import pieces, release
+
 PIECE, SAMPLE = 4096, 512
 FEATURES, FEW = 1024, 12
 DAMP = 200
@@ -130,15 +129,6 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(samples)[-DICTIONARY:] or b"........"
 
 
-def _release() -> None:
-    """Gives what the sample took back to the system: the driver lives on for many stages."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def _sample(docs: DataFrame, known: DataFrame, sample_rows: int, sample_bytes: int) -> dict[int, list[bytes]]:
     """The labelled texts to learn from, by class and then hash of their id."""
     least = [known.filter(F.col("q") == q).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample_rows) for q in (0, 1)]
@@ -153,6 +143,8 @@ def _sample(docs: DataFrame, known: DataFrame, sample_rows: int, sample_bytes: i
             chosen.append((len(chosen), q, i, n, t))
     got: dict[int, list[bytes]] = {0: [], 1: []}
     if chosen:
+        # an Arrow table, for which no executor starts Python as it does for a list of rows
+        chosen = pa.table(dict(zip(("k", "q", "id", "n", "t"), zip(*chosen))))
         chosen = docs.sparkSession.createDataFrame(chosen, "k int, q int, id long, n int, t long")
         found = texts.join(F.broadcast(chosen), ["id", "n", "t"]).groupBy("k", "q").agg(F.min("text").alias("text"))
         for batch in found.toArrow().sort_by("k").to_batches(max_chunksize=256):
@@ -186,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_byte
     p = min(0.999, max(0.001, float(share)))
     shift += float(np.log(p / (1 - p)) - np.log(len(got[1][1::2]) / len(got[0][1::2])))
     del got, rest, seen, v, difference
-    _release()
+    release()
     return Model(centres, pairs, slope, shift)
 
 
@@ -219,7 +211,7 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
 def _keep(model: Model, least: float):
     def run(batches):
         scores = _scores(model)
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array(scores(batch.column("text"))[1] >= least))
 
     return run

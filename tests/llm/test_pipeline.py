@@ -95,3 +95,47 @@ def test_short_items_drop_nothing(spark):
 
     assert [r.doc_id for r in drop_contaminated(docs, bench).collect()] == [1]
     assert drop_contaminated(docs, bench, shortest=1).count() == 0
+
+
+def test_stages_work_on_small_parts_of_a_batch():
+    """A worker holds a whole batch of Arrow as it comes, but makes results of a part of it at a time."""
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    from folioquery.llm._arrays import PIECE_BYTES
+    from folioquery.llm.decontamination import Part, _clean
+    from folioquery.llm.pii import _redacted
+    from folioquery.llm.quality_classifier import FEATURES, Model, _keep
+
+    item = "one two three four five six"
+    texts = [(f"row {i} " + "river stone house " * 40 + (item if i % 5 == 0 else "") + (" a@b.co" if i % 7 == 0 else "")) if i % 50 else None for i in range(3000)]
+    texts[17] = "long " * PIECE_BYTES
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "text": texts})
+    part = Part([1], [item], 10)
+    part.prefix({k: v * 0 for k, v in part.known.items()})
+    model = Model(np.zeros((1, FEATURES)), [(b"........", b"........")], 0.0, 0.0)
+    for run, kept in (
+        (_clean(types.SimpleNamespace(value=part.shared())), [i for i, t in enumerate(texts) if item not in (t or "")]),
+        (_keep(model, 0.5), list(range(3000))),
+        (_redacted({}, 0.9, ["doc_id", "text"]), list(range(3000))),
+    ):
+        out = list(run(iter([batch, batch.slice(0, 0), batch.slice(0, 3)])))
+        assert [i for b in out for i in b.column("doc_id").to_pylist()] == kept + [i for i in kept if i < 3]
+        assert len(out) > 8 and max(sum(len(t or "") for t in b.column("text").to_pylist()) for b in out if 17 not in b.column("doc_id").to_pylist()) <= 1.1 * PIECE_BYTES
+        cleaned = {i: t for b in out for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())}
+        masked = run.__qualname__.startswith("_redacted")
+        assert all(cleaned[i] == (t.replace("a@b.co", "[EMAIL]") if masked and t else t) for i, t in enumerate(texts) if i in cleaned)
+
+
+def test_fit_starts_no_python_for_its_sample(spark, tables, monkeypatch):
+    from pyspark import SparkContext
+
+    from folioquery.llm.quality_classifier import fit
+
+    folder, _ = tables
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    before = fit(docs, labels)
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **b: pytest.fail("a list of rows goes through Python on the executors"))
+    assert fit(docs, labels).pairs == before.pairs and before.slope
