@@ -93,3 +93,23 @@ def test_nothing_to_search(spark, pages):
     assert investigate.candidates(none, pages).count() == 0 and investigate.candidates(pages, none).count() == 0 and investigate.duplicates(none, none).count() == 0
     extra = pages.selectExpr("*", "1 as score", "'x' as page", "2 as class", "3 as key").filter("physical = 21")
     assert [r["rank"] for r in investigate.candidates(extra, extra).collect()] == [1]
+
+
+@pytest.mark.parametrize("rare, asked", [(0, 4_000_000), (3, 4_000_000), (20, 5), (10_000, 4_000_000)])
+def test_signatures_and_rare_values_give_what_every_pair_gives(spark, pages, monkeypatch, rare, asked):
+    monkeypatch.setattr(page_search, "RARE", rare)
+    monkeypatch.setattr(page_search, "ASKED", asked)
+    best = {}
+    for r in every_pair(pages, fixed.SEARCH_SCORE):
+        best.setdefault(r.one, []).append((-r.score, r.physical))
+    expected = sorted((k, p, -s, i + 1) for k, v in best.items() for i, (s, p) in enumerate(sorted(v)[:3]))
+    assert sorted((r.one, r.page, r.score, r["rank"]) for r in page_search.best_pages(pages, pages, "physical", fixed.SEARCH_SCORE, 3).collect()) == expected
+
+
+def test_few_signatures_meet_where_pages_differ_in_rare_values_only(spark, monkeypatch):
+    rows = [(k, f"{k % 12 + 1}/{k % 28 + 1}/2020  Customer#{k:05d}, MD Office Visit for number{k}") for k in range(3000)]
+    df, met, search = spark.createDataFrame(rows, "physical int, text string"), [], page_search.search
+    monkeypatch.setattr(page_search, "search", lambda a, b, *more: (met.append((a.count(), b.count())), search(a, b, *more))[1])
+    found = page_search.best_pages(df.filter("physical % 50 = 0"), df, "physical", fixed.SEARCH_SCORE, 1).collect()
+    assert len(found) == 60 and all(r.one == r.page for r in found)
+    assert met[0][0] < 60 and met[0][1] < 200
