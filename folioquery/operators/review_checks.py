@@ -35,16 +35,25 @@ def _issue(check: str, severity: str, *message) -> Column:
     return F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), _quoted(*message).alias("message"))
 
 
-def clinical(result: Column) -> Column:
-    """Names and phrases of the clinical fields of a VARIANT whose value is a long text."""
+def clinical(rows: DataFrame, result: str, source: str) -> DataFrame:
+    """Adds ``clinical``: names and phrases of the clinical fields of a VARIANT whose value is a long text.
 
-    def long_text(name: str) -> Column:
-        value = field_text(result, name)
+    ``source`` is the JSON text of the VARIANT. Most fields are absent or short, so the text must
+    have the name (or an escape, which may write it), a value is read once and its length looked at first.
+    """
+    rows = once(rows, escaped=F.coalesce(F.contains(source, F.lit("\\")), F.lit(True)))
+    named = lambda f: F.col("escaped") | F.contains(source, F.lit(f'"{f}"'))
+    rows = once(rows, values=F.array(*[F.when(named(f), field_text(F.col(result), f)) for f in fixed.CLINICAL_FIELDS]))
+
+    def long_text(i: int, name: str) -> Column:
+        value = F.get("values", F.lit(i))
         is_text = F.schema_of_variant(F.try_variant_get(result, f"$.{name}", "variant")) == "STRING"
-        long_ = (F.length(value) > fixed.CLINICAL_CHARS) & (F.length(text.strip(value)) > fixed.CLINICAL_CHARS)
-        return F.when(long_ & is_text, F.struct(F.lit(name).alias("name"), text.phrases(F.lower(value)).alias("phrases")))
+        said = F.when(is_text & (F.length(text.strip(value)) > fixed.CLINICAL_CHARS), F.struct(F.lit(name).alias("name"), F.lower(value).alias("said")))
+        return F.when(F.coalesce(F.length(value), F.lit(0)) > fixed.CLINICAL_CHARS, said)
 
-    return F.filter(F.array_compact(F.array(*[long_text(f) for f in fixed.CLINICAL_FIELDS])), lambda f: F.size(f["phrases"]) > 0)
+    rows = once(rows, texts=F.array(*[long_text(i, f) for i, f in enumerate(fixed.CLINICAL_FIELDS)]))
+    read = F.transform(F.filter("texts", lambda t: t.isNotNull()), lambda t: F.struct(t["name"].alias("name"), text.phrases(t["said"]).alias("phrases")))
+    return rows.withColumn("clinical", F.filter(read, lambda f: F.size(f["phrases"]) > 0)).drop("escaped", "values", "texts")
 
 
 def page_facts(letters: DataFrame, extracts: DataFrame, checks: Sequence[str] = CHECKS) -> DataFrame:
@@ -60,7 +69,7 @@ def page_facts(letters: DataFrame, extracts: DataFrame, checks: Sequence[str] =
     own = extracts.select(*run, (F.col("iteration") + 1).alias("page"), "result", "prompt")
     # parsing costs far more than the rows, which few small files may hold: they are dealt out by letter, as they are grouped below
     rows = pages.join(own, [*run, "page"]).repartition(*run, "index")
-    rows = once(rows, r=parse_result(F.col("result")), source=text.tagged_or_all(F.coalesce("prompt", F.lit("")), "processed_content")).drop("result", "prompt")
+    rows = once(rows, r=parse_result(F.col("result")), source=text.tagged_or_all(F.coalesce("prompt", F.lit("")), "processed_content")).drop("prompt")
     said, of = [], [*run, "index"]
     if "dos_verification" in checks:
         rows = once(rows, found=text.strip(field_text(F.col("r"), "date")), label=text.labelled_date(F.col("source")))
@@ -68,12 +77,13 @@ def page_facts(letters: DataFrame, extracts: DataFrame, checks: Sequence[str] =
         rows = once(rows, found=F.when(real, F.col("found")), found_as=F.when(real, dates.day_and_plain(F.col("found"))), label_as=F.when(F.col("label").isNotNull(), dates.day_and_plain(F.col("label"))))
         said += ["found", "found_as", "label", "label_as"]
     if "content_coverage" in checks:
-        said.append(clinical(F.col("r")).alias("clinical"))
+        rows = clinical(rows, "r", "result")
+        said.append("clinical")
     flags = []
     if "provider_availability" in checks:
         rows = rows.withColumns({"names": F.coalesce(text.provider_present(field_text(F.col("r"), "provider")), F.lit(False)), "sees": F.coalesce(F.contains(F.lower("source"), F.col("token")), F.lit(False))})
         flags = [F.bool_or("names").alias("named"), F.bool_or("sees").alias("seen")]
-    facts = F.array_sort(F.collect_list("facts"), lambda a, b: F.when(a["page"] < b["page"], -1).when(a["page"] > b["page"], 1).otherwise(0)).alias("facts")
+    facts = F.sort_array(F.collect_list("facts")).alias("facts")
     return rows.select(*of, *[f for f in ("names", "sees") if flags], F.struct("page", *said).alias("facts")).groupBy(*of).agg(facts, *flags)
 
 

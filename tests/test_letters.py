@@ -152,3 +152,12 @@ def test_extracts_are_dealt_out_before_they_are_parsed(spark):
     parsed, dealt, met = (plan.index(x) for x in ("Generate inline", "RepartitionByExpression [index", "Join Inner"))
     assert parsed < dealt < met  # a plan is written from its last step on
     assert [f["found"] for f in facts.first()["facts"]] == ["2024-01-03", "2024-01-02"]
+
+
+def test_clinical_fields_are_found_however_their_names_are_written(spark):
+    long_ = "a statement of many words here"
+    rows = [(1, '{"diagnosis": "%s"}' % long_), (2, '{"diagn\\u006fsis": "%s"}' % long_), (3, '{"note": "diagnosis %s"}' % long_), (4, '{"findings": {"a": "%s"}}' % long_), (5, '{"findings": "short", "impression": "%s"}' % long_), (6, "{broken"), (7, None), (8, '{"symptoms": ["%s"], "treatment" : "%s; and so on with it"}' % (long_, long_)), (9, '{"diagnosis": 123456789012345678901234567890}')]
+    df = spark.createDataFrame(rows, "k int, result string").selectExpr("*", "try_parse_json(result) as r")
+    got = {r.k: [(c.name, c.phrases) for c in r.clinical] for r in review_checks.clinical(df, "r", "result").collect()}
+    one = [("diagnosis", [long_])]
+    assert got == {1: one, 2: one, 3: [], 4: [], 5: [("impression", [long_])], 6: [], 7: [], 8: [("treatment", [long_, "and so on with it"])], 9: []}
